@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
@@ -97,10 +98,14 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each word (run of bytes that are not ASCII white space), without a loop over words."""
+#: Bytes outside words of letters: ASCII bytes that are not letters. Bytes of longer characters count as letters.
+NOT_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
+
+
+def word_hashes(data: bytes, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word (run of bytes not ``outside``: not ASCII white space), without a loop over words."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    inside = ~_SPACE[raw]
+    inside = ~outside[raw]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
@@ -123,3 +128,14 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
         for i in range(k):
             out = mix(out * U(0xFF51AFD7ED558CCD) + words[i : len(words) - k + 1 + i])
     return out
+
+
+def joined(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
+    """The texts in UTF-8, a line feed after each, and where each ends; null is empty."""
+    parts = [(t or "").encode("utf-8", "replace") for t in texts]
+    return b"\n".join([*parts, b""]), np.cumsum([len(p) + 1 for p in parts])
+
+
+def held_out(id_: Column) -> Column:
+    """True for rows whose crc32 of the id as text leaves 2 when divided by 4; never used for learning."""
+    return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
