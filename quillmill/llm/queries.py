@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import bpe, fingerprints, html_text, line_dedup, mixing, toxicity
+from quillmill.llm import bpe, fingerprints, html_text, line_dedup, mixing, quality, toxicity
 from quillmill.llm.common import table
 
 
@@ -37,12 +37,16 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_toxicity, op5_mixing, op6_bpe, op7_html_extraction, op9_fingerprints)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_toxicity, op5_mixing, op6_bpe, op7_html_extraction, op8_quality, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
