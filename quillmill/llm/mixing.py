@@ -92,7 +92,8 @@ def source_plan(slim: DataFrame, cut: bool = True) -> DataFrame:
     if not cut:
         missing = F.when(missing * 2 >= F.col("words"), F.col("words")).otherwise(F.lit(0))
     stop = stop.select(F.col("psrc"), F.col("key").alias("cut_key"), F.col("id").alias("cut_id"), missing.cast("long").alias("cut_left"), F.col("words").alias("cut_size"))
-    return plan.join(stop, same, "left").drop("psrc")
+    # Written, so that its size is known when it is joined to the documents: one row for each source.
+    return materialize(plan.join(stop, same, "left").drop("psrc"), "mix-ends")
 
 
 def _taken(size: Column, key: Column, id_: Column) -> Column:
