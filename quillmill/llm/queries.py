@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import bpe, fingerprints, html_text, line_dedup, mixing, quality, toxicity
+from quillmill.llm import bpe, embedding_dedup, fingerprints, html_text, line_dedup, mixing, quality, toxicity
 from quillmill.llm.common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_lines_seen", "n_lines_removed")
@@ -46,7 +50,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_toxicity, op5_mixing, op6_bpe, op7_html_extraction, op8_quality, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op3_line_dedup, op4_toxicity, op5_mixing, op6_bpe, op7_html_extraction, op8_quality, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
