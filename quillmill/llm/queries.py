@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import bpe, embedding_dedup, fingerprints, html_text, line_dedup, mixing, quality, toxicity
+from quillmill.llm import bpe, embedding_dedup, fingerprints, html_text, line_dedup, minhash_dedup, mixing, quality, toxicity
 from quillmill.llm.common import table
 
 
@@ -49,8 +49,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op3_line_dedup, op4_toxicity, op5_mixing, op6_bpe, op7_html_extraction, op8_quality, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op3_line_dedup, op4_toxicity, op5_mixing, op6_bpe, op7_html_extraction, op8_quality, op9_fingerprints, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
