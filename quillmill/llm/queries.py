@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import bpe, embedding_dedup, fingerprints, html_text, line_dedup, minhash_dedup, mixing, quality, toxicity
+from quillmill.llm import bpe, embedding_dedup, fingerprints, html_text, line_dedup, minhash_dedup, mixing, quality, substring_dedup, toxicity
 from quillmill.llm.common import table
 
 
@@ -20,6 +20,12 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.links(table(spark, sf_dir, "embeddings"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with repeats, their text without them, and the documents where the repeats first stand."""
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), only_changed=True)
+    return found.select("doc_id", "text", "repeat_spans", "first_ids")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_lines_seen", "n_lines_removed")
@@ -54,7 +60,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op3_line_dedup, op4_toxicity, op5_mixing, op6_bpe, op7_html_extraction, op8_quality, op9_fingerprints, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_substring_dedup, op3_line_dedup, op4_toxicity, op5_mixing, op6_bpe, op7_html_extraction, op8_quality, op9_fingerprints, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
