@@ -12,9 +12,9 @@ least ``LEAST`` characters is a repeat and is taken out; shorter ones (a common
 share a digest by chance) stay.
 
 Defined cases: null text has no repeats and stays null; an empty text stays; rows that repeat a (doc_id, text)
-are one occurrence and are treated alike; rows of equal doc_id are told apart by their text's hash; a null
-doc_id stands where its text's hash falls in the order of ids; an empty table gives an empty table; other
-columns pass through untouched, whatever their names.
+are one occurrence and are treated alike; rows of equal doc_id are told apart by their text's hash when spans are cut, but what
+repeats between them alone stays; a row without doc_id is named by its text's hash and stands where that falls in the order of
+ids; an empty table gives an empty table; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,12 +84,16 @@ def _identity(id_: Column, text: Column) -> tuple[Column, Column]:
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tag, text) -> one row for each chunk: its digest, the id, and tag, place and length in one number."""
+    """(id, tag, text) -> one row for each chunk: its digest, the id, and tag, place, whether the text had it before, and length in one number."""
     for batch in pieces(batches, "text", 2_000_000):
         ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         out = [chunks(t) for t in batch.column(2).to_pylist()]
         n = [len(o[0]) for o in out]
-        place = [o[0] << 16 | o[1] for o in out]
+        place = []
+        for start, length, digest in out:
+            again = np.ones(len(digest), dtype=np.int64)
+            again[np.unique(digest, return_index=True)[1]] = 0
+            place.append(start << 16 | again << 15 | length)
         packed = np.concatenate(place) | np.repeat(tags, n) << 48
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[2] for o in out])), pa.array(np.repeat(ids, n)), pa.array(packed.astype(np.int64))], ["digest", "id", "place"])
 
@@ -98,14 +102,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """(id, tag, spans, first_ids): for each document with repeats, their (start, end) in characters and where they first stand."""
     id_, tag = _identity(F.col(id_col), F.col(text_col))
     rows = docs.where(F.length(text_col) > 0).select(id_.alias("id"), tag.alias("tag"), F.col(text_col).alias("text")).mapInArrow(_chunk_rows, "digest long, id long, place long")
-    here = F.struct("id", "place")
-    repeated = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("kept")).where("n > 1").select("digest", "kept")
-    later = rows.join(repeated, "digest").where(here != F.col("kept"))
+    # What tells a first occurrence are the least id and, within that document, the chunker's mark.
+    repeated = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").select("digest", "first")
+    later = rows.join(repeated, "digest").where((F.col("id") != F.col("first")) | (F.col("place").bitwiseAND(F.lit(0x8000)) != 0)).select("id", "place", "first")
     start = F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFFFFFF))
-    later = later.select("id", F.shiftrightunsigned("place", 48).alias("tag"), start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(0xFFFF))).alias("end"), F.when(F.col("kept.place") >= 0, F.col("kept.id")).alias("first"))
-    # Runs of chunks that touch, within each document; rows repeated as a whole repeat their chunks.
+    tag = F.shiftrightunsigned("place", 48)
+    # Runs of chunks that touch, within each document; rows repeated as a whole repeat their chunks. Only packed rows are shuffled.
+    later = later.repartition("id").dropDuplicates(["id", "place"]).select("id", tag.alias("tag"), start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(0x7FFF))).alias("end"), "first")
     order = W.partitionBy("id", "tag").orderBy("start")
-    runs = later.distinct().withColumn("new", F.coalesce((F.lag("end").over(order) < F.col("start")).cast("int"), F.lit(1)))
+    runs = later.withColumn("new", F.coalesce((F.lag("end").over(order) < F.col("start")).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     solid = F.col("end") - F.col("start") >= SHORT
     spans = runs.groupBy("id", "tag", "run").agg(*[f(F.when(solid, F.col(c))).alias(name) for f, c, name in ((F.min, "start", "start"), (F.max, "end", "end"), (F.collect_set, "first", "firsts"))]).where(F.col("end") - F.col("start") >= least)
