@@ -734,6 +734,14 @@ def s9_export_txt(spark, d):
     return writers.txt_entries(_found(spark, d).orderBy(*order).limit(200), order)
 
 
+@query()
+def s10_export_quotes(spark, d):
+    from pyspark.sql.window import Window as W
+
+    cards = text.quote_cards(t.files(spark, d), F.lit("tion"))
+    return writers.quote_entries(cards.withColumn("nr", F.row_number().over(W.partitionBy("id").orderBy("line", "k"))))
+
+
 # --- change feeds ------------------------------------------------------------------------------------------------
 
 
