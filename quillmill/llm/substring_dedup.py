@@ -30,7 +30,7 @@ from pyspark.sql.window import Window as W
 
 from quillmill.llm.common import mix, pieces
 
-LEAST = 100
+LEAST = 130
 LONGEST = 160
 #: A span begins and ends with chunks of at least so many characters; shorter ones repeat by chance.
 SHORT = 16
