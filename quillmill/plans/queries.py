@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -179,7 +180,9 @@ _BASE = f"WITH {t.FILES}, {t.TOKENS}"
 
 
 def _index(spark, d):
-    return plans.Index.of(t.files(spark, d))
+    """The index of all files, written to the folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return plans.Index.build(t.files(spark, d), f"{shared.rstrip('/')}/index-{uuid.uuid4().hex[:12]}")
 
 
 def _terms(spark, d, n=2, kind=None, first=1):

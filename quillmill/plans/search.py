@@ -10,9 +10,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill import schemas
 from quillmill.functions.paths import extension
 from quillmill.operators import filters, match, rank, results
 from quillmill.operators.index import build_postings, doc_stats
+from quillmill.sources.writers import write_index
 
 
 @dataclass
@@ -39,8 +41,20 @@ class Index:
 
     @classmethod
     def of(cls, files: DataFrame, stems: bool = False) -> Index:
+        """An index that is computed anew in every use; for searches over more than a few files see ``build``."""
         return cls(files, build_postings(files, stems=stems), doc_stats(files))
 
+    @classmethod
+    def build(cls, files: DataFrame, folder: str, stems: bool = False) -> Index:
+        """An index written to a folder, which is what searches should read: postings are counted once and read by column and term."""
+        write_index(None, build_postings(files, stems=stems), doc_stats(files), folder)
+        return cls.read(files, folder)
+
+    @classmethod
+    def read(cls, files: DataFrame, folder: str) -> Index:
+        spark = files.sparkSession
+        return cls(files, spark.read.schema(schemas.POSTINGS).parquet(f"{folder}/postings"), spark.read.schema(schemas.DOC_STATS).parquet(f"{folder}/doc_stats"))
+
 
 def _slim(files: DataFrame, options: Options) -> DataFrame:
     """The files that may be results, without their content."""
@@ -60,15 +74,24 @@ def search(index: Index, queries: DataFrame, options: Options | None = None) ->
     options = options or Options()
     parts = match.split_operators(filters.split_query_fields(queries.where(filters.valid_query(F.col("query")))), "remaining")
     named = F.col("name_query").isNotNull()
+    # Which kinds of query there are, from the queries alone: the others need no branch of the plan.
+    kinds = parts.agg(F.count_if(named).alias("names"), F.count_if(~named & F.col("is_any")).alias("any"), F.count_if(~named & ~F.col("is_any")).alias("every"), F.count_if(F.col("excluded") != "").alias("excluded")).first()
     content = parts.where(~named & (F.col("wanted") != ""))
-    wanted, excluded = match.query_terms(content, "wanted"), match.query_terms(content.where("excluded <> ''"), "excluded")
-    only = lambda terms, flag: terms.join(content.where(flag).select("query_id"), "query_id", "left_semi")
-    matched = match.match_all(only(wanted, ~F.col("is_any")), index.postings).unionByName(match.match_any(only(wanted, F.col("is_any")), index.postings))
-    matched = match.match_not(matched, excluded, index.postings)
-    names = match.query_terms(parts.where(named), "name_query")
-    by_name = match.match_field(names, index.postings, "name")
+    wanted = match.query_terms(content, "wanted")
+    only = lambda flag: wanted.join(content.where(flag).select("query_id"), "query_id", "left_semi")
+    found = []
+    if kinds["every"] or not kinds["any"]:
+        found.append(match.match_all(only(~F.col("is_any")) if kinds["any"] else wanted, index.postings))
+    if kinds["any"]:
+        found.append(match.match_any(only(F.col("is_any")) if kinds["every"] else wanted, index.postings))
+    matched = found[0].unionByName(found[1]) if len(found) > 1 else found[0]
+    if kinds["excluded"]:
+        matched = match.match_not(matched, match.query_terms(content.where("excluded <> ''"), "excluded"), index.postings)
     ranked = rank.bm25_rank(matched, wanted, index.postings, index.stats).withColumn("match_type", F.lit("content"))
-    ranked = ranked.unionByName(rank.bm25_rank(by_name, names, index.postings.where("field = 'name'"), index.stats).withColumn("match_type", F.lit("filename")))
+    if kinds["names"]:
+        names, postings = match.query_terms(parts.where(named), "name_query"), index.postings.where("field = 'name'")
+        by_name = rank.bm25_rank(match.match_all(names, postings), names, postings, index.stats).withColumn("match_type", F.lit("filename"))
+        ranked = ranked.unionByName(by_name) if kinds["every"] or kinds["any"] else by_name
     hits = ranked.join(_slim(index.files, options), "doc_id").join(parts.select("query_id", "path_query", "ext_filters"), "query_id")
     hits = hits.where(F.col("path_query").isNull() | F.contains(F.lower("path"), F.lower("path_query")))
     kind = F.col("file_type") if options.ext_match == "file_type" else F.substr(extension(F.col("path")), F.lit(2))

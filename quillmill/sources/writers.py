@@ -11,9 +11,13 @@ from quillmill.functions.text import csv_escape, format_size, html_escape
 CSV_HEADER = "\ufefffile name,path,type,size,modified,match type"
 
 
-def write_index(files: DataFrame, postings: DataFrame, doc_stats: DataFrame, folder: str) -> None:
-    """Three Parquet tables; postings are dealt by term and sorted, so that a term's rows are read from few row groups."""
-    files.write.mode("overwrite").parquet(f"{folder}/files")
+def write_index(files: DataFrame | None, postings: DataFrame, doc_stats: DataFrame, folder: str) -> None:
+    """Parquet tables; postings are dealt by term and sorted, so that a term's rows are read from few row groups.
+
+    Give no files where they are kept elsewhere: their content is not written twice then.
+    """
+    if files is not None:
+        files.write.mode("overwrite").parquet(f"{folder}/files")
     postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
     doc_stats.write.mode("overwrite").parquet(f"{folder}/doc_stats")
 

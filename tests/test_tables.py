@@ -35,7 +35,7 @@ def test_index_and_shards(spark, tmp_path):
     files = tables.files(spark, DIR)
     i = search.Index.of(files)
     writers.write_index(files, i.postings, i.stats, str(tmp_path / "index"))
-    back = search.Index(*(spark.read.parquet(str(tmp_path / "index" / n)) for n in ("files", "postings", "doc_stats")))
+    back = search.Index.read(spark.read.parquet(str(tmp_path / "index/files")), str(tmp_path / "index"))
     queries = tables.words(spark, DIR, 2)
     rows = lambda d: sorted((r["query_id"], r["id"], round(r["rank"], 9)) for r in d.collect())
     assert rows(search.search(back, queries)) == rows(search.search(i, queries))
