@@ -15,8 +15,11 @@ log P_toxic - log P_ordinary, and for each context the same of the backoff weigh
 P cancels out).
 
 All counts are Spark aggregations over every labelled document that is not held out, and so are the
-differences. A scoring table holds the most frequent rows and contexts, those above the least count at which at most ``ROWS``
-remain, so that its size is bounded and it can be broadcast; a row beyond that is treated as one not seen.
+differences. A model is two tables without a bound that stay in Spark: the rows with more than D occurrences in either class
+(every other row has exactly its context's value) and the contexts whose value is not 0. The different words of the documents to be scored are
+joined with them, which gives each word the sum of its rows' values. The values of the ``ROWS`` most frequent words
+at most are broadcast; those of all other words are joined to the documents that have them. The bound decides how a word's value
+travels, not what it is. Words are told by 64-bit hashes.
 
 The sum of the differences over a text divided by its number of symbols is the length-normalised comparison of
 the whole; beside it stand, also by length, the shares of words whose own comparison exceeds a few levels, since a
@@ -33,23 +36,27 @@ other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillmill.llm.common import held_out, materialize, mix, pieces
+from quillmill.llm.common import drop, held_out, materialize, mix, pieces, word_hashes
 
 #: Symbols of the longest row; eight bits each, so that a row is one long.
 ORDER = 7
 SHARED = (4, 2)
 #: D, of the classes, and d, of the shared counts.
 DISCOUNT, SHARED_DISCOUNT = 5.0, 0.75
+#: So many words' values are broadcast; the others' are joined.
 ROWS = 1 << 19
-#: Different rows that a task counts before it hands them on.
+#: Different rows, and words, that a task counts before it hands them on.
 HELD = 1_000_000
+WORDS_HELD = 250_000
 CURVE_ROWS = 20_000
 #: So many labels (two numbers each) are broadcast; beyond it the join shuffles texts.
 LABELS_SENT = 2_000_000
@@ -57,6 +64,8 @@ THRESHOLD = 0.3
 #: Log-likelihood differences of single words.
 LEVELS = (1, 2, 3, 4)
 FEATURES = 3 + 2 * (len(LEVELS) + 1)
+#: Values are summed as whole numbers of this many to one, so that no sum depends on the order of its terms.
+UNITS = 1 << 32
 _SLOT_BITS = 21
 _SYMBOLS = np.empty(0, dtype=np.uint8)
 
@@ -69,11 +78,15 @@ def symbol_table() -> np.ndarray:
     return _SYMBOLS
 
 
-def rows_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The row (up to ORDER symbols, the last one lowest) at each letter and word end of all texts, and the number in each text."""
+def _symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, a gap (32) after each, and where each ends."""
     coded = [(t or "").lower().encode("utf-16-le", "surrogatepass") for t in texts]
     ends = np.cumsum([len(c) // 2 + 1 for c in coded])
-    symbols = symbol_table()[np.frombuffer(b" \0".join([*coded, b""]), dtype=np.uint16)]
+    return symbol_table()[np.frombuffer(b" \0".join([*coded, b""]), dtype=np.uint16)], ends
+
+
+def _rows(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row at each letter and word end, and its place."""
     gap = symbols == 32
     index = np.arange(len(symbols), dtype=np.int32)
     last_gap = np.maximum.accumulate(np.where(gap, index, np.int32(-1)))
@@ -86,7 +99,46 @@ def rows_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         row |= symbols[np.maximum(at - k, 0)].astype(np.uint64) << np.uint64(8 * k)
     held = np.minimum(place[at] + 1, ORDER).astype(np.uint64)
     row &= (np.uint64(1) << (held * np.uint64(8))) - np.uint64(1)
-    return row.astype(np.int64), np.diff(np.searchsorted(at, ends), prepend=0)
+    return row.astype(np.int64), at
+
+
+def rows_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The row (up to ORDER symbols, the last one lowest) at each letter and word end of all texts, and the number in each text."""
+    symbols, ends = _symbols(texts)
+    row, at = _rows(symbols)
+    return row, np.diff(np.searchsorted(at, ends), prepend=0)
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word of symbols; no hash is 0."""
+    start, end, word = word_hashes(data)
+    return start, end, np.where(word == 0, np.uint64(1), word).view(np.int64)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Column text -> (word, symbols, n), summed within a task as far as ``WORDS_HELD`` different words go."""
+    held: Counter[bytes] = Counter()
+
+    def out() -> pa.RecordBatch:
+        word = _words(b" ".join([*held, b""]))[2]
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "symbols", "n"])
+
+    for batch in pieces(batches, "text", 1_000_000):
+        held.update(_symbols(batch.column(0).to_pylist())[0].tobytes().split())
+        if len(held) > WORDS_HELD:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, symbols) -> (word, row), one for each row of the word."""
+    for batch in pieces(batches, "symbols", 1_000_000):
+        words = batch.column(1).to_pylist()
+        rows, at = _rows(np.frombuffer(b" ".join([*words, b""]), dtype=np.uint8))
+        counts = np.diff(np.searchsorted(at, np.cumsum([len(w) + 1 for w in words])), prepend=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), counts)), pa.array(rows)], ["word", "row"])
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +171,7 @@ def _end(row: Column, symbols: int) -> Column:
 
 
 def differences(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """counts: row, n0, n1 -> (row, n, value) and (context, n, value) as the module's text says."""
+    """counts: row, n0, n1 -> (row, n, value, whether above D in a class) and (context, n, value) as the module's text says."""
     totals = counts.agg(F.sum("n0"), F.sum("n1")).first()
     scale = [float((totals[1] or 0) / max(totals[0] or 0, 1)), 1.0]
     seen = counts.where("n0 + n1 > 0").withColumn("context", F.shiftright("row", 8)).withColumn("n", F.col("n0") + F.col("n1"))
@@ -142,7 +194,8 @@ def differences(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         shared = own + rest * shared
     frame = frame.withColumn("shared", shared)
     p = [F.when(F.col(f"s{c}") > 0, F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"s{c}")).otherwise(F.lit(0.0)) + back[c] * F.col("shared") for c in (0, 1)]
-    rows = frame.select("row", "n", (F.log(p[1]) - F.log(p[0])).alias("value"))
+    above = F.greatest("n0", "n1") > DISCOUNT
+    rows = frame.select("row", "n", (F.log(p[1]) - F.log(p[0])).alias("value"), above.alias("above"))
     contexts = by_context.select(F.col("context").alias("row"), F.col("s").alias("n"), (F.log(back[1]) - F.log(back[0])).alias("value"))
     return rows, contexts
 
@@ -185,26 +238,10 @@ class Table:
         return values, held
 
 
-class Model:
-    """Both scoring tables, made in each task from the broadcast arrays (keys and values of rows and of contexts)."""
-
-    def __init__(self, arrays: tuple[np.ndarray, ...]):
-        self.rows, self.contexts = Table(*arrays[:2]), Table(*arrays[2:])
-
-    def compare(self, texts: list[str | None]) -> np.ndarray:
-        """What the curve reads, one line for each text."""
-        rows, counts = rows_of(texts)
-        n, texts_of = len(counts), np.repeat(np.arange(len(counts)), counts)
-        values, held = self.rows.find(rows + 1)
-        values[~held] = self.contexts.find((rows[~held] >> 8) + 1)[0]
-        whole = np.bincount(texts_of, weights=values, minlength=n) / np.maximum(counts, 1)
-        first = rows < 256  # a word's first row holds one symbol
-        word = np.bincount(np.cumsum(first) - 1, weights=values) if len(rows) else np.zeros(0)
-        words_of = texts_of[first]
-        words = np.bincount(words_of, minlength=n)
-        above = [np.bincount(words_of, weights=word > level, minlength=n) for level in LEVELS]
-        above.append(np.bincount(words_of, weights=np.maximum(word - LEVELS[0], 0), minlength=n))
-        return np.stack([np.ones(n), whole, np.log1p(words), *map(np.log1p, above), *(x / (words + 5) for x in above)], axis=1)
+def features(sums: np.ndarray) -> np.ndarray:
+    """What the curve reads, one line for each text, from its sums as ``compare`` gives them."""
+    symbols, words, total, *above = sums.T
+    return np.stack([np.ones(len(sums)), total / np.maximum(symbols, 1), np.log1p(words), *map(np.log1p, above), *(x / (words + 5) for x in above)], axis=1)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
@@ -220,22 +257,72 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60
     return beta / scale
 
 
-def _arrays(counts: DataFrame, folds: str) -> tuple[np.ndarray, ...]:
-    """The bounded scoring tables of the given folds, brought to the driver (ROWS entries each at most)."""
+def _model(counts: DataFrame, folds: str) -> tuple[DataFrame, DataFrame]:
+    """(row, units) and (row, units) of contexts, of the given folds: all whose value is not another's."""
     summed = counts.select("row", *[sum(F.col(f"{f}{c}") for f in folds).alias(f"n{c}") for c in (0, 1)])
-    out = []
-    for part in differences(summed):
-        part = materialize(part.where("n > 1").select("row", F.floor(F.log2("n") * 64).cast("int").alias("level"), F.col("value").cast("float")), "toxic-values")
-        # The least count whose rows still fit, from one number for each of some thousand levels; nothing is sorted.
-        total, least = 0, 1 << 20
-        for level, rows in sorted(map(tuple, part.groupBy("level").count().collect()), reverse=True):
-            total += rows
-            if total > ROWS:
-                break
-            least = level
-        got = part.where(F.col("level") >= least).select("row", "value").toArrow()
-        out += [got["row"].to_numpy().astype(np.int64) + 1, got["value"].to_numpy().astype(np.float32)]  # 0 marks an empty slot
-    return tuple(out)
+    rows, contexts = differences(summed)
+    units = F.round(F.col("value") * UNITS).cast("long").alias("units")
+    return materialize(rows.where("above").select("row", units), "toxic-values"), materialize(contexts.select("row", units).where("units <> 0"), "toxic-values")
+
+
+def word_values(texts: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(word, n, value): each different word of the texts, how often it occurs, and the sum of its rows' values."""
+    counted = texts.select("text").mapInArrow(_count_words, "word long, symbols binary, n long")
+    words = materialize(counted.groupBy("word").agg(F.first("symbols").alias("symbols"), F.sum("n").alias("n")), "toxic-words")
+    spread = words.select("word", "symbols").mapInArrow(_word_rows, "word long, row long")
+    rows, contexts = (m.withColumnsRenamed({"row": k, "units": u}) for m, k, u in zip(model, ("row", "context"), ("own", "back")))
+    # Different rows meet the contexts, not all rows: most words share their first ones.
+    kinds = spread.select("row").distinct().join(rows, "row", "left").withColumn("context", F.shiftright("row", 8)).join(contexts, "context", "left")
+    valued = kinds.select("row", F.coalesce("own", "back").alias("units")).where("units <> 0")
+    sums = spread.join(valued, "row").groupBy("word").agg((F.sum("units") / UNITS).cast("float").alias("value"))
+    out = materialize(words.select("word", "n").join(sums, "word", "left").withColumn("value", F.coalesce("value", F.lit(0.0).cast("float"))), "toxic-words")
+    drop(words)
+    return out
+
+
+def _most_frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words and values of the ``ROWS`` most frequent words at most."""
+    words = words.withColumn("level", F.floor(F.log2("n") * 64).cast("int"))
+    # The least count whose words still fit, from one number for each of some thousand levels; nothing is sorted.
+    total, least = 0, 1 << 20
+    for level, n in sorted(map(tuple, words.groupBy("level").count().collect()), reverse=True):
+        total += n
+        if total > ROWS:
+            break
+        least = level
+    got = words.where(F.col("level") >= least).select("word", "value").toArrow()
+    return got["word"].to_numpy().astype(np.int64), got["value"].to_numpy().astype(np.float32)
+
+
+def compare(docs: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The columns of docs but ``text``, the last, and ``sums``: numbers of symbols and words, and over its words
+    the sum of values, how many exceed each level, and the sum of what exceeds the first level."""
+    words = word_values(docs, model)
+    sent = docs.sparkSession.sparkContext.broadcast(_most_frequent(words))
+    names = docs.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(*sent.value)
+        for batch in pieces(batches, "text", 1_000_000):
+            symbols, ends = _symbols(batch.column(len(names)).to_pylist())
+            start, end, word = _words(symbols.tobytes())
+            n, of = batch.num_rows, np.searchsorted(ends, start, side="right")
+            value, held = table.find(word)
+            over = [value > level for level in LEVELS] + [np.maximum(value.astype(np.float64) - LEVELS[0], 0)]
+            sums = np.stack([np.bincount(of, weights=w, minlength=n) for w in (end - start + 1, np.ones(len(of)), value, *over)], axis=1).astype(np.float64)
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(of[~held], minlength=n))])
+            others = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(word[~held]))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, sums.shape[1]), pa.int32()), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), lists, others], [*names, "sums", "others"])
+
+    schema = docs.drop("text").schema.add("sums", T.ArrayType(T.DoubleType())).add("others", T.ArrayType(T.LongType()))
+    here = materialize(docs.mapInArrow(run, schema).withColumn("key", F.monotonically_increasing_id()), "toxic-sums")
+    value = F.col("value").cast("double")
+    more = [F.sum(value), *[F.sum((F.col("value") > level).cast("double")) for level in LEVELS], F.sum(F.greatest(value - LEVELS[0], F.lit(0.0)))]
+    joined = here.select("key", F.explode("others").alias("word")).join(words.where("value <> 0").select("word", "value"), "word")
+    added = joined.groupBy("key").agg(F.array(F.lit(0.0), F.lit(0.0), *more).alias("more"))
+    sums = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda x, y: x + y))
+    return here.drop("others").join(added, "key", "left").select(*names, sums.alias("sums"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[tuple[np.ndarray, ...] | None, np.ndarray]:
@@ -254,54 +341,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not 0 < toxic < n:
         return None, flat
     counts = materialize(count_rows(labelled), "toxic-rows")
-    both = _arrays(counts, "ab")
+    both = _model(counts, "ab")
     if not all(r["n"] > r["toxic"] > 0 for r in shares.values()) or len(shares) < 2:
         flat[-1] = 10.0
         return both, flat
-    first = labels.sparkSession.sparkContext.broadcast(_arrays(counts, "a"))
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(first.value)
-        for batch in pieces(batches, "text", 1_000_000):
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(model.compare(batch.column(0).to_pylist())))], ["label", "x"])
-
+    first = _model(counts, "a")
+    drop(counts)
     # Drawn from ids alone; CURVE_ROWS rows at most are sent to the texts.
     drawn = rows.select("id").join(F.broadcast(known) if few else known, "id").where("fold = 1").distinct().orderBy(F.xxhash64("id"), "id").limit(CURVE_ROWS)
-    sample = rows.join(F.broadcast(drawn), "id").select("text", "label")
-    scored = sample.mapInArrow(compared, "label int, x array<double>").toPandas()
-    return both, fit_curve(np.stack(scored["x"].to_list()), scored["label"].to_numpy().astype(float))
+    sample = rows.join(F.broadcast(drawn), "id").select("label", "text")
+    scored = compare(sample, first).toPandas()
+    return both, fit_curve(features(np.stack(scored["sums"].to_list())), scored["label"].to_numpy().astype(float))
 
 
-def _score(state: tuple, texts: list[str | None]) -> np.ndarray:
-    model, curve = state
-    x = model.compare(texts) if model is not None else np.eye(1, FEATURES).repeat(len(texts), axis=0)
-    return 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-
-
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, held_out, score, predicted), one row for each document."""
-    fitted = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col))
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, columns: list[Column]) -> DataFrame:
+    """The given columns of docs and score."""
+    model, curve = fit(docs, labels, id_col, text_col, label_col)
+    if model is None:
+        return docs.select(*columns, F.lit(float(1 / (1 + np.exp(-curve[0])))).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays, curve = fitted.value
-        state = (arrays and Model(arrays), curve)
-        for batch in pieces(batches, "text", 1_000_000):
-            p = _score(state, batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["id", "held_out", "score", "predicted"])
+        for batch in batches:
+            if batch.num_rows:
+                sums = np.stack(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+                p = 1 / (1 + np.exp(-np.clip(features(sums) @ curve, -30, 30)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], "score"])
 
-    slim = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    sums = compare(docs.select(*columns, F.col(text_col).alias("text")), model)
+    return sums.mapInArrow(run, sums.drop("sums").schema.add("score", "double"))
 
 
-def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents predicted toxic; a text is scored where it stands, and no row is shuffled."""
-    fitted = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col))
-    at = docs.columns.index(text_col)
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, held_out, score, predicted), one row for each document."""
+    id_ = F.col(id_col)
+    out = _scored(docs, labels, id_col, text_col, label_col, [id_.alias("id"), held_out(id_).alias("held_out")])
+    return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays, curve = fitted.value
-        state = (arrays and Model(arrays), curve)
-        for batch in pieces(batches, text_col, 1_000_000):
-            yield batch.filter(pa.array(_score(state, batch.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the documents predicted toxic, which are told by two hashes of their texts."""
+    hashes = [F.xxhash64(F.col(text_col)), F.xxhash64(F.col(text_col), F.lit("second"))]
+    out = _scored(docs, labels, id_col, text_col, label_col, [h.alias(c) for h, c in zip(hashes, ("__tx_a", "__tx_b"))])
+    toxic = materialize(out.where(F.col("score") >= threshold).select("__tx_a", "__tx_b").distinct(), "toxic-texts")
+    return docs.join(toxic, (hashes[0] == F.col("__tx_a")) & (hashes[1] == F.col("__tx_b")), "left_anti")

@@ -114,3 +114,13 @@ def test_odd_rows(spark):
     assert tox.score(docs.limit(0), labels).count() == 0
     kept = tox.reject(docs, none)
     assert kept.columns == docs.columns and kept.count() == 6
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{DIR}/{n}.parquet") for n in ("documents", "labels"))
+    want = {r["doc_id"]: r["score"] for r in tox.score(docs, labels).collect()}
+    monkeypatch.setattr(tox, "ROWS", 200)
+    got = {r["doc_id"]: r["score"] for r in tox.score(docs, labels).collect()}
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-6
+    kept = {r["doc_id"] for r in tox.reject(docs, labels).collect()}
+    assert kept == {i for i, p in want.items() if p < tox.THRESHOLD}
