@@ -1,12 +1,14 @@
 """MinHash near-dedup: ProbMinHash signatures of weighted shingles, banding, and exact verification.
 
 A text is lower-cased and cut into words (runs of anything but ASCII white space); its shingles are runs of five words
-(all of them, if it has fewer), each weighted 1 + ln(times it occurs). In a signature of m registers every
+(all of them, if it has fewer). A text has two signatures, in one all shingles weigh 1 and in the other
+1 + ln(times they occur); without repeated shingles they are the same. In a signature of m registers every
 shingle is a Poisson process of arrivals whose rate is its weight; each arrival falls on a random register, and
 a register keeps the shingle that comes first, so that two texts agree in a register with the probability
 Jaccard similarity of their weighted shingles. A shingle's process ends once its time passes the latest register's.
-Registers are cut into bands; texts that agree in a whole band share a bucket and are candidates: with 22 bands
-of 6 registers a pair of similarity 0.8 is one with probability 0.998.
+Registers are cut into bands; texts that agree in a whole band, of whichever signatures, share a bucket and are candidates.
+Where all weigh 1 the probability Jaccard similarity is that of the sets, which decides links: with 22 bands
+of 6 registers a pair of similarity 0.8 is a candidate with probability 0.998, however often a text repeats its parts.
 
 Candidates are verified by the exact Jaccard similarity of their sets of shingles; 0.8 or more is a link, and a
 group is what links connect. Equal texts are one class from the start and only one of them is hashed into buckets.
@@ -84,24 +86,33 @@ def signatures(elements: np.ndarray, weights: np.ndarray, counts: np.ndarray, m:
     return first.reshape(n, m)
 
 
-def band_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each text in each band, whether the text has words)."""
-    sets, weights = [], []
+def _buckets(sets: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    """Bucket of each set, none of them empty, in each band."""
+    first = signatures(np.concatenate(sets), np.concatenate(weights), np.array([len(s) for s in sets])).reshape(-1, BANDS, ROWS)
+    out = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), first.shape[:2]).copy()
+    with np.errstate(over="ignore"):
+        for r in range(ROWS):
+            out = mix(out * np.uint64(0xFF51AFD7ED558CCD) + first[:, :, r])
+    return out.view(np.int64)
+
+
+def band_keys(texts: list[str | None]) -> list[np.ndarray]:
+    """The buckets of each text: one for each band, then, if it repeats shingles, one for each band of its weighted signature; none without words."""
+    sets, times = [], []
     for w in _words(texts):
-        s, times = np.unique(shingles(w, WORDS), return_counts=True)
+        s, n = np.unique(shingles(w, WORDS), return_counts=True)
         sets.append(s)
-        weights.append(1.0 + np.log(times))
-    counts = np.array([len(s) for s in sets], dtype=np.int64)
-    full = counts > 0
-    keys = np.zeros((len(texts), BANDS), dtype=np.uint64)
-    if full.any():
-        first = signatures(np.concatenate(sets), np.concatenate(weights), counts[full]).reshape(-1, BANDS, ROWS)
-        out = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), first.shape[:2]).copy()
-        with np.errstate(over="ignore"):
-            for r in range(ROWS):
-                out = mix(out * np.uint64(0xFF51AFD7ED558CCD) + first[:, :, r])
-        keys[full] = out
-    return keys.view(np.int64), full
+        times.append(n)
+    keys = [np.empty(0, dtype=np.int64)] * len(texts)
+    full = [i for i, s in enumerate(sets) if len(s)]
+    if full:
+        for i, k in zip(full, _buckets([sets[i] for i in full], [np.ones(len(sets[i])) for i in full])):
+            keys[i] = k
+    repeating = [i for i in full if (times[i] > 1).any()]
+    if repeating:
+        for i, k in zip(repeating, _buckets([sets[i] for i in repeating], [1.0 + np.log(times[i]) for i in repeating])):
+            keys[i] = np.concatenate([keys[i], k])
+    return keys
 
 
 def spanning_links(sets: list[np.ndarray], groups: np.ndarray, similarity: float = SIMILARITY, left: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -208,14 +219,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2_000_000):
-            keys, full = band_keys(batch.column(1).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(full) + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(full), lists], ["id", "ta", "tb", "full", "keys"])
+            keys = band_keys(batch.column(1).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists], ["id", "ta", "tb", "keys"])
 
-    hashes = rows.mapInArrow(hashed, "id long, ta long, tb long, full boolean, keys array<long>").where("full").drop("full")
+    hashes = rows.mapInArrow(hashed, "id long, ta long, tb long, keys array<long>").where(F.size("keys") > 0)
     classes = hashes.groupBy("ta", "tb").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    places = classes.select("node", F.posexplode("keys").alias("t", "key"))
+    # Both signatures share buckets; a text stands once in each.
+    unit = F.col("keys")[F.col("t") % BANDS]
+    places = classes.select("node", "keys", F.posexplode("keys").alias("t", "key")).where((F.col("t") < BANDS) | (F.col("key") != unit)).select("node", (F.col("t") % BANDS).alias("t"), "key")
     sizes = places.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     placed = materialize(places.join(sizes, ["t", "key"]), "places")
     # Only texts that share a bucket are fetched, once, for both passes.

@@ -105,3 +105,17 @@ def test_registers_agree_with_the_probability_jaccard(share):
         x, y = dict(zip(e.tolist(), w)), dict(zip(other.tolist(), v))
         want += sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys()) / 60
     assert abs(agree - want) < 0.02
+
+
+def test_a_much_repeated_passage_hides_no_near_copy(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(30):
+        words = [f"w{i}" for i in rng.integers(0, 100_000, 200)]
+        once = list(words)
+        for at in (60, 110, 160):
+            once[at] = "edited"
+        rows += [(2 * k, " ".join(words[:40] * 20 + words[40:])), (2 * k + 1, " ".join(once))]
+    want = brute(rows)
+    assert sum(not kept for _, _, kept in want) == 30
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == want
