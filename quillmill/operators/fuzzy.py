@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 NAME_WEIGHT, CONTENT_WEIGHT = 0.7, 0.3
 THRESHOLD = 0.4
 LONGEST_PATTERN = 32
-#: Only so much of a content is compared; what a re-rank needs is near its top hits' start.
-CONTENT_READ = 10_000
+#: A text is searched in blocks of so many characters, which bounds memory.
+BLOCK = 1 << 16
 
 
 def substring_errors(pattern: str, text: str) -> int:
     """The least number of edits that turn pattern into some substring of text."""
     if pattern in text:
         return 0
+    # A best substring is twice the pattern's length at most, so it stands whole in one of the overlapping blocks.
+    return min(_block_errors(pattern, text[at : at + BLOCK + 2 * len(pattern)]) for at in range(0, max(len(text), 1), BLOCK))
+
+
+def _block_errors(pattern: str, text: str) -> int:
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     row = np.zeros(len(codes) + 1, dtype=np.int32)
     index = np.arange(len(codes) + 1, dtype=np.int32)
@@ -42,7 +47,7 @@ def fuzzy_score(query: str | None, name: str | None, content: str | None, thresh
     if not query or len(query) < 2:
         return None
     total, hit = 1.0, False
-    for text, weight in ((name or "", NAME_WEIGHT), ((content or "")[:CONTENT_READ], CONTENT_WEIGHT)):
+    for text, weight in ((name or "", NAME_WEIGHT), (content or "", CONTENT_WEIGHT)):
         score = field_score(query, text) if text else 1.0
         if score <= threshold:
             hit = True
@@ -58,7 +63,7 @@ def fuzzy_rerank(hits: DataFrame, query_col: str = "query", threshold: float = T
     def scored(query: pd.Series, name: pd.Series, content: pd.Series) -> pd.Series:
         return pd.Series([fuzzy_score(q, n, c, threshold) for q, n, c in zip(query, name, content)], dtype="float64")
 
-    near = hits.withColumn("fuzzy_score", scored(F.col(query_col), F.col("name"), F.substring("content", 1, CONTENT_READ)))
+    near = hits.withColumn("fuzzy_score", scored(F.col(query_col), F.col("name"), F.col("content")))
     return near.where(F.col("fuzzy_score").isNotNull() & ~F.isnan("fuzzy_score"))
 
 
