@@ -21,8 +21,8 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents with repeats, their text without them, and the documents where the repeats first stand."""
-    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), only_changed=True)
+    """All documents, their text without repeats, and the documents where those first stand (null where nothing repeats)."""
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "repeat_spans", "first_ids")
 
 
