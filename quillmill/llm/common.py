@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,9 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
-_DIRS: dict[str, list[str]] = {}
+#: Paths of tables that nothing has deleted yet and that no scratch holds; they go when the process ends.
+_LEFT: list[str] = []
+_OPEN: list[scratch] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,21 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder that driver and executors share, as the session names it; only a local session may leave it unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/checkpoints"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation, and a value that is not
-    deterministic (a generated id) is fixed. ``drop`` removes the files of a table that nothing needs any more.
+    deterministic (a generated id) is fixed. ``drop``, the end of a ``scratch`` or that of the process removes the files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmill-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillmill_path = path
+    (_OPEN[-1].made if _OPEN else _LEFT).append(path)
     return out
 
 
@@ -43,9 +51,60 @@ def drop(df: DataFrame) -> None:
     """Delete the files of a table made by ``materialize``; call it only when all that reads it has been written."""
     path = getattr(df, "_quillmill_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for held in (_LEFT, *(o.made for o in _OPEN)):
+        if path in held:
+            held.remove(path)
+
+
+class scratch:
+    """``with scratch() as s``: the tables written inside are deleted at its end, but for those given to ``s.keep``, which go on to
+    the scratch around it. Operators return lazily, so what their result still reads is kept."""
+
+    def __enter__(self) -> scratch:
+        self.made: list[str] = []
+        _OPEN.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = df._quillmill_path
+        self.made.remove(path)
+        around = _OPEN.index(self) - 1
+        (_OPEN[around].made if around >= 0 else _LEFT).append(path)
+        return df
+
+    def __exit__(self, *_) -> None:
+        spark = SparkSession.getActiveSession()
+        _OPEN.remove(self)
+        for path in list(self.made) if spark else []:
+            _delete(spark, path)
+
+
+@atexit.register
+def _tidy() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in list(_LEFT) if spark else []:
+        _delete(spark, path)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """name, with as many underscores behind it as it takes to be none of the taken ones (case aside)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def private_prefix(taken: list[str], start: str) -> str:
+    """start, with as many underscores before it as it takes that no taken name begins so (case aside): for an operator's own columns."""
+    while any(t.lower().startswith(start.lower()) for t in taken):
+        start = "_" + start
+    return start
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -12,13 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import drop, materialize
+from quillmill.llm.common import drop, materialize, scratch
 
 MOST_ROUNDS = 200
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: (a long, b long) -> (id, component): each id of an edge between two ids, with the least id it is connected to."""
+    """edges: (a long, b long) -> (id, component), a written table: each id of an edge between two ids, with the least id it is connected to."""
+    with scratch() as kept:
+        return kept.keep(materialize(_components(edges), "components"))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     links = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     maps: list[DataFrame] = []
     for turn in range(MOST_ROUNDS):

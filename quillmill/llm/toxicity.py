@@ -15,11 +15,12 @@ log P_toxic - log P_ordinary, and for each context the same of the backoff weigh
 P cancels out).
 
 All counts are Spark aggregations over every labelled document that is not held out, and so are the
-differences. A model is two tables without a bound that stay in Spark: the rows with more than D occurrences in either class
-(every other row has exactly its context's value) and the contexts whose value is not 0. The different words of the documents to be scored are
-joined with them, which gives each word the sum of its rows' values. The values of the ``ROWS`` most frequent words
-at most are broadcast; those of all other words are joined to the documents that have them. The bound decides how a word's value
-travels, not what it is. Words are told by 64-bit hashes.
+differences. A model is two tables without a bound: the rows with more than D occurrences in either class
+(every other row has exactly its context's value) and the contexts whose value is not 0. They are counted; up to ``SENT`` of
+them are broadcast whole and every word is looked up where its text stands, without a shuffle. A larger model stays in Spark and
+the different words of the documents are joined with it, which gives each word the sum of its rows' values; the
+``ROWS`` most frequent words' values are then broadcast, those of all other words joined to the documents that have them. The bounds
+decide how values travel, not what they are. Words are told by 64-bit hashes.
 
 The sum of the differences over a text divided by its number of symbols is the length-normalised comparison of
 the whole; beside it stand, also by length, the shares of words whose own comparison exceeds a few levels, since a
@@ -45,14 +46,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm.common import drop, held_out, materialize, mix, pieces, word_hashes
+from quillmill.llm.common import drop, held_out, materialize, mix, pieces, private_prefix, scratch, word_hashes
 
 #: Symbols of the longest row; eight bits each, so that a row is one long.
 ORDER = 7
 SHARED = (4, 2)
 #: D, of the classes, and d, of the shared counts.
 DISCOUNT, SHARED_DISCOUNT = 5.0, 0.75
-#: So many words' values are broadcast; the others' are joined.
+#: So many rows and contexts of a model are broadcast; a larger one is joined.
+SENT = 1 << 22
+#: Of a larger one, so many words' values are broadcast; the others' are joined.
 ROWS = 1 << 19
 #: Different rows, and words, that a task counts before it hands them on.
 HELD = 1_000_000
@@ -65,8 +68,7 @@ THRESHOLD = 0.3
 LEVELS = (1, 2, 3, 4)
 FEATURES = 3 + 2 * (len(LEVELS) + 1)
 #: Values are summed as whole numbers of this many to one, so that no sum depends on the order of its terms.
-UNITS = 1 << 32
-_SLOT_BITS = 21
+UNITS = 1 << 20
 _SYMBOLS = np.empty(0, dtype=np.uint8)
 
 
@@ -201,11 +203,11 @@ def differences(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Table:
-    """Long -> float by open addressing in plain arrays, looked up for whole arrays at once; 0 for what it does not hold."""
+    """Long -> number by open addressing in plain arrays, looked up for whole arrays at once; 0 for what it does not hold. No key is 0."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << _SLOT_BITS
-        self.keys, self.values = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.float32)
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.zeros(1 << self.bits, dtype=np.int64), np.zeros(1 << self.bits, dtype=values.dtype)
         left = np.arange(len(keys))
         self.probes = 0
         while len(left):
@@ -218,17 +220,16 @@ class Table:
             left = left[~put]
             self.probes += 1
 
-    @staticmethod
-    def _slot(keys: np.ndarray, probe: int) -> np.ndarray:
-        return ((mix(keys.astype(np.uint64)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64) + probe) & ((1 << _SLOT_BITS) - 1)
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return ((mix(keys.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64) + probe) & ((1 << self.bits) - 1)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values, whether held)."""
         home = self._slot(keys, 0)
-        values, held = np.zeros(len(keys), dtype=np.float32), np.zeros(len(keys), dtype=bool)
+        values, held = np.zeros(len(keys), dtype=self.values.dtype), np.zeros(len(keys), dtype=bool)
         left = np.arange(len(keys))
         for probe in range(self.probes):
-            slot = (home[left] + probe) & ((1 << _SLOT_BITS) - 1)
+            slot = (home[left] + probe) & ((1 << self.bits) - 1)
             there = self.keys[slot]
             hit = there == keys[left]
             values[left[hit]], held[left[hit]] = self.values[slot[hit]], True
@@ -261,7 +262,7 @@ def _model(counts: DataFrame, folds: str) -> tuple[DataFrame, DataFrame]:
     """(row, units) and (row, units) of contexts, of the given folds: all whose value is not another's."""
     summed = counts.select("row", *[sum(F.col(f"{f}{c}") for f in folds).alias(f"n{c}") for c in (0, 1)])
     rows, contexts = differences(summed)
-    units = F.round(F.col("value") * UNITS).cast("long").alias("units")
+    units = F.round(F.col("value") * UNITS).cast("int").alias("units")
     return materialize(rows.where("above").select("row", units), "toxic-values"), materialize(contexts.select("row", units).where("units <> 0"), "toxic-values")
 
 
@@ -294,9 +295,59 @@ def _most_frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got["word"].to_numpy().astype(np.int64), got["value"].to_numpy().astype(np.float32)
 
 
+def _model_table(model: tuple[DataFrame, DataFrame]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Keys (a row doubled, a context doubled and one more) and units of a model of at most ``SENT`` rows and contexts; None for a larger one."""
+    rows, contexts = model
+    if rows.count() + contexts.count() > SENT:
+        return None
+    got = rows.select((F.col("row") * 2).alias("key"), "units").union(contexts.select((F.col("row") * 2 + 1).alias("key"), "units")).toArrow()
+    return got["key"].to_numpy().astype(np.int64), got["units"].to_numpy().astype(np.int32)
+
+
+def _values_of(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray, model: Table) -> np.ndarray:
+    """The value of each word of a slice of texts; each different one is looked up once."""
+    _, first, which = np.unique(word, return_index=True, return_inverse=True)
+    n = end[first] - start[first] + 1  # with the gap behind it
+    rows, _ = _rows(symbols[np.repeat(start[first] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+    units, held = model.find(rows << 1)
+    other = np.flatnonzero(~held)
+    units[other] = model.find((rows[other] >> 8 << 1) | 1)[0]
+    sums = np.bincount(np.repeat(np.arange(len(first)), n), weights=units, minlength=len(first))
+    return (sums / UNITS).astype(np.float32)[which]
+
+
+def _text_sums(of: np.ndarray, n: int, length: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each of n texts the numbers of symbols and words, and over its words the sum of values, how many exceed each level, and what exceeds the first level."""
+    over = [value > level for level in LEVELS] + [np.maximum(value.astype(np.float64) - LEVELS[0], 0)]
+    return np.stack([np.bincount(of, weights=w, minlength=n) for w in (length, np.ones(len(of)), value, *over)], axis=1).astype(np.float64)
+
+
+def _lists(sums: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, sums.shape[1]), pa.int32()), pa.array(sums.ravel()))
+
+
 def compare(docs: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """The columns of docs but ``text``, the last, and ``sums``: numbers of symbols and words, and over its words
-    the sum of values, how many exceed each level, and the sum of what exceeds the first level."""
+    """The columns of docs but ``text``, the last, and ``sums`` as ``_text_sums`` has them."""
+    table = _model_table(model)
+    return _compare_by_join(docs, model) if table is None else _compare_in_place(docs, table)
+
+
+def _compare_in_place(docs: DataFrame, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    sent, names = docs.sparkSession.sparkContext.broadcast(table), docs.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Table(*sent.value)
+        for batch in pieces(batches, "text", 1_000_000):
+            symbols, ends = _symbols(batch.column(len(names)).to_pylist())
+            start, end, word = _words(symbols.tobytes())
+            value = _values_of(symbols, start, end, word, held) if len(word) else np.empty(0, dtype=np.float32)
+            sums = _text_sums(np.searchsorted(ends, start, side="right"), batch.num_rows, end - start + 1, value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), _lists(sums)], [*names, "sums"])
+
+    return docs.mapInArrow(run, docs.drop("text").schema.add("sums", T.ArrayType(T.DoubleType())))
+
+
+def _compare_by_join(docs: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     words = word_values(docs, model)
     sent = docs.sparkSession.sparkContext.broadcast(_most_frequent(words))
     names = docs.columns[:-1]
@@ -308,12 +359,10 @@ def compare(docs: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
             start, end, word = _words(symbols.tobytes())
             n, of = batch.num_rows, np.searchsorted(ends, start, side="right")
             value, held = table.find(word)
-            over = [value > level for level in LEVELS] + [np.maximum(value.astype(np.float64) - LEVELS[0], 0)]
-            sums = np.stack([np.bincount(of, weights=w, minlength=n) for w in (end - start + 1, np.ones(len(of)), value, *over)], axis=1).astype(np.float64)
             cuts = np.concatenate([[0], np.cumsum(np.bincount(of[~held], minlength=n))])
             others = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(word[~held]))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, sums.shape[1]), pa.int32()), pa.array(sums.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), lists, others], [*names, "sums", "others"])
+            sums = _text_sums(of, n, end - start + 1, value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), _lists(sums), others], [*names, "sums", "others"])
 
     schema = docs.drop("text").schema.add("sums", T.ArrayType(T.DoubleType())).add("others", T.ArrayType(T.LongType()))
     here = materialize(docs.mapInArrow(run, schema).withColumn("key", F.monotonically_increasing_id()), "toxic-sums")
@@ -322,7 +371,7 @@ def compare(docs: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     joined = here.select("key", F.explode("others").alias("word")).join(words.where("value <> 0").select("word", "value"), "word")
     added = joined.groupBy("key").agg(F.array(F.lit(0.0), F.lit(0.0), *more).alias("more"))
     sums = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda x, y: x + y))
-    return here.drop("others").join(added, "key", "left").select(*names, sums.alias("sums"))
+    return materialize(here.drop("others").join(added, "key", "left").select(*names, sums.alias("sums")), "toxic-sums")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[tuple[np.ndarray, ...] | None, np.ndarray]:
@@ -346,7 +395,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         flat[-1] = 10.0
         return both, flat
     first = _model(counts, "a")
-    drop(counts)
     # Drawn from ids alone; CURVE_ROWS rows at most are sent to the texts.
     drawn = rows.select("id").join(F.broadcast(known) if few else known, "id").where("fold = 1").distinct().orderBy(F.xxhash64("id"), "id").limit(CURVE_ROWS)
     sample = rows.join(F.broadcast(drawn), "id").select("label", "text")
@@ -356,9 +404,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, columns: list[Column]) -> DataFrame:
     """The given columns of docs and score."""
-    model, curve = fit(docs, labels, id_col, text_col, label_col)
-    if model is None:
-        return docs.select(*columns, F.lit(float(1 / (1 + np.exp(-curve[0])))).alias("score"))
+    with scratch() as kept:
+        model, curve = fit(docs, labels, id_col, text_col, label_col)
+        if model is None:
+            return docs.select(*columns, F.lit(float(1 / (1 + np.exp(-curve[0])))).alias("score"))
+        sums = compare(docs.select(*columns, F.col(text_col).alias("text")), model)
+        if hasattr(sums, "_quillmill_path"):
+            kept.keep(sums)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,7 +419,6 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
                 p = 1 / (1 + np.exp(-np.clip(features(sums) @ curve, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], "score"])
 
-    sums = compare(docs.select(*columns, F.col(text_col).alias("text")), model)
     return sums.mapInArrow(run, sums.drop("sums").schema.add("score", "double"))
 
 
@@ -380,7 +431,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents predicted toxic, which are told by two hashes of their texts."""
+    own = private_prefix(docs.columns, "__tx_")
     hashes = [F.xxhash64(F.col(text_col)), F.xxhash64(F.col(text_col), F.lit("second"))]
-    out = _scored(docs, labels, id_col, text_col, label_col, [h.alias(c) for h, c in zip(hashes, ("__tx_a", "__tx_b"))])
-    toxic = materialize(out.where(F.col("score") >= threshold).select("__tx_a", "__tx_b").distinct(), "toxic-texts")
-    return docs.join(toxic, (hashes[0] == F.col("__tx_a")) & (hashes[1] == F.col("__tx_b")), "left_anti")
+    out = _scored(docs, labels, id_col, text_col, label_col, [h.alias(c) for h, c in zip(hashes, (f"{own}a", f"{own}b"))])
+    toxic = materialize(out.where(F.col("score") >= threshold).select(f"{own}a", f"{own}b").distinct(), "toxic-texts")
+    return docs.join(toxic, (hashes[0] == F.col(f"{own}a")) & (hashes[1] == F.col(f"{own}b")), "left_anti")

@@ -1,5 +1,7 @@
 """Toxicity: held-out accuracy on given tables, the counts against a plain loop, and odd rows."""
 
+import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -102,6 +104,93 @@ def test_held_out_accuracy(spark):
     assert (got[got.toxic == 0].predicted == 0).mean() > 0.95
 
 
+def plain_scores(rows, labels):
+    """Every step of the module's text in plain loops; rows: (id, text), labels: (id, toxic)."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    known = {i: t for i, t in labels}
+    taught = [(i, t) for i, t in rows if i in known and fold(i) != 2]
+
+    def model(folds):
+        n = [Counter(), Counter()]
+        for i, t in taught:
+            if fold(i) in folds:
+                n[known[i]].update(plain_rows(t or ""))
+        scale = sum(n[1].values()) / max(sum(n[0].values()), 1)
+        n[0] = {r: k * scale for r, k in n[0].items()}
+        rows_ = set(n[0]) | set(n[1])
+        by = [{}, {}]
+        for r in rows_:
+            for c in (0, 1):
+                s, m = by[c].get(r[:-1], (0, 0))
+                by[c][r[:-1]] = (s + n[c].get(r, 0), m + min(n[c].get(r, 0), tox.DISCOUNT))
+        levels = []
+        longer = rows_
+        for m in tox.SHARED:
+            kinds = Counter(r[-m:] for r in longer)
+            around = {}
+            for g, k in kinds.items():
+                s, t = around.get(g[:-1], (0, 0))
+                around[g[:-1]] = (s + k, t + 1)
+            levels.append((m, kinds, around))
+            longer = {r[-m:] for r in longer}
+
+        def shared(r):
+            p = 1 / 256
+            for m, kinds, around in reversed(levels):
+                s, t = around[r[-m:][:-1]]
+                p = max(kinds[r[-m:]] - tox.SHARED_DISCOUNT, 0) / s + tox.SHARED_DISCOUNT * t / s * p
+            return p
+
+        def back(h, c):
+            s, m = by[c].get(h, (0, 0))
+            return m / s if s else 1.0
+
+        def value(r):
+            h = r[:-1]
+            if r not in rows_:
+                return math.log(back(h, 1)) - math.log(back(h, 0)) if h in by[0] else 0.0
+            p = [max(n[c].get(r, 0) - tox.DISCOUNT, 0) / by[c][h][0] + back(h, c) * shared(r) if by[c][h][0] else shared(r) for c in (0, 1)]
+            return math.log(p[1]) - math.log(p[0])
+
+        return value
+
+    def sums(text, value):
+        words, now = [], []
+        for r in plain_rows(text or ""):
+            now.append(r)
+            if r.endswith(" "):
+                words.append((len(now), sum(map(value, now))))
+                now = []
+        over = [sum(v > k for _, v in words) for k in tox.LEVELS] + [sum(max(v - tox.LEVELS[0], 0) for _, v in words)]
+        return [sum(n for n, _ in words), len(words), sum(v for _, v in words), *over]
+
+    first, both = model({0, 1}), model({0, 1, 3})
+    curve = [(i, t) for i, t in taught if fold(i) == 3]
+    beta = tox.fit_curve(tox.features(np.array([sums(t, first) for _, t in curve])), np.array([known[i] for i, _ in curve], dtype=float))
+    x = tox.features(np.array([sums(t, both) for _, t in rows]))
+    return {i: 1 / (1 + math.exp(-min(max(z, -30), 30))) for (i, _), z in zip(rows, x @ beta)}
+
+
+def test_scores_against_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+    fine, bad = ["the", "river", "walks", "over", "stones", "and", "trees", "sing"], ["scumbag", "idiots", "filthy"]
+    rows, labels = [], []
+    for i in range(120):
+        toxic = int(rng.random() < 0.4)
+        words = list(rng.choice(fine, int(rng.integers(1, 40))))
+        for w in rng.choice(bad, 3 * toxic):
+            words.insert(int(rng.integers(0, len(words) + 1)), w)
+        rows.append((i, " ".join(words)))
+        if rng.random() < 0.8:
+            labels.append((i, toxic))
+    rows += [(1000, ""), (1001, None), (1002, "été, 日本 SCUMBAG")]
+    want = plain_scores(rows, labels)
+    got = tox.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-3, (r, want[r["doc_id"]])
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "fine words here"), (2, None), (3, ""), (None, "x"), (1, "fine words here"), (4, "scum " * 50_000)], "doc_id long, text string")
     docs = docs.selectExpr("doc_id", "text", "'a' AS score", "1 AS held_out", "'b' AS id")
@@ -119,6 +208,7 @@ def test_odd_rows(spark):
 def test_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
     docs, labels = (spark.read.parquet(f"{DIR}/{n}.parquet") for n in ("documents", "labels"))
     want = {r["doc_id"]: r["score"] for r in tox.score(docs, labels).collect()}
+    monkeypatch.setattr(tox, "SENT", 100)
     monkeypatch.setattr(tox, "ROWS", 200)
     got = {r["doc_id"]: r["score"] for r in tox.score(docs, labels).collect()}
     assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-6
