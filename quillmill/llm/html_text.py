@@ -1,21 +1,27 @@
 """HTML extraction: the main text of a page from streamed parser events and text-to-tag ratios.
 
 The standard library's parser is fed a page once; its events build the page's lines (blocks), each with its
-text, the number of tags seen in it and the elements it stands in. A line's ratio is its characters of text that
+text, the number of tags seen in it and the element it stands in. A line's ratio is its characters of text that
 is not in links by its tags; lines in elements that are boilerplate by tag (menus, footers, forms, scripts ...)
-or by the words of their class or id (adverts, notices, comments ...) have ratio 0. The ratios are smoothed with
-a Gaussian and lines above a threshold form clusters. The clusters choose the content region: the articles (or
+or by the words of their class or id have ratio 0. Words that mark an element for what it is (adverts, cookie notices, reader comments)
+count in any element; words that may mean something else (share, related, notice ...) count in elements that group
+others, and words for a page's head do not count within an article. The ratios are smoothed with
+a Gaussian, and lines of at least half the mean form clusters. The clusters choose the content region: the articles (or
 the main element) that hold at least half of the clustered text, or else the deepest element that holds nine tenths
-of it. All lines of the region that are not boilerplate are the text, short ones too.
+of it. An article's lines that are not boilerplate are all text, short ones too. In any other region the clusters decide about
+its lines: the text runs from the first to the last clustered line, with the headings right above, and lines that are mostly links and in no
+cluster are left out.
 
-In a line white space is turned into one space and trimmed; lines are joined by ``\\n``. Defined cases: null or
+What is dropped within a line (a script, a drawing, a button) leaves the line whole. In a line white space is turned into one space and
+trimmed; lines are joined by ``\\n``. A page takes time in proportion to its length, however its elements are nested. Defined cases: null or
 empty html and pages without text give the empty string; unclosed and crossed tags are closed where the
-public rules imply it; whole pages are read whatever their length; an empty table gives an empty table.
+public rules imply it; whole pages are read whatever their length; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -35,13 +41,21 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = frozenset("article main section div td body html".split())
-#: Words of a class or id that mark page furniture.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of a class or id that mark page furniture wherever they stand.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup paywall "
-    "comment comments commentlist disqus respond replies reply sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs toolbar footer footnav header masthead topbar share sharing social related recommended recommendations pagination pager".split()
+    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors promo cookie cookies consent gdpr newsletter subscribe signup paywall "
+    "comments commentlist disqus respond sidebar sidebars navbar breadcrumb breadcrumbs footnav pagination pager popup modal overlay".split()
 )
+#: Words that mark it in elements that group others, not in a paragraph, heading or quotation.
+GROUP_MARKS = frozenset(
+    "promotion promoted banner notice notices notification alert subscription comment reply replies widget widgets menu menus nav navigation toolbar footer share sharing social related recommended recommendations".split()
+)
+GROUPS = frozenset("div section ul ol dl table tbody tr td li form fieldset figure details a span article".split())
+#: Words that mark the head of a page, or of an article where they stand in one.
+HEAD_MARKS = frozenset("header masthead topbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NEVER_MARKED = frozenset("html body main article".split())
+NEVER_MARKED = frozenset("html body main".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Opening the first closes an open second.
 CLOSES = {
@@ -57,65 +71,80 @@ CLOSES = {
 SCOPE = frozenset("ul ol dl table tbody thead tfoot select body html article main".split())
 
 
+class Line:
+    """A block's pieces of text, its tags, characters in links, whether it is dropped, and the container it stands in (-1: none)."""
+
+    __slots__ = ("words", "tags", "linked", "dropped", "within", "heading", "text")
+
+    def __init__(self, dropped: bool, within: int, heading: bool):
+        self.words: list[str] = []
+        self.tags = self.linked = 0
+        self.dropped, self.within, self.heading, self.text = dropped, within, heading, ""
+
+
 class Lines(HTMLParser):
-    """Collects lines: [pieces of text, tags, characters in links, dropped, path of container numbers]."""
+    """Collects lines, and the containers with the one around each (numbers rise from the outer to the inner ones)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = []
-        self.stack: list[tuple[str, bool, int]] = []  # tag, dropped, container number or -1
+        self.lines: list[Line] = []
+        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, dropped, mutes its line, innermost container
+        self.open: Counter[str] = Counter()
         self.kinds: list[str] = []
-        self.links = 0
-        self.line = [[], 0, 0, False, ()]
+        self.around: list[int] = []
+        self.muted = 0
+        self.line = Line(False, -1, False)
 
     def _break(self) -> None:
-        if self.line[0]:
+        if self.line.words:
             self.lines.append(self.line)
-        self.line = [[], 0, 0, self.stack[-1][1] if self.stack else False, tuple(s[2] for s in self.stack if s[2] >= 0)]
+        top = self.stack[-1] if self.stack else ("", False, False, -1)
+        self.line = Line(top[1], top[3], any(self.open[h] for h in HEADINGS))
 
     def _furniture(self, tag: str, attrs: list) -> bool:
         if tag in HIDDEN or tag in FURNITURE:
             return True
-        if tag == "header" and not any(s[0] in ("article", "main") for s in self.stack):
+        inside = self.open["article"] + self.open["main"] > 0
+        if tag == "header" and not inside:
             return True
-        if tag in NEVER_MARKED:
-            return any(k in ("class", "id") and v and tag == "article" and self._comment(v) for k, v in attrs)
         for k, v in attrs:
-            if k in ("class", "id") and v and any(p.lower() in MARKS for p in _PARTS.findall(v)):
-                return True
+            if k in ("class", "id") and v and tag not in NEVER_MARKED:
+                words = {p.lower() for p in _PARTS.findall(v)}
+                if words & MARKS or tag in GROUPS and words & GROUP_MARKS or not inside and words & HEAD_MARKS:
+                    return True
             if k == "role" and v and v.lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true":
                 return True
             if k == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
                 return True
         return False
 
-    def _comment(self, value: str) -> bool:
-        return any(p.lower() in ("comment", "comments", "reply", "replies", "ad", "ads", "advert", "promo", "sponsored", "related") for p in _PARTS.findall(value))
-
     def _pop(self, at: int) -> None:
-        self.links -= sum(s[0] == "a" for s in self.stack[at:])
-        blocks = any(s[0] in BLOCK or s[1] and (at == 0 or not self.stack[at - 1][1]) for s in self.stack[at:])
+        gone = self.stack[at:]
+        blocks = any(x[0] in BLOCK for x in gone)
         if blocks:
             self._break()
         del self.stack[at:]
+        self.open.subtract(x[0] for x in gone)
+        self.muted -= sum(x[2] for x in gone)
         if blocks:
             self._break()
 
     def _close_open(self, tags: frozenset, beyond: frozenset) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] in tags:
                 return self._pop(at)
             if self.stack[at][0] in beyond:
-                return None
+                return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
-            self.line[1] += 1
+            self.line.tags += 1
             if tag == "hr":
                 self._break()
-            elif tag in ("br", "img", "input", "wbr"):
-                if tag != "wbr":
-                    self.line[0].append(" ")
+            elif tag in ("br", "img", "input") and not self.muted:
+                self.line.words.append(" ")
             return
         if tag in BLOCK:
             self._close_open(frozenset(["p"]), SCOPE | {"div", "section", "li", "td", "th", "button"})
@@ -123,18 +152,19 @@ class Lines(HTMLParser):
             self._close_open(CLOSES[tag], SCOPE)
         if tag == "body":
             self._close_open(frozenset(["head"]), frozenset())
-        inherited = bool(self.stack) and self.stack[-1][1]
+        inherited, within = (self.stack[-1][1], self.stack[-1][3]) if self.stack else (False, -1)
         dropped = inherited or self._furniture(tag, attrs)
-        number = -1
+        mutes = dropped and not inherited and tag not in BLOCK
         if tag in CONTAINER:
-            number = len(self.kinds)
+            self.around.append(within)
+            within = len(self.kinds)
             self.kinds.append(tag)
-        if tag == "a":
-            self.links += 1
-        self.stack.append((tag, dropped, number))
-        if tag in BLOCK or dropped and not inherited:
+        self.stack.append((tag, dropped, mutes, within))
+        self.open[tag] += 1
+        self.muted += mutes
+        if tag in BLOCK:
             self._break()
-        self.line[1] += 1
+        self.line.tags += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -142,32 +172,31 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self.line[1] += 1
-        if tag == "br":
-            self.line[0].append(" ")
-        if tag in VOID:
+        self.line.tags += 1
+        if tag == "br" and not self.muted:
+            self.line.words.append(" ")
+        if tag in VOID or not self.open[tag]:
             return
         inline = tag not in BLOCK and tag not in HIDDEN
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
                 return self._pop(at)
             if inline and self.stack[at][0] in BLOCK:
-                return None
+                return
 
     def handle_data(self, data: str) -> None:
-        self.line[0].append(data)
-        if self.links > 0:
-            self.line[2] += len(data)
+        if not self.muted:
+            self.line.words.append(data)
+            if self.open["a"]:
+                self.line.linked += len(data)
 
-    def done(self) -> list[list]:
+    def done(self) -> list[Line]:
         self.close()
         self._break()
-        out = []
-        for words, tags, linked, dropped, path in self.lines:
-            text = " ".join("".join(words).split())
-            if text:
-                out.append([text, tags, min(linked, len(text)), dropped, path])
-        return out
+        for x in self.lines:
+            x.text = " ".join("".join(x.words).split())
+            x.linked = min(x.linked, len(x.text))
+        return [x for x in self.lines if x.text]
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -177,49 +206,62 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(ratios, kernel / kernel.sum(), mode="full")[reach : reach + len(ratios)]
 
 
+def _region(parser: Lines, lines: list[Line], weight: np.ndarray) -> tuple[list[bool], bool]:
+    """For each container whether it is in the content region (the last entry: lines in none), and whether that is an article or main element.
+
+    weight: characters of each line that is in a cluster.
+    """
+    kinds, around, total = parser.kinds, parser.around, weight.sum()
+    held = [0.0] * len(kinds)
+    for x, w in zip(lines, weight):
+        if x.within >= 0:
+            held[x.within] += w
+    in_article, depth = [False] * len(kinds), [0] * len(kinds)
+    for c in range(len(kinds) - 1, -1, -1):
+        if around[c] >= 0:
+            held[around[c]] += held[c]
+    for c, a in enumerate(around):
+        if a >= 0:
+            in_article[c], depth[c] = in_article[a] or kinds[a] == "article", depth[a] + 1
+    articles = [c for c, k in enumerate(kinds) if k == "article" and not in_article[c] and held[c]]
+    mains = [c for c, k in enumerate(kinds) if k == "main" and held[c]]
+    marked = True
+    if articles and sum(held[c] for c in articles) >= 0.5 * total:
+        chosen = set(articles)
+    elif mains and max(held[c] for c in mains) >= 0.5 * total:
+        chosen = {max(mains, key=lambda c: held[c])}
+    else:
+        deep = [c for c in range(len(kinds)) if held[c] >= 0.9 * total]
+        chosen, marked = ({max(deep, key=lambda c: depth[c])} if deep else set()), False
+    inside = [False] * len(kinds)
+    for c, a in enumerate(around):
+        inside[c] = c in chosen or not chosen or a >= 0 and inside[a]
+    return [*inside, not chosen], marked
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     if not html:
         return ""
     parser = Lines()
     parser.feed(html)
     lines = parser.done()
-    if not lines:
+    size = np.array([0 if x.dropped else len(x.text) for x in lines], dtype=float)
+    if not size.any():
         return ""
-    size = np.array([0 if x[3] else len(x[0]) for x in lines], dtype=float)
-    plain = np.array([0 if x[3] else len(x[0]) - x[2] for x in lines], dtype=float)
-    ratio = smoothed(plain / np.array([max(1, x[1]) for x in lines]), sigma)
+    plain = np.array([0 if x.dropped else len(x.text) - x.linked for x in lines], dtype=float)
     if not plain.any():
-        plain, ratio = size, smoothed(size, sigma)
-    if not plain.any():
-        return ""
-    # Lines above half the mean of the smoothed ratios of lines that may be content form the clusters.
+        plain = size
+    ratio = smoothed(plain / np.array([max(1, x.tags) for x in lines]), sigma)
+    # Lines of at least half the mean smoothed ratio of lines that may be content form the clusters.
     high = (ratio >= 0.5 * ratio[plain > 0].mean()) & (plain > 0)
-    total = size[high].sum()
-    held: dict[int, float] = {}
-    for x, s, h in zip(lines, size, high):
-        if h:
-            for c in x[4]:
-                held[c] = held.get(c, 0.0) + s
-    articles = [c for c in held if parser.kinds[c] == "article"]
-    mains = [c for c in held if parser.kinds[c] == "main"]
-    outer = [c for c in articles if not any(c in x[4] and d in x[4] and x[4].index(d) < x[4].index(c) for x in lines for d in articles if d != c)] if len(articles) > 1 else articles
-    if outer and sum(held[c] for c in outer) >= 0.5 * total:
-        region = set(outer)
-    elif mains and max(held[c] for c in mains) >= 0.5 * total:
-        region = {max(mains, key=held.get)}
-    else:
-        depth = {c: k for x in lines for k, c in enumerate(x[4])}
-        deep = [c for c in held if held[c] >= 0.9 * total]
-        region = {max(deep, key=lambda c: depth[c])} if deep else None
-    marked = bool(region) and all(parser.kinds[c] in ("article", "main") for c in region)
-    kept = []
-    for (text, _, linked, dropped, path), h in zip(lines, high):
-        if dropped or region is not None and not region.intersection(path):
-            continue
-        if not marked and not h and linked > 0.5 * len(text):
-            continue  # a menu without markup of its own
-        kept.append(text)
-    return "\n".join(kept)
+    inside, marked = _region(parser, lines, np.where(high, size, 0.0))
+    kept = [k for k, x in enumerate(lines) if not x.dropped and inside[x.within]]
+    if not marked and any(high[k] for k in kept):
+        first, last = (next(i for i in order if high[kept[i]]) for order in (range(len(kept)), range(len(kept) - 1, -1, -1)))
+        while first and lines[kept[first - 1]].heading:
+            first -= 1
+        kept = [k for k in kept[first : last + 1] if high[k] or lines[k].linked <= 0.5 * len(lines[k].text)]
+    return "\n".join(lines[k].text for k in kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

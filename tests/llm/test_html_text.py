@@ -1,8 +1,10 @@
 """HTML extraction on pages whose article is known."""
 
 import re
+import time
 from html import unescape
 
+import numpy as np
 import pytest
 
 from quillmill.llm.html_text import extract, main_text, smoothed
@@ -25,6 +27,11 @@ LONG = "A sentence of ordinary running text that goes on for a while, with comma
         ("just text", "just text"),
         (f"<article><p>{LONG}<div class='cookie-notice'>We use cookies</div><p>tail &lt;b&gt; &#233;&nbsp;&copy;", f"{LONG.strip()}\ntail <b> é ©"),
         ("<p>unclosed <a href='x", "unclosed <a href='x"),
+        ("<article><p>foo <svg><text>x</text></svg> bar <button>ok</button> and<script>1</script>or <math><mi>y</mi></math>end</p></article>", "foo bar andor end"),
+        (f"<article><div class='entry-header'><h1>My title</h1></div><p class='share-price'>{LONG}</p><blockquote class=related>quoted</blockquote></article>", f"My title\n{LONG.strip()}\nquoted"),
+        (f"<article><p>{LONG}</p><div class='share-buttons'>Share this</div><div class=comments><article class=comment><p>{LONG}</p></article></div></article>", LONG.strip()),
+        (f"<div><a href=1>One</a></div><div><a href=2>Two</a></div><div><h2>Head</h2><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div><div><p>Imprint</p></div><div>x</div><div>Terms</div>", f"Head\n{LONG.strip()}\n{LONG.strip()}\n{LONG.strip()}\nImprint"),
+        (f"<p>before</p></div></section><p>{LONG}</p></i>", f"before\n{LONG.strip()}"),
     ],
 )
 def test_pages(html, want):
@@ -52,8 +59,26 @@ def test_rows(spark):
 
 
 def test_smoothing_keeps_length_and_mass():
-    import numpy as np
-
     x = np.zeros(41)
     x[20] = 1.0
     assert smoothed(x).shape == x.shape and abs(smoothed(x).sum() - 1) < 1e-9 and smoothed(x).argmax() == 20
+
+
+def test_clusters_decide(monkeypatch):
+    import quillmill.llm.html_text as ht
+
+    menu = "".join(f"<div>Part {k} of the shop</div>" for k in range(9))
+    page = f"<body>{menu}<div><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div>{menu}</body>"
+    got = main_text(page)
+    assert LONG.strip() in got and got.count("Part") < 6
+    monkeypatch.setattr(ht, "smoothed", lambda r, sigma: np.ones_like(r))
+    assert main_text(page).count("Part") == 18
+
+
+def test_time_is_in_proportion_to_length():
+    listing = "".join(f"<article><h2>Item {k}</h2><p>{LONG}</p></article>" for k in range(1000))
+    deep = "<div><p>a b c" * 3000 + "</section>" * 3000
+    start = time.perf_counter()
+    assert main_text(listing).count("Item") == 1000
+    assert main_text(deep).count("a b c") >= 2700
+    assert time.perf_counter() - start < 2
