@@ -4,9 +4,11 @@ A document's shingles are its runs of five words (runs of anything but ASCII whi
 is one shingle). The sketch keeps every shingle hash below a fixed fraction of the hash range, so it is a sample
 of the shingle set at one rate for all documents: two sketches merge by union into the sketch of both texts, and
 the share of one sketch that lies in another estimates containment however unequal the documents are. A text
-with words none of whose shingles falls below the threshold keeps its least hash, so that its likeness is defined.
+with words none of whose shingles falls below the threshold has an empty sketch; its fingerprint is its least hash, which lies
+above the threshold and is told from a sketch by that. It stands for the text as long as nothing is merged with it but its
+like: ``merged`` drops it as soon as one side has a sketch, so that merging is exact for texts of every length.
 
-A fingerprint is the sorted kept hashes, eight hex digits each, in one string. Likeness is the share of the
+A fingerprint is the sorted kept hashes, sixteen hex digits each, in one string. Likeness is the share of the
 smaller sketch that lies in the larger one: 1 for two empty ones, 0 when only one is empty.
 
 Neighbours (the next document by ascending id) are found without a global window: ids are cut into ranges at
@@ -30,29 +32,32 @@ from quillmill.llm.common import pieces, shingles, word_hashes
 
 WORDS = 5
 FRACTION = 0.25
-NONE = np.empty(0, dtype=np.uint32)
+NONE = np.empty(0, dtype=np.uint64)
 
 
 def sketch(text: str, fraction: float = FRACTION) -> np.ndarray:
-    """Sorted distinct kept hashes (their upper 32 bits) of a whole text."""
-    hashes = shingles(word_hashes(text.encode("utf-8", "replace"))[2], WORDS)
+    """Sorted distinct kept hashes of a whole text, or its least one alone."""
+    return _kept(shingles(word_hashes(text.encode("utf-8", "replace"))[2], WORDS), fraction)
+
+
+def _kept(hashes: np.ndarray, fraction: float) -> np.ndarray:
     if not len(hashes):
         return NONE
-    upper = (hashes >> np.uint64(32)).astype(np.uint32)
-    kept = upper[upper < int(fraction * (1 << 32))]
-    return np.unique(kept) if len(kept) else upper.min(keepdims=True)
+    low = hashes[hashes < np.uint64(int(fraction * float(1 << 53)) << 11)] if fraction < 1 else hashes
+    return np.unique(low) if len(low) else hashes.min(keepdims=True)
 
 
 def to_string(kept: np.ndarray) -> str:
-    return kept.astype(">u4").tobytes().hex()
+    return kept.astype(">u8").tobytes().hex()
 
 
 def from_string(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), dtype=">u4").astype(np.uint32)
+    return np.frombuffer(bytes.fromhex(fingerprint), dtype=">u8").astype(np.uint64)
 
 
-def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.union1d(a, b)
+def merged(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """The sketch of the shingles of both."""
+    return _kept(np.union1d(a, b), fraction)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from quillmill.llm import fingerprints as fp
 
@@ -56,3 +57,24 @@ def test_plain_fingerprint(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, "a b c d e f")], "doc_id long, text string")
     got = dict(map(tuple, fp.fingerprint(docs).collect()))
     assert got[1] == got[3] == fp.to_string(fp.sketch("a b c d e f")) and got[2] == ""
+
+
+def plain_sketch(text, fraction):
+    """The least hash of every shingle in order, from single words' hashes."""
+    words = text.split()
+    all_ = {int(fp.shingles(fp.word_hashes(" ".join(words[k : k + 5]).encode())[2], 5)[0]) for k in range(max(1, len(words) - 4))} if words else set()
+    return sorted(h for h in all_ if h < fraction * 2**64) or sorted(all_)[:1]
+
+
+@pytest.mark.parametrize("text", ["", "one", "one two", "a b c d e", "a b c d e f g h i j k l m n", "x " * 50])
+def test_sketch_of_single_shingles(text):
+    assert fp.sketch(text).tolist() == plain_sketch(text, fp.FRACTION)
+
+
+def test_merging_is_the_sketch_of_both():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 10**6, n)) for n in (1, 2, 3, 5, 6, 7, 9, 12, 200)]
+    for a in texts:
+        for b in texts:
+            whole = np.unique(np.concatenate([fp.shingles(fp.word_hashes(t.encode())[2], 5) for t in (a, b)]))
+            assert fp.merged(fp.sketch(a), fp.sketch(b)).tolist() == fp._kept(whole, fp.FRACTION).tolist()
