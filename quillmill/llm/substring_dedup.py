@@ -12,9 +12,10 @@ least ``LEAST`` characters is a repeat and is taken out; shorter ones (a common
 share a digest by chance) stay.
 
 Defined cases: null text has no repeats and stays null; an empty text stays; rows that repeat a (doc_id, text)
-are one occurrence and are treated alike; rows of equal doc_id are told apart by their text's hash when spans are cut, but what
-repeats between them alone stays; a row without doc_id is named by its text's hash and stands where that falls in the order of
-ids; an empty table gives an empty table; other columns pass through untouched, whatever their names.
+are one occurrence and are treated alike; rows of equal doc_id are told apart, and come in the order of, 15 bits of their text's hash; a row without doc_id is named by its text's hash and stands where that falls in the order of
+ids; an empty table gives an empty table; other columns pass through untouched, and where one is named as one
+that the result adds, the added one has an underscore behind its name. A digest with more than one in ``HOT`` of all repeated chunks (there are at most ``HOT``) is sent to the
+chunks instead of the chunks to it, so that no common line gathers in one task.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quillmill.llm.common import mix, pieces
+from quillmill.llm.common import free_name, materialize, mix, pieces, private_prefix, scratch
 
 LEAST = 130
 LONGEST = 160
@@ -36,6 +37,9 @@ LONGEST = 160
 SHORT = 16
 #: Upper bits of the 16-bit gear hash that are zero where a chunk ends.
 BITS = 5
+HOT = 1000
+#: Added to the key of a hot digest's rows, which need no partner, so that they spread.
+SPREAD = 1024
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(40)).astype(np.uint16)
 
 
@@ -102,11 +106,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """(id, tag, spans, first_ids): for each document with repeats, their (start, end) in characters and where they first stand."""
     id_, tag = _identity(F.col(id_col), F.col(text_col))
     rows = docs.where(F.length(text_col) > 0).select(id_.alias("id"), tag.alias("tag"), F.col(text_col).alias("text")).mapInArrow(_chunk_rows, "digest long, id long, place long")
-    # What tells a first occurrence are the least id and, within that document, the chunker's mark.
-    repeated = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").select("digest", "first")
-    later = rows.join(repeated, "digest").where((F.col("id") != F.col("first")) | (F.col("place").bitwiseAND(F.lit(0x8000)) != 0)).select("id", "place", "first")
-    start = F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFFFFFF))
     tag = F.shiftrightunsigned("place", 48)
+    # What tells a first occurrence are the least id and tag and, within that document, the chunker's mark.
+    with scratch() as kept:
+        counted = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", tag.alias("tag"))).alias("first"))
+        repeated = kept.keep(materialize(counted.where("n > 1").select("digest", "n", "first"), "repeated-chunks"))
+    most = (repeated.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = repeated.where(F.col("n") > most).select("digest", F.col("first").alias("hot"))
+    rest = repeated.where(F.col("n") <= most).select("digest", F.lit(0).alias("part"), "first")
+    dealt = rows.join(F.broadcast(hot), "digest", "left").withColumn("part", F.when(F.col("hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("id", "place"), F.lit(SPREAD)).cast("int")))
+    met = dealt.join(rest, ["digest", "part"], "left").withColumn("first", F.coalesce("hot", "first")).where("first IS NOT NULL")
+    again = F.col("place").bitwiseAND(F.lit(0x8000)) != 0
+    later = met.where((F.col("id") != F.col("first.id")) | (tag != F.col("first.tag")) | again).select("id", "place", F.col("first.id").alias("first"))
+    start = F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFFFFFF))
     # Runs of chunks that touch, within each document; rows repeated as a whole repeat their chunks. Only packed rows are shuffled.
     later = later.repartition("id").dropDuplicates(["id", "place"]).select("id", tag.alias("tag"), start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(0x7FFF))).alias("end"), "first")
     order = W.partitionBy("id", "tag").orderBy("start")
@@ -128,9 +140,10 @@ def _cut(text: str, spans: list) -> str:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, only_changed: bool = False) -> DataFrame:
     """docs with ``text_col`` cleaned and repeat_spans, first_ids (null where nothing repeats); ``only_changed``: just the documents with repeats."""
     names = docs.columns
+    own = private_prefix(names, "__sd_")
     id_, tag = _identity(F.col(id_col), F.col(text_col))
-    found = repeats(docs, id_col, text_col, least).select(F.col("id").alias("__sd_id"), F.col("tag").alias("__sd_tag"), F.col("spans").alias("repeat_spans"), "first_ids")
-    joined = docs.withColumns({"__sd_i": id_, "__sd_t": tag}).join(found, (F.col("__sd_i") == F.col("__sd_id")) & (F.col("__sd_t") == F.col("__sd_tag")), "inner" if only_changed else "left").drop("__sd_i", "__sd_t", "__sd_id", "__sd_tag")
+    found = repeats(docs, id_col, text_col, least).select(F.col("id").alias(f"{own}id"), F.col("tag").alias(f"{own}tag"), F.col("spans").alias(free_name(names, "repeat_spans")), F.col("first_ids").alias(free_name(names, "first_ids")))
+    joined = docs.withColumns({f"{own}i": id_, f"{own}t": tag}).join(found, (F.col(f"{own}i") == F.col(f"{own}id")) & (F.col(f"{own}t") == F.col(f"{own}tag")), "inner" if only_changed else "left").drop(f"{own}i", f"{own}t", f"{own}id", f"{own}tag")
     at, spans_at = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
