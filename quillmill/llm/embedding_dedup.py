@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import drop, materialize, mix
+from quillmill.llm.common import materialize, mix, scratch
 from quillmill.llm.components import components
 
 COSINE = 0.95
@@ -135,6 +135,16 @@ def _linked(x: np.ndarray, y: np.ndarray | None, xk: np.ndarray, yk: np.ndarray
 
 def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(id, n_links, component_id, kept), one row for each vector."""
+    with scratch() as kept:
+        rows, told = _told(vectors, id_col, vector_col, cosine)
+        kept.keep(told)
+    out = rows.select("id", "ha", "hb").join(told, ["ha", "hb"], "left")
+    component = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def _told(vectors: DataFrame, id_col: str, vector_col: str, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, ha, hb) and, written, what is known of each class of equal vectors: (ha, hb, n_links, component_id)."""
     vector = F.col(vector_col)
     kind = vectors.schema[vector_col].dataType.elementType.simpleString()
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0)
@@ -211,9 +221,4 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     joined = classes.select("node", "ha", "hb", "n", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     told = joined.join(names, "component").join(counts, "node", "left").select("ha", "hb", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    told = materialize(told, "told")
-    for t in (places, found):
-        drop(t)
-    out = rows.select("id", "ha", "hb").join(told, ["ha", "hb"], "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return rows, materialize(told, "told")

@@ -7,7 +7,8 @@ spans of lines of all later occurrences are merged and taken out, blank lines in
 
 Defined cases: a null text stays null; an empty text or one of fewer than three lines stays as it is; rows that
 repeat a (doc_id, text) are the same occurrence and are treated alike; an empty table gives an empty table;
-other columns pass through untouched, whatever their names.
+other columns pass through untouched, and where one is named as one that the result adds, the added one has an
+underscore behind its name.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.common import free_name, private_prefix
+
 WINDOW = 3
 
 
@@ -47,17 +50,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with ``text_col`` cleaned and two more columns, n_lines_seen and n_lines_removed (all lines, blank ones too)."""
     names = docs.columns
-    spans = repeated_spans(docs, id_col, text_col).select(F.col("id").alias("__ld_id"), F.col("th").alias("__ld_th"), F.col("spans").alias("__ld_spans"))
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("__ld_id")) & (F.xxhash64(F.col(text_col)) == F.col("__ld_th")), "left").drop("__ld_id", "__ld_th")
-    joined = joined.withColumn("__ld_lines", _lines(F.col(text_col)))
-    covered = F.flatten(F.transform("__ld_spans", lambda s: F.sequence(s["first"], s["last"])))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), covered)
-    joined = joined.withColumn("__ld_left", F.when(F.col("__ld_spans").isNotNull(), left))
-    text = F.when(F.col("__ld_left").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("__ld_left", lambda i: F.get("__ld_lines", i)), "\n"))
-    seen = F.coalesce(F.size("__ld_lines"), F.lit(0))
+    own = private_prefix(names, "__ld_")
+    spans = repeated_spans(docs, id_col, text_col).select(F.col("id").alias(f"{own}id"), F.col("th").alias(f"{own}th"), F.col("spans").alias(f"{own}spans"))
+    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col(f"{own}id")) & (F.xxhash64(F.col(text_col)) == F.col(f"{own}th")), "left").drop(f"{own}id", f"{own}th")
+    joined = joined.withColumn(f"{own}lines", _lines(F.col(text_col)))
+    covered = F.flatten(F.transform(f"{own}spans", lambda s: F.sequence(s["first"], s["last"])))
+    left = F.array_except(F.sequence(F.lit(0), F.size(f"{own}lines") - 1), covered)
+    joined = joined.withColumn(f"{own}left", F.when(F.col(f"{own}spans").isNotNull(), left))
+    text = F.when(F.col(f"{own}left").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(f"{own}left", lambda i: F.get(f"{own}lines", i)), "\n"))
+    seen = F.coalesce(F.size(f"{own}lines"), F.lit(0))
     seen = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(seen)
     keep = [F.col(f"`{c}`") if c != text_col else text.alias(text_col) for c in names]
-    return joined.select(*keep, seen.alias("n_lines_seen"), F.when(F.col("__ld_left").isNull(), F.lit(0)).otherwise(seen - F.size("__ld_left")).alias("n_lines_removed"))
+    removed = F.when(F.col(f"{own}left").isNull(), F.lit(0)).otherwise(seen - F.size(f"{own}left"))
+    return joined.select(*keep, seen.alias(free_name(names, "n_lines_seen")), removed.alias(free_name(names, "n_lines_removed")))
 
 
 SQL = r"""

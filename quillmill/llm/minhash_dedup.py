@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import drop, joined, materialize, mix, pieces, shingles, word_hashes
+from quillmill.llm.common import joined, materialize, mix, pieces, private_prefix, scratch, shingles, word_hashes
 from quillmill.llm.components import components
 
 WORDS = 5
@@ -215,6 +215,11 @@ def _with_identity(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(ta, tb, component_id, n_texts): for each different text that is not alone, by its two hashes, the least id of its group and how many different texts that has."""
+    with scratch() as kept:
+        return kept.keep(_groups(docs, id_col, text_col, similarity))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     rows = _with_identity(docs, id_col, text_col)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,17 +241,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     found = rows.join(needed, (rows["ta"] == needed["ta"]) & (rows["tb"] == needed["tb"]) & rows["id"].eqNullSafe(needed["least"]))
     held = materialize(found.select("node", "text"), "texts")
     first = materialize(_compare(placed.where(F.col("t") < FIRST_BANDS).withColumn("grp", F.col("node")), held, similarity), "links")
-    joined_first = materialize(components(first).withColumnsRenamed({"id": "node", "component": "grp"}), "groups")
+    joined_first = components(first).withColumnsRenamed({"id": "node", "component": "grp"})
     labelled = placed.where(F.col("t") >= FIRST_BANDS).join(joined_first, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
     mixed = labelled.groupBy("t", "key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("t", "key")
     second = materialize(_compare(labelled.join(mixed, ["t", "key"]), held, similarity), "links")
     whole = components(first.union(second)).withColumnsRenamed({"id": "node"})
     named = classes.select("node", "ta", "tb", "least", "copies").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_texts"))
-    out = materialize(named.join(names, "component").where("n_texts > 1 OR copies > 1").select("ta", "tb", "component_id", "n_texts"), "named")
-    for t in (classes, placed, held, first, joined_first, second):
-        drop(t)
-    return out
+    return materialize(named.join(names, "component").where("n_texts > 1 OR copies > 1").select("ta", "tb", "component_id", "n_texts"), "named")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -259,10 +261,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with only the document of least id of each group."""
-    found = groups(docs, id_col, text_col, similarity)
-    gone = found.select(F.col("ta").alias("__nd_ta"), F.col("tb").alias("__nd_tb"), F.col("component_id").alias("__nd_least"))
+    found, own = groups(docs, id_col, text_col, similarity), private_prefix(docs.columns, "__nd_")
+    gone = found.select(F.col("ta").alias(f"{own}ta"), F.col("tb").alias(f"{own}tb"), F.col("component_id").alias(f"{own}least"))
     text = F.col(text_col)
-    same = (F.xxhash64(text) == F.col("__nd_ta")) & (F.xxhash64(text, F.lit("second")) == F.col("__nd_tb"))
+    same = (F.xxhash64(text) == F.col(f"{own}ta")) & (F.xxhash64(text, F.lit("second")) == F.col(f"{own}tb"))
     joined_ = docs.join(gone, same, "left")
-    stays = F.col("__nd_ta").isNull() | F.col(id_col).cast("long").eqNullSafe(F.col("__nd_least"))
+    stays = F.col(f"{own}ta").isNull() | F.col(id_col).cast("long").eqNullSafe(F.col(f"{own}least"))
     return joined_.where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,7 +4,8 @@ A document's size is its number of words (runs of anything but ASCII white space
 code-point order with null last, weigh 5, 2, 1, repeating, and share the words of the corpus by weight; a target
 stops at 3 times its source's size and what is over goes to the others by weight until none is above. A source
 first gives as many complete epochs as fit in its target; the rest is drawn without replacement: each document
-gets the key -ln(u) / w, with u a uniform number from a digest of doc_id and w a quality weight, and documents
+gets the key -ln(u) / w, with u a uniform number from a digest of doc_id and w a quality weight (a column that the caller
+gives, such as a classifier's score, or else one from the symbols in its text, which SQL can check), and documents
 are taken by rising key until the prefix sum of their sizes reaches the budget. With ``cut`` the document in
 which the budget ends gives only the words that are missing; without, it is taken whole if at least half of
 it fits. No global sort is needed: sizes are first summed by key bin, and only the bin in which a source's budget ends
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quillmill.llm.common import materialize
+from quillmill.llm.common import materialize, private_prefix, scratch
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -48,9 +49,17 @@ def sampling_key(id_: Column, weight: Column) -> Column:
     return -F.log(u) / weight
 
 
-def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _weight(text_col: str, weight: Column | None) -> Column:
+    """The caller's weight of a document (a quality score, say), at least 1e-6 and that where it is null or NaN; else the one of its text."""
+    if weight is None:
+        return quality_weight(F.col(text_col))
+    weight = weight.cast("double")
+    return F.when(weight.isNull() | F.isnan(weight), F.lit(1e-6)).otherwise(F.greatest(weight, F.lit(1e-6)))
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None = None) -> DataFrame:
     text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(text).alias("size"), sampling_key(F.col(id_col), quality_weight(text)).alias("key"))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(text).alias("size"), sampling_key(F.col(id_col), _weight(text_col, weight)).alias("key"))
 
 
 def source_plan(slim: DataFrame, cut: bool = True) -> DataFrame:
@@ -104,26 +113,29 @@ def _taken(size: Column, key: Column, id_: Column) -> Column:
     return (F.col("epochs") * size + F.coalesce(part, F.lit(0))).cast("long")
 
 
-def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken), one row for each document."""
-    slim = materialize(_slim(docs, id_col, text_col, source_col), "mix-docs")
-    plan = source_plan(slim, cut=True).withColumnRenamed("src", "psrc")
+def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source), one row for each document."""
+    with scratch() as kept:
+        slim = kept.keep(materialize(_slim(docs, id_col, text_col, source_col, weight), "mix-docs"))
+        plan = kept.keep(source_plan(slim, cut=True)).withColumnRenamed("src", "psrc")
     joined = slim.join(plan, F.col("src").eqNullSafe(F.col("psrc")))
-    return joined.select(F.col("id").alias(id_col), F.col("src").alias(source_col), "size", "source_size", "target", _taken(F.col("size"), F.col("key"), F.col("id")).alias("taken"))
+    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", _taken(F.col("size"), F.col("key"), F.col("id")).alias("taken"), F.col("src").alias(source_col))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
     """The mixed corpus: docs' columns, a document as many times as the mix takes it, always whole."""
     names = docs.columns
-    size, key = word_count(F.col(text_col)), sampling_key(F.col(id_col), quality_weight(F.col(text_col)))
-    slim = materialize(_slim(docs, id_col, text_col, source_col), "mix-docs")
-    plan = source_plan(slim, cut=False)
-    plan = plan.select(*[F.col(c).alias(f"__mix_{c}") for c in plan.columns])
-    joined = docs.withColumns({"__mix_size": size, "__mix_key": key}).join(plan, F.col(source_col).eqNullSafe(F.col("__mix_src")))
-    id_, k = F.col(id_col), F.col("__mix_key")
-    within = (k < F.col("__mix_cut_key")) | ((k == F.col("__mix_cut_key")) & (F.coalesce(id_ < F.col("__mix_cut_id"), F.lit(False)) | (id_.eqNullSafe(F.col("__mix_cut_id")) & (F.col("__mix_cut_left") > 0))))
-    times = F.col("__mix_epochs") + F.when(within, F.lit(1)).otherwise(F.lit(0))
-    return joined.withColumn("__mix_times", times.cast("int")).where("__mix_times > 0").withColumn("__mix_nth", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).select(*[F.col(f"`{c}`") for c in names])
+    own = private_prefix(names, "__mix_")
+    size, key = word_count(F.col(text_col)), sampling_key(F.col(id_col), _weight(text_col, weight))
+    with scratch() as kept:
+        slim = materialize(_slim(docs, id_col, text_col, source_col, weight), "mix-docs")
+        plan = kept.keep(source_plan(slim, cut=False))
+    plan = plan.select(*[F.col(c).alias(f"{own}{c}") for c in plan.columns])
+    joined = docs.withColumns({f"{own}size": size, f"{own}key": key}).join(plan, F.col(source_col).eqNullSafe(F.col(f"{own}src")))
+    id_, k = F.col(id_col), F.col(f"{own}key")
+    within = (k < F.col(f"{own}cut_key")) | ((k == F.col(f"{own}cut_key")) & (F.coalesce(id_ < F.col(f"{own}cut_id"), F.lit(False)) | (id_.eqNullSafe(F.col(f"{own}cut_id")) & (F.col(f"{own}cut_left") > 0))))
+    times = F.col(f"{own}epochs") + F.when(within, F.lit(1)).otherwise(F.lit(0))
+    return joined.withColumn(f"{own}times", times.cast("int")).where(F.col(f"{own}times") > 0).withColumn(f"{own}nth", F.explode(F.sequence(F.lit(1), F.col(f"{own}times")))).select(*[F.col(f"`{c}`") for c in names])
 
 
 SQL = rf"""

@@ -78,6 +78,31 @@ def test_plan_grows_with_the_logarithm():
     assert abs(ed.agreement(0.3162) - 0.874) < 0.002
 
 
+def test_recall_just_above_the_threshold(spark):
+    """2,000 planted pairs of cosine 0.95 to 0.96 among 6,000 vectors; nothing else links."""
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base, other = unit(rng.normal(size=(2000, 64))), rng.normal(size=(2000, 64))
+    other = unit(other - (other * base).sum(axis=1, keepdims=True) * base)
+    c = rng.uniform(0.9501, 0.96, 2000)[:, None]
+    rows = np.concatenate([base, c * base + np.sqrt(1 - c * c) * other, rng.normal(size=(2000, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = ed.links(df).toPandas().set_index("vec_id")
+    found = (got.component_id[2000:4000].to_numpy() == np.arange(2000)).mean()
+    assert found >= 0.995 and (got.n_links[4000:] == 0).all()
+
+
+def test_tables_of_a_run_are_deleted(spark, tmp_path, monkeypatch):
+    from quillmill.llm import common
+
+    rows = make(100, 16, 4, 0.05)
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    with common.scratch() as s:
+        ed.links(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+        assert [p.name.split("-")[1] for p in tmp_path.iterdir()] == ["told"] and len(s.made) == 1
+    assert not list(tmp_path.iterdir())
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2400, (300, 2))] + [(7, 7)]

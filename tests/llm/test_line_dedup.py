@@ -36,6 +36,13 @@ def test_odd_rows(spark):
     assert cleaned(spark, []) == []
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc", 7, "x"), (2, "a\nb\nc", 8, "y")], "doc_id long, text string, n_lines_removed int, N_lines_seen string")
+    out = ld.line_dedup(df)
+    assert out.columns == [*df.columns, "n_lines_seen_", "n_lines_removed_"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a\nb\nc", 7, "x", 3, 0), (2, "", 8, "y", 3, 3)]
+
+
 def test_no_python_in_the_plan(spark):
     plan = ld.line_dedup(spark.read.parquet(f"{DIR}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline as cp
-from quillmill.llm import toxicity
+from quillmill.llm import common, toxicity
 from test_minhash_dedup import brute as groups
 from test_bpe import REAL
 
@@ -85,3 +85,43 @@ def test_stages(spark):
 def test_run(spark):
     out = cp.run(spark, DIR)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
+
+
+def odd(spark):
+    lines = "one line\nanother line\na third line\n"
+    rows = [
+        (1, None, "src"), (2, "", "src"), (3, "   ", None), (4, lines + "tail of four", "src"), (5, lines, "b"), (5, lines, "b"),
+        (None, "a row without an id stays too", "b"), (6, "word " * 60_000, "c"), (7, "é 日本 \n\n\n x", None), (8, lines + "tail of four", "c"),
+    ]
+    schema = "doc_id long, text string, source string, n_lines_removed int, id string, score double, size string, n_chars long, `__nd_ta` int, component_id string"
+    return spark.createDataFrame([(i, t, s, 1, "x", 0.5, "y", 3, 4, "z") for i, t, s in rows], schema)
+
+
+def test_odd_rows(spark, tmp_path):
+    spark.read.parquet(f"{DIR}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    docs, stage = odd(spark), dict(cp.STAGES)
+    by_id = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    first = stage["toxicity"](spark, docs, f"{tmp_path}/none")
+    assert first.columns == docs.columns and by_id(first) == by_id(docs)  # no label: nothing is rejected
+    second = stage["line_dedup"](spark, docs, DIR)
+    got = by_id(second)
+    assert second.columns == docs.columns
+    # 5's lines all stand in 4 before, and so do 8's but for the last one.
+    assert not any(i == 5 for i, _ in got) and got[8, "tail of four"] == 0 and got[1, None] == got[2, ""] == got[3, "   "] == 1
+    third = stage["minhash_near_dedup"](spark, docs, DIR)
+    got = by_id(third)
+    assert third.columns == docs.columns
+    assert got[4, docs.where("doc_id = 4").first()["text"]] == 1 and not any(i == 8 for i, _ in got) and got[5, "one line\nanother line\na third line\n"] == 2
+    assert got[1, None] == got[2, ""] == got[3, "   "] == 1 and sum(i is None for i, _ in got.elements()) == 1
+    fourth = stage["mixing"](spark, docs, DIR)
+    assert fourth.columns == docs.columns and set(by_id(fourth)) <= set(by_id(docs)) and max(by_id(fourth).values()) <= 6
+    last = stage["bpe"](spark, docs, DIR).collect()
+    assert len(last) == 10 and all(r["n_tokens"] == 0 for r in last if r["doc_id"] in (1, 2, 3))
+    for name, f in cp.STAGES:
+        assert f(spark, docs.limit(0), DIR).count() == 0, name
+
+
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    cp.run(spark, DIR).collect()
+    assert [p.name.split("-")[1:3] for p in tmp_path.iterdir()] == [["stage", "bpe"]]
