@@ -31,7 +31,7 @@ def filetime_to_ts(filetime: Column) -> Column:
 
 
 def map_dir_event(event: Column, is_dir: Column) -> Column:
-    return F.when(is_dir & (event == "created"), "folder_created").when(is_dir & (event == "deleted"), "folder_deleted").otherwise(event)
+    return F.when(is_dir & (event == "created"), "folder_created").when(is_dir & (event == "deleted"), "folder_deleted").when(is_dir & (event == "renamed"), "folder_renamed").otherwise(event)
 
 
 RULES = "array<struct<name:string,type:string,pattern:string,enabled:boolean>>"

@@ -15,24 +15,32 @@ def _last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("__nr", F.row_number().over(W.partitionBy(*keys).orderBy(F.col(order).desc()))).where("__nr = 1").drop("__nr")
 
 
+#: New rows are numbered within so many parts, so that no row waits for all others' numbers.
+PARTS = 4096
+
+
+def with_new_ids(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows with an id above the largest one of files: unique, with gaps, and the same whenever it is computed, as it follows from the paths alone."""
+    top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))  # one row
+    part = F.pmod(F.xxhash64("path"), F.lit(PARTS))
+    place = F.row_number().over(W.partitionBy(part).orderBy("path"))
+    return rows.withColumn("__nr", place.cast("long") * PARTS + part).crossJoin(F.broadcast(top)).withColumn("id", F.col("__top") + F.col("__nr")).drop("__nr", "__top")
+
+
 def upsert_files(files: DataFrame, batch: DataFrame, now: Column, order: str = "seq") -> DataFrame:
     """files with the batch's rows inserted or updated by path: id and created_at stay, updated_at is now; the last row of a path wins.
 
-    New rows get ids above the largest one, unique but with gaps, so that no row waits for another's number.
+    The batch's paths are looked up among the ids and paths of files, so that no content is shuffled to find them.
     """
     values = [c for c in files.columns if c not in ("id", "path", "created_at", "updated_at")]
     new = _last(batch, ["path"], order).select("path", F.struct(*values).alias("__new"))
-    joined = files.withColumn("__old", F.lit(True)).join(new, "path", "full")
-    top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))  # one row
-    out = joined.withColumn("__nr", F.monotonically_increasing_id() + 1).crossJoin(F.broadcast(top))
-    pick = lambda c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c)
-    columns = {
-        "id": F.coalesce("id", F.col("__top") + F.col("__nr")).alias("id"),
-        "path": F.col("path"),
-        "created_at": F.coalesce("created_at", now).alias("created_at"),
-        "updated_at": F.when(F.col("__new").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at"),
-    }
-    return out.select(*[columns.get(c, pick(c) if c in values else F.col(c)) for c in files.columns])
+    met = files.select("id", "path").join(new, "path", "right")
+    out = files.join(met.where("id IS NOT NULL").select("id", "__new"), "id", "left")
+    columns = {c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in values}
+    columns["updated_at"] = F.when(F.col("__new").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at")
+    kept = out.select(*[columns.get(c, F.col(c)) for c in files.columns])
+    added = with_new_ids(met.where("id IS NULL").drop("id"), files).select("id", "path", "__new.*").withColumns({"created_at": now, "updated_at": now})
+    return kept.unionByName(added.select(*files.columns))
 
 
 def update_content(files: DataFrame, contents: DataFrame) -> DataFrame:

@@ -749,7 +749,7 @@ def s10_export_quotes(spark, d):
 # --- change feeds ------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {t.CHANGES} SELECT seq, event, path FROM (SELECT seq, path, volume, CASE WHEN is_dir AND event = 'created' THEN 'folder_created' WHEN is_dir AND event = 'deleted' THEN 'folder_deleted' ELSE event END AS event FROM changes) WHERE starts_with(path, '/u1')")
+@query(f"WITH {t.CHANGES} SELECT seq, event, path FROM (SELECT seq, path, volume, CASE WHEN is_dir AND event = 'created' THEN 'folder_created' WHEN is_dir AND event = 'deleted' THEN 'folder_deleted' WHEN is_dir AND event = 'renamed' THEN 'folder_renamed' ELSE event END AS event FROM changes) WHERE starts_with(path, '/u1')")
 def r1_stream_changes(spark, d):
     return ch.stream_changes(t.changes(spark, d), spark.createDataFrame([("/u1",)], "root string")).select("seq", "event", "path")
 
@@ -780,16 +780,43 @@ def r4_pair_renames(spark, d):
     return paired.select(F.substring_index("path", "|", 1).cast("long").alias("seq"), after("path").alias("path"), after("old_path").alias("old_path"))
 
 
-@query()
+_FOLD = f"""WITH RECURSIVE {t.CHANGES}, ev AS (
+  SELECT seq, ts, CASE WHEN NOT is_dir THEN event WHEN event = 'deleted' THEN 'folder_deleted' WHEN event = 'renamed' THEN 'folder_renamed' WHEN event = 'created' THEN 'folder_created' ELSE event END AS event,
+         CASE WHEN is_dir AND event = 'renamed' THEN volume || '/new' WHEN is_dir AND event = 'deleted' THEN volume || '/new' ELSE path END AS path,
+         CASE WHEN is_dir AND event = 'renamed' THEN volume ELSE old_path END AS old_path FROM changes),
+n AS (SELECT *, row_number() OVER (ORDER BY ts, seq) AS nr FROM ev),
+mv AS (SELECT * FROM n WHERE event = 'renamed' AND old_path <> path), fm AS (SELECT * FROM n WHERE event = 'folder_renamed'),
+touch AS (SELECT path AS at_path, nr, NULL AS dest, false AS below FROM n WHERE event = 'deleted' UNION ALL SELECT path, nr, NULL, false FROM mv UNION ALL SELECT old_path, nr, path, false FROM mv
+  UNION ALL SELECT path, nr, NULL, true FROM n WHERE event = 'folder_deleted' UNION ALL SELECT path, nr, NULL, true FROM fm UNION ALL SELECT old_path, nr, path, true FROM fm),
+life AS (
+  SELECT 0::BIGINT AS born, path AS home, path AS place, 0::BIGINT AS since FROM (SELECT DISTINCT path FROM changes WHERE path LIKE '%0.txt')
+  UNION ALL SELECT nr, path, path, nr FROM n WHERE event IN ('created', 'modified', 'renamed')
+  UNION ALL
+  SELECT born, home, dest, nr FROM (
+    SELECT l.born, l.home, CASE WHEN t.below THEN t.dest || substr(l.place, length(t.at_path) + 1) ELSE t.dest END AS dest, t.nr,
+           row_number() OVER (PARTITION BY l.born, l.home ORDER BY t.nr, t.dest IS NULL) AS k
+    FROM life l JOIN touch t ON t.nr > l.since AND (CASE WHEN t.below THEN starts_with(l.place, t.at_path || '/') ELSE l.place = t.at_path END) WHERE l.place IS NOT NULL)
+  WHERE k = 1),
+fate AS (SELECT born, home, arg_max(place IS NULL, since) AS dead, arg_max(coalesce(place, ''), since) AS place FROM life GROUP BY born, home),
+final AS (SELECT place AS path, min(born) AS born, max(born) AS last FROM fate WHERE NOT dead GROUP BY place), told AS (SELECT DISTINCT path FROM changes)
+SELECT path, regexp_extract(path, '[^/]*$') AS name, CASE WHEN last > 0 AND path IN (SELECT path FROM told) THEN '2025' ELSE '2023' END AS updated, born > 0 AS added
+FROM final WHERE born = 0 OR path IN (SELECT path FROM told)"""
+
+
+@query(_FOLD)
 def r5_apply_changes(spark, d):
-    """The changes of the events folded into a table of the files they name."""
-    c = t.changes(spark, d)
-    known = c.select("path", "volume").distinct().where("path LIKE '%0.txt'")
+    """The changes of the events folded into a table of the files they name; a directory's events are of the folder of its volume."""
+    all_ = t.changes(spark, d)
+    kind = journal.map_dir_event(F.col("event"), F.col("is_dir"))
+    new = F.concat("volume", F.lit("/new"))
+    c = all_.select("seq", "ts", kind.alias("event"), F.when(kind.isin("folder_renamed", "folder_deleted"), new).otherwise(F.col("path")).alias("path"), F.when(kind == "folder_renamed", F.col("volume")).otherwise(F.col("old_path")).alias("old_path"))
+    known = all_.select("path").distinct().where("path LIKE '%0.txt'")
     columns = {"name": paths.basename(F.col("path")), "size": F.lit(1).cast("long"), "hash": F.md5("path"), "file_type": F.lit("text"), "content": F.col("path"), "is_supported": F.lit(True)}
-    old = known.withColumns(columns | {"id": F.xxhash64("path"), "created_at": F.lit("2023-01-01").cast("timestamp"), "updated_at": F.lit("2023-01-01").cast("timestamp")})
-    contents = c.select("path").distinct().withColumns(columns)
-    out = ch.apply_changes(old.select("id", "path", *columns, "created_at", "updated_at"), c.withColumn("event", journal.map_dir_event(F.col("event"), F.lit(False))), contents, F.lit("2025-01-01").cast("timestamp"))
-    return out.select("path", "name", F.date_format("updated_at", "yyyy").alias("updated"))
+    when = F.lit("2023-01-01").cast("timestamp")
+    old = known.withColumns(columns | {"id": F.xxhash64("path"), "created_at": when, "updated_at": when})
+    contents = all_.select("path").distinct().withColumns(columns)
+    out = ch.apply_changes(old.select("id", "path", *columns, "created_at", "updated_at"), c, contents, F.lit("2025-01-01").cast("timestamp"))
+    return out.select("path", "name", F.date_format("updated_at", "yyyy").alias("updated"), (F.year("created_at") == 2025).alias("added"))
 
 
 @query(f"WITH {t.CHANGES} SELECT {_START} AS start, event, count(*) AS n FROM changes GROUP BY ALL")

@@ -6,6 +6,7 @@ Every streaming operator works on a batch as well, where it gives what the strea
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillmill.functions.journal import map_dir_event
+from quillmill.functions.paths import ancestors, basename
 from quillmill.operators import maintain
 from quillmill.operators.joins import filter_monitored_roots
 
@@ -94,43 +96,110 @@ def late_data(changes: DataFrame, late: str = LATE) -> DataFrame:
     return seen.groupBy(F.window("ts", "1 day").start.alias("start")).agg(F.count_if(behind).alias("n_late"))
 
 
-def net_changes(changes: DataFrame, order: Column | None = None) -> DataFrame:
-    """(path, event, old_path, ts): one change for each final path of a batch.
-
-    Chains of renames (a to b, b to c) come first: the last rename into a path starts where the chain does; then the
-    last event of each path counts. A chain is followed by joins, doubling its length each time.
+def event_order(changes: DataFrame) -> Column:
+    """The order of events: by time, then seq where there is one; of one instant deletions first, then by what they say."""
+    parts = ["seq"] if "seq" in changes.columns else []
+    return F.struct("ts", *parts, (~F.startswith("event", F.lit("deleted"))).alias("later"), "event", "path", "old_path")
+
+
+def _touches(changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What events do to the files they meet: (path, at, to) to one file, (dir, at, to) to all below a folder, both with to = null for
+    its end, and (path, at): files that were created, modified or moved there."""
+    e = changes.withColumn("at", event_order(changes))
+    moved = e.where("event = 'renamed' AND old_path IS NOT NULL AND old_path <> path")
+    ends = e.where("event = 'deleted'").select("path", "at").unionByName(moved.select("path", "at"))  # a move replaces what is at its target
+    one = moved.select(F.col("old_path").alias("path"), "at", F.col("path").alias("to")).unionByName(ends.withColumn("to", F.lit(None).cast("string")))
+    folders = e.where("event = 'folder_renamed' AND old_path IS NOT NULL AND old_path <> path")
+    below = e.where("event = 'folder_deleted'").select(F.col("path").alias("dir"), "at").unionByName(folders.select(F.col("path").alias("dir"), "at"))
+    below = below.withColumn("to", F.lit(None).cast("string")).unionByName(folders.select(F.col("old_path").alias("dir"), "at", F.col("path").alias("to")))
+    seen = e.where("event IN ('created', 'modified', 'renamed')").select("path", "at")
+    return one, below, seen
+
+
+def _next_step(living: DataFrame, one: DataFrame, below: DataFrame) -> DataFrame:
+    """living with step: the first touch after ``since`` that meets the file where it is, null if there is none."""
+    after = F.col("since").isNull() | (F.col("at") > F.col("since"))
+    direct = living.join(one, "path").where(after).select("file", "at", F.col("to").isNull().alias("end"), F.col("to").alias("path"))
+    above = living.select("file", "since", "path", F.explode(ancestors(F.col("path"))).alias("dir")).join(below, "dir").where(after)
+    moved = F.concat("to", F.substr("path", F.length("dir") + 1))
+    through = above.select("file", "at", F.col("to").isNull().alias("end"), moved.alias("path"))
+    first = direct.unionByName(through).groupBy("file").agg(F.min(F.struct("at", "end", "path")).alias("step"))
+    return living.join(first, "file", "left")
+
+
+def net_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """(id, final, renew): what a batch does to the files it meets: their path after it, null if they are gone, and whether they are
+    to be read anew; files that it adds have a null id. files: (id, path).
+
+    Events count one after the other, in ``event_order``. A file's life is followed from touch to touch, all files at once, one join
+    for each link of the longest chain; only files that were touched take part. Every sight of a file (created, modified, moved to a path) starts a life as well:
+    lives that end at one path are one file, which is the one known longest.
     """
-    order = order if order is not None else F.struct("ts", "event")
-    moves = changes.where("event = 'renamed' AND old_path IS NOT NULL AND old_path <> path").groupBy("path").agg(F.max_by("old_path", order).alias("old_path"), F.max("ts").alias("moved"))
-    for _ in range(3):
-        earlier = moves.select(F.col("path").alias("old_path"), F.col("old_path").alias("__older"), F.col("moved").alias("__m"))
-        joined = moves.join(earlier, "old_path", "left")
-        moves = joined.select("path", F.when((F.col("__m") <= F.col("moved")) & (F.col("__older") != F.col("path")), F.col("__older")).otherwise(F.col("old_path")).alias("old_path"), "moved")
-    last = changes.groupBy("path").agg(F.max_by("event", order).alias("event"), F.max("ts").alias("ts"))
-    left = changes.where("event = 'renamed' AND old_path IS NOT NULL AND old_path <> path")
-    gone = left.groupBy(F.col("old_path").alias("path")).agg(F.max("ts").alias("__gone"))
-    out = last.join(moves.select("path", "old_path"), "path", "left").join(gone, "path", "left")
-    return out.where(F.col("__gone").isNull() | (F.col("__gone") < F.col("ts"))).select("path", "event", F.when(F.col("event") == "renamed", F.col("old_path")).alias("old_path"), "ts")
+    one, below, seen = (_fixed(x) for x in _touches(changes))
+    # Of sights of a path with no touch between them, the first one.
+    through = seen.select("path").distinct().withColumn("dir", F.explode(ancestors(F.col("path")))).join(below, "dir").select("path", "at")
+    both = seen.select("path", "at", F.lit(1).alias("sight")).unionByName(one.select("path", "at").unionByName(through).withColumn("sight", F.lit(0)))
+    upto = W.partitionBy("path").orderBy("at", "sight").rowsBetween(W.unboundedPreceding, 0)
+    part = both.withColumn("part", F.sum(1 - F.col("sight")).over(upto)).where("sight = 1")
+    sights = part.groupBy("path", "part").agg(F.min("at").alias("since")).select("path", "since")
+    met = one.select("path").unionByName(seen.select("path")).distinct()
+    met = files.select("id", "path").join(met, "path", "left_semi").unionByName(
+        files.select("id", "path", F.explode(ancestors(F.col("path"))).alias("dir")).join(below.select("dir"), "dir", "left_semi").select("id", "path")
+    ).distinct()
+    file = F.struct(F.col("since").isNotNull().alias("new"), F.col("since"), F.col("id"), F.col("path").alias("first"))
+    none = F.lit(None).cast(sights.schema["since"].dataType)
+    living = met.select("id", "path", none.alias("since")).unionByName(sights.select(F.lit(None).cast("long").alias("id"), "path", "since"))
+    living = living.select(file.alias("file"), "path", "since")
+    over: DataFrame | None = None
+    while True:
+        stepped = _fixed(_next_step(living, one, below))
+        done = stepped.where("step IS NULL OR step.end").select("file", F.when(F.col("step").isNull(), F.col("path")).alias("path"))
+        over = done if over is None else over.unionByName(done)
+        living = stepped.where("step IS NOT NULL AND NOT step.end").select("file", F.col("step.path").alias("path"), F.col("step.at").alias("since"))
+        if living.isEmpty():
+            break
+    alive = over.where("path IS NOT NULL").groupBy("path").agg(F.min("file").alias("file"), F.max("file.new").alias("renew"))
+    gone = over.where("path IS NULL AND NOT file.new").select(F.col("file.id").alias("id"), F.lit(None).cast("string").alias("final"), F.lit(False).alias("renew"))
+    return alive.select(F.col("file.id").alias("id"), F.col("path").alias("final"), "renew").unionByName(gone)
+
+
+def _fixed(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the session's shared folder; a local session without one gets its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
 
 
 def apply_changes(files: DataFrame, changes: DataFrame, contents: DataFrame, now: Column) -> DataFrame:
-    """files after a batch of changes: renamed, deleted and upserted rows. contents: (path, name, size, hash, file_type, content, is_supported)."""
-    net = net_changes(changes)
-    moved = net.where("event = 'renamed' AND old_path IS NOT NULL")
-    # What stood at a rename's target is replaced.
-    out = maintain.except_deleted(files, moved.select("path"))
-    out = maintain.rename_file(out, moved.select("old_path", F.col("path").alias("new_path")))
-    out = maintain.except_deleted(out, net.where("event = 'deleted'"))
-    gone = net.where("event = 'folder_deleted'")
-    out = maintain.delete_folder(out, gone)
-    written = contents.join(net.where("event IN ('created', 'modified')").select("path", F.unix_micros("ts").alias("seq")), "path")
-    return maintain.upsert_files(out, written, now)
+    """files after a batch of changes: renamed, deleted, updated and added rows. contents: (path, name, size, hash, file_type, content,
+    is_supported) of the paths that can be read; a file to be read anew that is not among them keeps its values, and is not added.
+
+    Only ids and paths are shuffled against the changes; a file's other columns meet one row of the outcome.
+    """
+    values = [c for c in files.columns if c not in ("id", "path", "created_at", "updated_at")]
+    net = _fixed(net_changes(files, changes))
+    fresh = net.where("renew").select("final").join(contents.withColumnRenamed("path", "final"), "final").select("final", F.struct(*values).alias("__new"))
+    known = net.where("id IS NOT NULL").join(fresh, "final", "left").select("id", "final", F.lit(True).alias("__met"), "__new")
+    out = files.join(known, "id", "left").where("__met IS NULL OR final IS NOT NULL")
+    moved, renewed = F.coalesce(F.col("final") != F.col("path"), F.lit(False)), F.col("__new").isNotNull()
+    old = {c: F.col(c) for c in values} | {"name": F.when(moved, basename(F.col("final"))).otherwise(F.col("name"))}
+    columns = {c: F.when(renewed, F.col(f"__new.{c}")).otherwise(old[c]).alias(c) for c in values}
+    columns |= {"path": F.coalesce("final", "path").alias("path"), "updated_at": F.when(renewed, now).otherwise(F.col("updated_at")).alias("updated_at")}
+    kept = out.select(*[columns.get(c, F.col(c)) for c in files.columns])
+    added = net.where("id IS NULL").select(F.col("final").alias("path")).join(fresh.withColumnRenamed("final", "path"), "path")
+    added = maintain.with_new_ids(added, files).select("id", "path", "__new.*").withColumns({"created_at": now, "updated_at": now})
+    return kept.unionByName(added.select(*files.columns))
 
 
 class FilesTable:
-    """The files table in versions of Parquet folders and a pointer to the current one, for foreachBatch.
+    """The files table for foreachBatch: rows without content in versions of Parquet folders with a pointer to the current one, and
+    contents in a table of their own, by the batch that wrote them.
 
-    A batch writes a new folder, then the pointer with the batch's number; a batch that is given again is skipped.
+    A batch writes the contents that it renews and a new version of the rows, then the pointer with its number; a batch that is given again
+    is skipped. A version goes when its successor has been followed by another; ``compact`` rewrites the contents that are still in use.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -142,24 +211,61 @@ class FilesTable:
     def _fs(self):
         return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _names(self, name: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs().listStatus(self._path(name))] if self._fs().exists(self._path(name)) else []
+
     def state(self) -> dict:
         """The pointer: folder of the current version and the last batch's number; the newest one wins."""
-        pointers = [s.getPath().getName() for s in self._fs().listStatus(self._path("pointers"))] if self._fs().exists(self._path("pointers")) else []
+        pointers = self._names("pointers")
         if not pointers:
-            return {"version": None, "batch": -1}
+            return {"version": None, "before": None, "batch": -1}
         newest = max(pointers, key=lambda n: int(n.split("-")[0]))
         return json.loads(self.spark.read.text(f"{self.folder}/pointers/{newest}").first()[0])
 
+    def rows(self) -> DataFrame:
+        """The files without their content, and the batch that wrote it."""
+        return self.spark.read.parquet(f"{self.folder}/rows/{self.state()['version']}")
+
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{self.state()['version']}")
+        rows, contents = self.rows(), self.spark.read.schema("id long, content string, content_batch long").parquet(f"{self.folder}/contents")
+        return rows.join(contents, ["id", "content_batch"], "left").drop("content_batch")
 
     def write(self, files: DataFrame, batch: int = 0) -> None:
+        """A whole table, content and all."""
+        self._put_contents(files.select("id", "content"), batch)
+        self._put_rows(files.drop("content").withColumn("content_batch", F.lit(batch).cast("long")), batch)
+
+    def _put_contents(self, contents: DataFrame, batch: int) -> None:
+        contents.write.mode("overwrite").parquet(f"{self.folder}/contents/content_batch={batch}")
+
+    def _put_rows(self, rows: DataFrame, batch: int) -> None:
+        state = self.state()
         version = f"v{batch}-{uuid.uuid4().hex[:8]}"
-        files.write.parquet(f"{self.folder}/{version}")
-        self.spark.createDataFrame([(json.dumps({"version": version, "batch": batch}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/pointers/{batch + 1}-pointer")
+        rows.write.parquet(f"{self.folder}/rows/{version}")
+        pointer = json.dumps({"version": version, "before": state["version"], "batch": batch})
+        self.spark.createDataFrame([(pointer,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/pointers/{batch + 1}-pointer")
+        for name in self._names("rows"):
+            if name not in (version, state["version"]):
+                self._fs().delete(self._path(f"rows/{name}"), True)
 
     def fold(self, changes: DataFrame, batch: int, contents: DataFrame) -> None:
-        """One micro-batch; give it to foreachBatch."""
+        """One micro-batch; give it to foreachBatch. Contents are joined only for the files that the batch renews."""
         if batch <= self.state()["batch"]:
             return
-        self.write(apply_changes(self.read(), changes, contents, F.current_timestamp()), batch)
+        told = contents.drop("content").withColumn("content_batch", F.lit(batch).cast("long"))
+        rows = _fixed(apply_changes(self.rows(), changes, told, F.current_timestamp()))
+        renewed = rows.where(F.col("content_batch") == batch).select("id", "path")
+        self._put_contents(renewed.join(contents.select("path", "content"), "path").select("id", "content"), batch)
+        self._put_rows(rows, batch)
+
+    def compact(self) -> None:
+        """All contents in use as those of one batch, the last one; the others go."""
+        batch = self.state()["batch"]
+        whole = self.read()
+        other = f"{self.folder}/compacted-{uuid.uuid4().hex[:8]}"
+        whole.select("id", "content").write.parquet(other)
+        rows = _fixed(self.rows().withColumn("content_batch", F.lit(batch).cast("long")))
+        self._fs().delete(self._path("contents"), True)
+        self._put_contents(self.spark.read.parquet(other), batch)
+        self._fs().delete(self._path(other.rsplit("/", 1)[1]), True)
+        self._put_rows(rows, batch)

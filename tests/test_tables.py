@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import text
@@ -118,12 +120,6 @@ def event(seq, kind, path, old=None, minute=None):
     return (seq, kind, path, old, "/v", dt.datetime(2024, 1, 1, 0, seq if minute is None else minute, tzinfo=UTC), False)
 
 
-def test_net_changes_follow_renames(spark):
-    rows = [event(1, "created", "/a"), event(2, "renamed", "/b", "/a"), event(3, "renamed", "/c", "/b"), event(4, "modified", "/d"), event(5, "deleted", "/d"), event(6, "created", "/d"), event(7, "deleted", "/e")]
-    got = {r["path"]: (r["event"], r["old_path"]) for r in ch.net_changes(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {"/c": ("renamed", "/a"), "/d": ("created", None), "/e": ("deleted", None)}
-
-
 def _files(spark, paths):
     rows = [(k, p, p.rpartition("/")[2], 1, None, "text", f"old {p}", True, dt.datetime(2023, 1, 1), dt.datetime(2023, 1, 1)) for k, p in enumerate(paths)]
     return spark.createDataFrame(rows, "id long, path string, name string, size long, hash string, file_type string, content string, is_supported boolean, created_at timestamp, updated_at timestamp")
@@ -133,6 +129,78 @@ def _contents(spark, paths):
     return spark.createDataFrame([(p, p.rpartition("/")[2], 2, None, "text", f"new {p}", True) for p in paths], "path string, name string, size long, hash string, file_type string, content string, is_supported boolean")
 
 
+def sequentially(paths, events, readable):
+    """The events one after the other: {path: (old path or None for an added file, read anew)} of what is left."""
+    state = {p: [p, False] for p in paths}
+    for kind, path, old in events:
+        if kind == "deleted":
+            state.pop(path, None)
+        elif kind == "renamed" and old and old != path:
+            file = state.pop(old, [None, True])
+            state[path] = [file[0], True]
+        elif kind in ("created", "modified", "renamed"):
+            state.setdefault(path, [None, True])[1] = True
+        elif kind == "folder_deleted":
+            state = {p: f for p, f in state.items() if not p.startswith(path + "/")}
+        elif kind == "folder_renamed":
+            inside = {p: f for p, f in state.items() if p.startswith(old + "/")}
+            state = {p: f for p, f in state.items() if p not in inside and not p.startswith(path + "/")}
+            state |= {path + p[len(old) :]: f for p, f in inside.items()}
+    return {p: (o, new and p in readable) for p, (o, new) in state.items() if o or p in readable}
+
+
+CASES = {
+    "rotation": [("renamed", "/log.2", "/log.1"), ("renamed", "/log.1", "/log"), ("created", "/log", None)],
+    "swap": [("renamed", "/t", "/a"), ("renamed", "/a", "/b"), ("renamed", "/b", "/t")],
+    "modified after a move": [("renamed", "/b", "/a"), ("modified", "/b", None)],
+    "deleted after a move": [("renamed", "/b", "/a"), ("deleted", "/b", None)],
+    "modified before a move": [("modified", "/a", None), ("renamed", "/c", "/a")],
+    "long chain": [("renamed", f"/x{k + 1}", f"/x{k}" if k else "/a") for k in range(14)],
+    "folder goes after a file came": [("created", "/d/new", None), ("folder_deleted", "/d", None), ("created", "/d/late", None)],
+    "folder moves": [("created", "/d/new", None), ("folder_renamed", "/e", "/d"), ("renamed", "/e/y", "/e/x"), ("folder_renamed", "/f", "/e"), ("modified", "/f/new", None)],
+    "folder within": [("folder_renamed", "/d/s/t", "/d/s"), ("folder_deleted", "/d/s", None)],
+}
+
+
+def _fold(spark, paths, events, readable):
+    changes = spark.createDataFrame([event(k, e, p, o, minute=0) for k, (e, p, o) in enumerate(events)], SCHEMA)
+    out = ch.apply_changes(_files(spark, paths), changes, _contents(spark, readable), F.lit("2025-01-01").cast("timestamp"))
+    rows = out.collect()
+    assert len({r["id"] for r in rows}) == len(rows) == len({r["path"] for r in rows})
+    for r in rows:
+        assert r["name"] == r["path"].rpartition("/")[2]
+    return {r["path"]: (paths[r["id"]] if r["id"] < len(paths) else None, r["content"] == f"new {r['path']}") for r in rows}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_changes_of_one_batch(spark, name):
+    paths = ["/a", "/b", "/log", "/log.1", "/log.2", "/d/x", "/d/s/z", "/keep"]
+    readable = ["/a", "/b", "/c", "/log", "/log.1", "/x14", "/d/new", "/d/late", "/f/new", "/e/y"]
+    assert _fold(spark, paths, CASES[name], readable) == sequentially(paths, CASES[name], readable)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_batches_equal_a_loop(spark, seed):
+    rng = random.Random(seed)
+    folders = ["", "/d", "/d/s", "/e"]
+    path = lambda: f"{rng.choice(folders)}/{rng.choice('abc')}"
+    paths = sorted({path() for _ in range(9)})
+    events = []
+    for _ in range(40):
+        kind = rng.choice(["created", "modified", "deleted", "renamed", "renamed", "renamed", "folder_renamed", "folder_deleted"])
+        if kind.startswith("folder"):
+            if rng.random() < 0.6:
+                continue
+            old, new = rng.sample([f for f in folders if f], 2)
+            if kind == "folder_renamed" and (old.startswith(new) or new.startswith(old)):
+                continue
+            events.append((kind, new, old if kind == "folder_renamed" else None))
+        else:
+            events.append((kind, path(), path() if kind == "renamed" else None))
+    readable = sorted({path() for _ in range(9)})
+    assert _fold(spark, paths, events, readable) == sequentially(paths, events, readable)
+
+
 def test_folding_a_stream(spark, tmp_path):
     store = ch.FilesTable(spark, str(tmp_path / "table"))
     store.write(_files(spark, ["/a", "/b", "/e", "/keep"]), -1)
@@ -142,14 +210,16 @@ def test_folding_a_stream(spark, tmp_path):
     for k, events in enumerate(batches):
         lines = [{"type": "event", "event": e, "path": p, "oldPath": o, "volume": "/", "timestamp": 1_704_067_200_000 + 1000 * (10 * k + n), "isDirectory": False} for n, (e, p, o) in enumerate(events)]
         (feed / f"{k}.json").write_text("\n".join(map(json.dumps, lines)))
-        contents = _contents(spark, ["/a", "/n", "/c"])
+        contents = _contents(spark, ["/a", "/n"])
         stream = ch.stream_changes(readers.read_change_feed(spark, str(feed)))
         run = stream.writeStream.foreachBatch(lambda d, n, c=contents: store.fold(d, n, c)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         run.awaitTermination(120)
     got = {r["path"]: r["content"] for r in store.read().collect()}
-    assert got == {"/a": "new /a", "/d": "old /b", "/n": "new /n", "/keep": "old /keep"}
+    assert got == {"/a": "new /a", "/d": "old /b", "/n": "new /n", "/keep": "old /keep"}, got
     store.fold(spark.createDataFrame([event(1, "deleted", "/a")], SCHEMA), 0, _contents(spark, ["/a"]))  # seen before
     assert "/a" in {r["path"] for r in store.read().collect()}
+    store.compact()
+    assert {r["path"]: r["content"] for r in store.read().collect()} == got and len(list((tmp_path / "table" / "rows").iterdir())) == 2
 
 
 def _streamed(spark, tmp_path, build, name):
