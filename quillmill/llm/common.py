@@ -19,7 +19,9 @@ _OPEN: list[scratch] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that comes in fewer pieces than there are cores (a file of one row group is one piece) is dealt out first; a large one is not."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:
