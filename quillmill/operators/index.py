@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Latin letters with marks, each with the letter it is folded to: those that lower() leaves of Latin-1 and Latin Extended-A.
 _FOLDED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
@@ -80,9 +81,12 @@ def swap_s(w: str) -> str:
 
 
 # The published suffix tables.
-STEP_2 = [tuple(x.split(":")) for x in "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble".split()]
-STEP_3 = [tuple(x.split(":")) for x in "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split()]
-STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+STEP_2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+]
+STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
 def stem_terms(vocabulary: DataFrame, term_col: str = "term") -> DataFrame:
@@ -96,15 +100,37 @@ def stem_terms(vocabulary: DataFrame, term_col: str = "term") -> DataFrame:
 
 
 def build_postings(files: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FIELDS, stems: bool = False) -> DataFrame:
-    """(term, doc_id, field, tf, positions): one row for each term of each field of each file.
+    """(term, doc_id, field, tf, positions, lead): one row for each term of each field of each file; lead marks the first one of a file's term.
 
-    A row's tokens are grouped where they stand: their places are collected within the file, so no group grows with the corpus.
+    A file's tokens are sorted and cut into runs where they stand, in its own row: nothing is shuffled, and no group grows with the corpus.
     """
-    arrays = F.array(*[F.struct(F.lit(f).alias("field"), tokenize(F.col(f)).alias("tokens")) for f in fields])
-    rows = files.select(F.col(id_col).alias("doc_id"), F.explode(arrays).alias("f")).select("doc_id", "f.field", F.posexplode("f.tokens").alias("pos", "term"))
     if stems:
-        rows = rows.join(stem_terms(rows), "term").select("doc_id", "field", "pos", F.col("stem").alias("term"))
-    return rows.groupBy("term", "doc_id", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        return _stemmed_postings(files, id_col, fields)
+    token = lambda k: F.transform(tokenize(F.col(fields[k])), lambda t, pos: F.struct(t.alias("term"), F.lit(k).alias("k"), pos.cast("int").alias("pos")))
+    rows = files.select(F.col(id_col).alias("doc_id"), F.sort_array(F.concat(*[token(k) for k in range(len(fields))])).alias("ts"))
+    at = lambda i: F.get(F.col("ts"), i)
+    other = lambda i: (i == 0) | (at(i)["term"] != at(i - 1)["term"])
+    every = F.when(F.size("ts") > 0, F.sequence(F.lit(0), F.size("ts") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(every, lambda i: other(i) | (at(i)["k"] != at(i - 1)["k"]))
+    rows = rows.withColumn("starts", starts)
+
+    def run(start: Column, nr: Column) -> Column:
+        end = F.coalesce(F.get(F.col("starts"), nr + 1), F.size("ts"))
+        positions = F.transform(F.slice("ts", start + 1, end - start), lambda x: x["pos"])
+        return F.struct(at(start)["term"].alias("term"), at(start)["k"].alias("k"), (end - start).alias("tf"), positions.alias("positions"), other(start).alias("lead"))
+
+    runs = rows.select("doc_id", F.explode(F.transform("starts", run)).alias("r"))
+    names = F.array(*[F.lit(f) for f in fields])
+    return runs.select("r.term", "doc_id", F.get(names, F.col("r.k")).alias("field"), "r.tf", "r.positions", "r.lead")
+
+
+def _stemmed_postings(files: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame:
+    """The same of stems: rows of words are joined with the stems of the different words and grouped again."""
+    plain = build_postings(files, id_col, fields)
+    rows = plain.join(stem_terms(plain), "term").groupBy("stem", "doc_id", "field").agg(F.sum("tf").cast("int").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    # The least field's row leads; a file has as many rows of a term as fields at most.
+    least = F.min("field").over(W.partitionBy("stem", "doc_id"))
+    return rows.select(F.col("stem").alias("term"), "doc_id", "field", "tf", "positions", (F.col("field") == least).alias("lead"))
 
 
 def doc_stats(files: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -113,9 +139,8 @@ def doc_stats(files: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FI
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
-    """(term, n_docs, n_occurrences): how many files hold the term in any field."""
-    by_doc = postings.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
-    return by_doc.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_occurrences"))
+    """(term, n_docs, n_occurrences): how many files hold the term in any field; this is the vocabulary of an index."""
+    return postings.groupBy("term").agg(F.count_if("lead").alias("n_docs"), F.sum("tf").alias("n_occurrences"))
 
 
 def corpus_stats(stats: DataFrame) -> DataFrame:

@@ -9,34 +9,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.operators.index import tokenize
+from quillmill.operators.fuzzy import fuzzy_expand_terms
+from quillmill.operators.index import stem_terms, tokenize
 
 
-def query_terms(queries: DataFrame, query_col: str = "query") -> DataFrame:
+def query_terms(queries: DataFrame, query_col: str = "query", stems: bool = False) -> DataFrame:
     """(query_id, nr, term, kind) of space-separated words: a bare word is a prefix, a starred one exact; AND is left out.
 
     A word of several tokens (foo-bar) gives each of its tokens, all but the last exact; see ``match_phrase`` for their order.
+    For an index of stems, give ``stems``: a word then stands for its stem.
     """
     words = F.filter(F.split(F.trim(query_col), r"\s+"), lambda w: (w != "") & (F.upper(w) != "AND"))
     rows = queries.select("query_id", F.posexplode(words).alias("w", "word"))
     rows = rows.select("query_id", "w", F.endswith("word", F.lit("*")).alias("star"), F.posexplode(tokenize(F.col("word"))).alias("k", "term"), F.size(tokenize(F.col("word"))).alias("n"))
     kind = F.when(F.col("star") | (F.col("k") < F.col("n") - 1), "exact").otherwise("prefix")
-    return rows.select("query_id", (F.col("w") * 1000 + F.col("k")).alias("nr"), "term", kind.alias("kind"))
+    terms = rows.select("query_id", (F.col("w") * 1000 + F.col("k")).alias("nr"), "term", kind.alias("kind"))
+    return terms.join(stem_terms(terms), "term").select("query_id", "nr", F.col("stem").alias("term"), "kind") if stems else terms
 
 
-def expand_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(query_id, nr, term): each expression with every term of the vocabulary that it stands for.
+def expand_terms(terms: DataFrame, vocabulary: DataFrame, typos: int = 0) -> DataFrame:
+    """(query_id, nr, term): each expression with every term of the vocabulary that it stands for, and with ``typos`` those within so many edits.
 
-    Prefixes are matched with the vocabulary, not the postings; they are joined on their first two characters, so that
+    vocabulary: the index's (a term once), or postings. Prefixes are matched with the vocabulary, not the postings; they are joined on their first two characters, so that
     the comparison is an equi-join whatever the number of queries.
     """
     exact = terms.where("kind = 'exact'").select("query_id", "nr", "term")
     heads = terms.where("kind = 'prefix'").select("query_id", "nr", F.col("term").alias("p"))
-    words = vocabulary.select("term").distinct()
+    words = vocabulary.select("term").distinct() if "doc_id" in vocabulary.columns else vocabulary.select("term")
     two = lambda c: F.substring(c, 1, 2)
     long = heads.where(F.length("p") >= 2).join(words, two(F.col("p")) == two(F.col("term"))).where(F.startswith("term", F.col("p")))
     short = heads.where(F.length("p") == 1).join(words, F.col("p") == F.substring("term", 1, 1))
-    return exact.unionByName(long.select("query_id", "nr", "term")).unionByName(short.select("query_id", "nr", "term")).distinct()
+    out = exact.unionByName(long.select("query_id", "nr", "term")).unionByName(short.select("query_id", "nr", "term"))
+    if typos:
+        near = fuzzy_expand_terms(terms, words, typos).withColumnRenamed("term", "near")
+        out = out.unionByName(terms.join(near, F.col("term") == F.col("wanted")).select("query_id", "nr", F.col("near").alias("term")))
+    return out.distinct()
+
+
+def term_hits(expanded: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, nr, doc_id, f): how often a file holds each expression, over all terms it stands for: the one join with the postings
+    that matching and ranking share."""
+    joined = expanded.join(postings.select("term", "doc_id", "tf"), "term")
+    return joined.groupBy("query_id", "nr", "doc_id").agg(F.sum("tf").cast("double").alias("f"))
 
 
 def _hits(terms: DataFrame, postings: DataFrame, field: str | None) -> DataFrame:

@@ -29,6 +29,27 @@ def bm25_rank(matched: DataFrame, terms: DataFrame, postings: DataFrame, stats:
     return scored.groupBy("query_id", "doc_id").agg((-F.sum(part)).alias("rank"))
 
 
+def rank_hits(hits: DataFrame, wanted: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, doc_id, rank) of the files that hold every expression of their query, or any: matching and BM25 out of the same hits.
+
+    hits: as ``term_hits`` gives them; wanted: (query_id, wanted, is_any), the number of expressions. A file's hits are one row with as many
+    entries as the query has expressions, so files that do not match go before anything is joined.
+    """
+    df = hits.groupBy("query_id", "nr").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    df = df.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("nr", "n"))).alias("ns"))
+    files = hits.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("nr", "f"))).alias("fs"))
+    files = files.join(wanted.join(df, "query_id"), "query_id").where(F.col("is_any") | (F.size("fs") == F.col("wanted")))
+    whole = stats.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg("n_tokens").alias("mean"))  # one row
+    scored = files.join(stats, "doc_id").crossJoin(F.broadcast(whole))
+
+    def part(x: Column) -> Column:
+        n = F.element_at("ns", x["nr"])
+        idf = F.log((F.col("docs") - n + 0.5) / (n + 0.5))
+        return F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * x["f"] * (K1 + 1) / (x["f"] + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
+
+    return scored.select("query_id", "doc_id", (-F.aggregate("fs", F.lit(0.0), lambda s, x: s + part(x))).alias("rank"))
+
+
 def top_k_per_query(hits: DataFrame, k: int = TOP, order: list[Column] | None = None) -> DataFrame:
     """The k best of each query; the limit goes below the shuffle, so each task sends k rows of a query at most."""
     order = order or [F.col("rank"), F.col("doc_id")]

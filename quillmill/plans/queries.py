@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -181,8 +180,7 @@ _BASE = f"WITH {t.FILES}, {t.TOKENS}"
 
 def _index(spark, d):
     """The index of all files, written to the folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return plans.Index.build(t.files(spark, d), f"{shared.rstrip('/')}/index-{uuid.uuid4().hex[:12]}")
+    return plans.Index.build(t.files(spark, d), t.shared_folder(spark, "index"))
 
 
 def _terms(spark, d, n=2, kind=None, first=1):
@@ -309,11 +307,30 @@ def t17_fuzzy_rerank(spark, d):
     return fuzzy.fuzzy_rerank(top).select("query_id", "id", F.round("fuzzy_score", 6).alias("fuzzy_score"))
 
 
-@query(f"{_BASE}, {t.words_sql(1, 4)}, wanted AS (SELECT DISTINCT lower(query) AS wanted FROM queries WHERE regexp_matches(query, '^[a-zA-Z]+$')), vocabulary AS (SELECT DISTINCT term FROM tokens WHERE regexp_matches(term, '^[a-z]+$')) SELECT wanted, term, CASE WHEN length(wanted) < 5 THEN 0 ELSE levenshtein(wanted, term) END AS edits FROM wanted JOIN vocabulary ON CASE WHEN length(wanted) < 5 THEN term = wanted ELSE length(term) >= 3 AND levenshtein(wanted, term) <= 2 END")
+# DuckDB counts edits in bytes, so its text writes each letter of two bytes as one byte of its own.
+_BYTES = "translate({}, 'ßœæøđħıłŋðþªºµŉĸſ', " + " || ".join(f"chr({k})" for k in range(1, 18)) + ")"
+
+
+@query(f"{_BASE}, {t.words_sql(1, 4)}, wanted AS (SELECT DISTINCT strip_accents(lower(query)) AS wanted FROM queries), vocabulary AS (SELECT DISTINCT term FROM tokens) SELECT wanted, term, CASE WHEN length(wanted) < 5 THEN 0 ELSE levenshtein({_BYTES.format('wanted')}, {_BYTES.format('term')}) END AS edits FROM wanted JOIN vocabulary ON CASE WHEN length(wanted) < 5 THEN term = wanted ELSE length(term) >= 3 AND levenshtein({_BYTES.format('wanted')}, {_BYTES.format('term')}) <= 2 END WHERE wanted <> ''")
 def t18_fuzzy_expand_terms(spark, d):
-    # DuckDB counts edits in bytes, so the comparison is on ASCII words.
-    terms = t.words(spark, d, 1, 4).where(F.col("query").rlike("^[a-zA-Z]+$")).select(F.lower("query").alias("term"))
-    return fuzzy.fuzzy_expand_terms(terms, index.build_postings(t.files(spark, d)).where(F.col("term").rlike("^[a-z]+$"))).select("wanted", "term", F.col("edits").cast("long").alias("edits"))
+    terms = t.words(spark, d, 1, 4).select(F.explode(index.tokenize(F.col("query"))).alias("term"))
+    return fuzzy.fuzzy_expand_terms(terms, index.build_postings(t.files(spark, d))).select("wanted", "term", F.col("edits").cast("long").alias("edits"))
+
+
+@query(f"{_BASE}, {t.words_sql(1, 4)}, asked AS (SELECT query_id, lower(query) AS w FROM queries WHERE length(query) >= 6), wrong AS (SELECT query_id, strip_accents(substr(w, 1, 2) || substr(w, 4)) AS w FROM asked), vocabulary AS (SELECT DISTINCT term FROM tokens), near AS (SELECT query_id, term FROM wrong JOIN vocabulary ON starts_with(term, w) OR length(term) >= 3 AND levenshtein({_BYTES.format('w')}, {_BYTES.format('term')}) <= 2) SELECT DISTINCT query_id, k.doc_id AS id FROM near JOIN tokens k USING (term) JOIN files f ON f.id = k.doc_id AND is_supported")
+def t13_search_with_typos(spark, d):
+    """A word of each passage without its third letter."""
+    w = F.lower("query")
+    q = t.words(spark, d, 1, 4).where(F.length("query") >= 6).select("query_id", F.concat(F.substring(w, 1, 2), F.substr(w, F.lit(4))).alias("query"))
+    return plans.search(_index(spark, d), q, plans.Options(k=10**9, typos=2)).select("query_id", "id")
+
+
+@query()
+def t13_search_with_stems(spark, d):
+    """The words of the passages with a suffix, against an index of stems; the sum of the stems' postings is tested against a plain loop."""
+    i = plans.Index.build(t.files(spark, d), t.shared_folder(spark, "stems"), stems=True)
+    q = t.words(spark, d, 1, 4).where("query <> ''").withColumn("query", F.concat("query", F.lit("ing")))
+    return plans.search(i, q, plans.Options(k=10**9)).select("query_id", "id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {t.FILES} SELECT id FROM files WHERE regexp_matches(lower(path), '(?s)s.*e.*9.*t')")
@@ -673,6 +690,12 @@ def f11_path_parts(spark, d):
     return t.files(spark, d).select("id", paths.extension(p).alias("ext"), paths.basename(p).alias("base"), paths.dirname(p).alias("dir"), paths.stem(p).alias("stem"), paths.volume(p).alias("volume"), paths.is_hidden(p).alias("hidden"))
 
 
+@query(r"SELECT doc_id, regexp_matches(regexp_extract(text, '[^/]*$'), '^\.') AS hidden FROM (SELECT doc_id, replace(regexp_replace(text, '\s+', '/.', 'g'), chr(92), '/') AS text FROM documents)")
+def f12_is_hidden(spark, d):
+    path = F.regexp_replace("text", r"[\s]+", "/.")
+    return t.table(spark, d, "documents").select("doc_id", paths.is_hidden(path).alias("hidden"))
+
+
 @query(f"WITH {t.JOURNAL} SELECT usn, CASE WHEN reason = 67108864 THEN 'rename_old' WHEN reason = 134217728 THEN 'rename_new' WHEN reason = 16777216 THEN 'created' WHEN reason = 33554432 THEN 'deleted' ELSE 'modified' END AS event FROM journal WHERE NOT (reason = 5 AND attributes = 16)")
 def f13_decode_reason_mask(spark, d):
     events = journal.decode_reason_mask(F.col("reason"), journal.is_directory(F.col("attributes")))
@@ -684,7 +707,7 @@ def f14_filetime_to_ts(spark, d):
     return t.journal(spark, d).select("usn", F.unix_millis(journal.filetime_to_ts(F.col("filetime"))).alias("ms"))
 
 
-@query(f"WITH {t.CHANGES} SELECT seq, CASE WHEN is_dir AND event = 'created' THEN 'folder_created' WHEN is_dir AND event = 'deleted' THEN 'folder_deleted' ELSE event END AS event FROM changes")
+@query(f"WITH {t.CHANGES} SELECT seq, CASE WHEN is_dir AND event = 'created' THEN 'folder_created' WHEN is_dir AND event = 'deleted' THEN 'folder_deleted' WHEN is_dir AND event = 'renamed' THEN 'folder_renamed' ELSE event END AS event FROM changes")
 def f15_map_dir_event(spark, d):
     return t.changes(spark, d).select("seq", journal.map_dir_event(F.col("event"), F.col("is_dir")).alias("event"))
 
@@ -712,27 +735,26 @@ def f18_valid_saved_name(spark, d):
 
 # --- exports -----------------------------------------------------------------------------------------------------
 
-_SIZE = "CASE WHEN size < 1024 THEN size || ' B' ELSE regexp_replace(printf('%.2f', round(size / 1024.0::DOUBLE, 2)), '\\.?0+$', '') || ' KB' END"
+_UNIT = "regexp_replace(printf('%.2f', round(size / {}.0::DOUBLE, 2)), '\\.?0+$', '') || ' {}'"
+_SIZE = f"CASE WHEN size IS NULL THEN '-' WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN {_UNIT.format(1 << 10, 'KB')} WHEN size < 1073741824 THEN {_UNIT.format(1 << 20, 'MB')} ELSE {_UNIT.format(1 << 30, 'GB')} END"
 _TIME = "strftime(updated_at, '%Y-%m-%d %H:%M:%S')"
 
 
 def _found(spark, d):
-    # Empty, null and very long documents too; the SQL, which writes B and KB only, names those from 1 byte to 1 MB, as all of the given ones are.
     return t.files(spark, d).withColumns({"name": F.concat(F.lit('a"<b>, '), "name"), "match_type": F.lit("content")})
 
 
-@query(f"""WITH {t.FILES} SELECT '"a""<b>, ' || name || '",' || path || ',' || file_type || ',' || {_SIZE} || ',' || {_TIME} || ',content' AS value FROM files WHERE size > 0 AND size < 1048576""")
+@query(f"""WITH {t.FILES} SELECT '"a""<b>, ' || name || '",' || path || ',' || file_type || ',' || {_SIZE} || ',' || {_TIME} || ',content' AS value FROM files""")
 def s7_export_csv(spark, d):
     return writers.csv_lines(_found(spark, d))
 
 
-@query(f"""WITH {t.FILES} SELECT '<tr><td>a&quot;&lt;b&gt;, ' || name || '</td><td class="file-path">' || path || '</td><td>' || file_type || '</td><td>' || {_SIZE} || '</td><td>' || {_TIME} || '</td><td>content</td></tr>' || chr(10)
-|| '<tr class="snippet-row"><td colspan="6" class="snippet-cell"><span class="file-path">' || path || '</span></td></tr>' AS value FROM files WHERE size > 0 AND size < 1048576""")
+@query(f"""WITH {t.FILES} SELECT '<dt>a&quot;&lt;b&gt;, ' || name || '</dt><dd><span>' || path || '</span><span>' || file_type || '</span><span>' || {_SIZE} || '</span><span>' || {_TIME} || '</span><span>content</span></dd>' AS value FROM files""")
 def s8_export_html(spark, d):
     return writers.html_rows(_found(spark, d))
 
 
-@query(f"""WITH {t.FILES}, n AS (SELECT *, row_number() OVER (ORDER BY size DESC, id) AS nr FROM files WHERE size > 0 AND size < 1048576) SELECT '[' || nr || '] a"<b>, ' || name || chr(10) || 'path: ' || path || chr(10) || 'type: ' || file_type || ' | size: ' || {_SIZE} || ' | modified: ' || {_TIME} || ' | match: content' AS value FROM n WHERE nr <= 200""")
+@query(f"""WITH {t.FILES}, n AS (SELECT *, row_number() OVER (ORDER BY size DESC, id) AS nr FROM files) SELECT '[' || nr || '] a"<b>, ' || name || chr(10) || 'path: ' || path || chr(10) || 'type: ' || file_type || ' | size: ' || {_SIZE} || ' | modified: ' || {_TIME} || ' | match: content' AS value FROM n WHERE nr <= 200""")
 def s9_export_txt(spark, d):
     order = [F.col("size").desc(), F.col("id")]
     return writers.txt_entries(_found(spark, d).orderBy(*order).limit(200), order)

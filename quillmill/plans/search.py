@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillmill import schemas
 from quillmill.functions.paths import extension
 from quillmill.operators import filters, match, rank, results
-from quillmill.operators.index import build_postings, doc_stats
+from quillmill.operators.index import build_postings, doc_stats, term_stats
 from quillmill.sources.writers import write_index
 
 
@@ -29,31 +29,36 @@ class Options:
     k: int = rank.TOP
     ext_match: str = "file_type"
     dedup: bool = False
+    #: Edits within which other words count as the wanted ones; 0: none.
+    typos: int = 0
 
 
 @dataclass
 class Index:
-    """files, their postings and statistics."""
+    """files, their postings, vocabulary and statistics; ``stems`` says that the terms are stems."""
 
     files: DataFrame
     postings: DataFrame
     stats: DataFrame
+    vocabulary: DataFrame
+    stems: bool = False
 
     @classmethod
     def of(cls, files: DataFrame, stems: bool = False) -> Index:
         """An index that is computed anew in every use; for searches over more than a few files see ``build``."""
-        return cls(files, build_postings(files, stems=stems), doc_stats(files))
+        postings = build_postings(files, stems=stems)
+        return cls(files, postings, doc_stats(files), term_stats(postings), stems)
 
     @classmethod
     def build(cls, files: DataFrame, folder: str, stems: bool = False) -> Index:
         """An index written to a folder, which is what searches should read: postings are counted once and read by column and term."""
         write_index(None, build_postings(files, stems=stems), doc_stats(files), folder)
-        return cls.read(files, folder)
+        return cls.read(files, folder, stems)
 
     @classmethod
-    def read(cls, files: DataFrame, folder: str) -> Index:
-        spark = files.sparkSession
-        return cls(files, spark.read.schema(schemas.POSTINGS).parquet(f"{folder}/postings"), spark.read.schema(schemas.DOC_STATS).parquet(f"{folder}/doc_stats"))
+    def read(cls, files: DataFrame, folder: str, stems: bool = False) -> Index:
+        read = lambda schema, name: files.sparkSession.read.schema(schema).parquet(f"{folder}/{name}")
+        return cls(files, read(schemas.POSTINGS, "postings"), read(schemas.DOC_STATS, "doc_stats"), read(schemas.VOCABULARY, "vocabulary"), stems)
 
 
 def _slim(files: DataFrame, options: Options) -> DataFrame:
@@ -75,23 +80,22 @@ def search(index: Index, queries: DataFrame, options: Options | None = None) ->
     parts = match.split_operators(filters.split_query_fields(queries.where(filters.valid_query(F.col("query")))), "remaining")
     named = F.col("name_query").isNotNull()
     # Which kinds of query there are, from the queries alone: the others need no branch of the plan.
-    kinds = parts.agg(F.count_if(named).alias("names"), F.count_if(~named & F.col("is_any")).alias("any"), F.count_if(~named & ~F.col("is_any")).alias("every"), F.count_if(F.col("excluded") != "").alias("excluded")).first()
+    kinds = parts.agg(F.count_if(named).alias("names"), F.count_if(~named).alias("others"), F.count_if(F.col("excluded") != "").alias("excluded")).first()
+    def ranked_by(terms: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
+        """The files that match, with their ranks; asked: (query_id, is_any)."""
+        number = terms.groupBy("query_id").agg(F.count_distinct("nr").alias("wanted")).join(asked, "query_id")
+        hits = match.term_hits(match.expand_terms(terms, index.vocabulary, options.typos), postings)
+        return rank.rank_hits(hits, number, index.stats)
+
     content = parts.where(~named & (F.col("wanted") != ""))
-    wanted = match.query_terms(content, "wanted")
-    only = lambda flag: wanted.join(content.where(flag).select("query_id"), "query_id", "left_semi")
-    found = []
-    if kinds["every"] or not kinds["any"]:
-        found.append(match.match_all(only(~F.col("is_any")) if kinds["any"] else wanted, index.postings))
-    if kinds["any"]:
-        found.append(match.match_any(only(F.col("is_any")) if kinds["every"] else wanted, index.postings))
-    matched = found[0].unionByName(found[1]) if len(found) > 1 else found[0]
+    ranked = ranked_by(match.query_terms(content, "wanted", index.stems), content.select("query_id", "is_any"), index.postings).withColumn("match_type", F.lit("content"))
     if kinds["excluded"]:
-        matched = match.match_not(matched, match.query_terms(content.where("excluded <> ''"), "excluded"), index.postings)
-    ranked = rank.bm25_rank(matched, wanted, index.postings, index.stats).withColumn("match_type", F.lit("content"))
+        ranked = match.match_not(ranked, match.query_terms(content.where("excluded <> ''"), "excluded", index.stems), index.postings)
     if kinds["names"]:
-        names, postings = match.query_terms(parts.where(named), "name_query"), index.postings.where("field = 'name'")
-        by_name = rank.bm25_rank(match.match_all(names, postings), names, postings, index.stats).withColumn("match_type", F.lit("filename"))
-        ranked = ranked.unionByName(by_name) if kinds["every"] or kinds["any"] else by_name
+        names = parts.where(named)
+        by_name = ranked_by(match.query_terms(names, "name_query", index.stems), names.select("query_id", F.lit(False).alias("is_any")), index.postings.where("field = 'name'"))
+        by_name = by_name.withColumn("match_type", F.lit("filename"))
+        ranked = ranked.unionByName(by_name) if kinds["others"] else by_name
     hits = ranked.join(_slim(index.files, options), "doc_id").join(parts.select("query_id", "path_query", "ext_filters"), "query_id")
     hits = hits.where(F.col("path_query").isNull() | F.contains(F.lower("path"), F.lower("path_query")))
     kind = F.col("file_type") if options.ext_match == "file_type" else F.substr(extension(F.col("path")), F.lit(2))

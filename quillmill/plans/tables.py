@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +16,31 @@ FIRST_SECOND = 1_704_067_200  # 2024-01-01
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that comes in fewer pieces than there are cores (a file of one row group is one piece) is dealt out first; a large one is not."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+_MADE: list[str] = []
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share; it goes when the process ends. Only a local session may name none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"{tempfile.gettempdir()}/checkpoints"
+    _MADE.append(f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    return _MADE[-1]
+
+
+@atexit.register
+def _tidy() -> None:
+    spark = SparkSession.getActiveSession()
+    for folder in _MADE if spark else []:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillmill.functions.text import csv_escape, format_size, html_escape
+from quillmill.operators.index import term_stats
 
 CSV_HEADER = "\ufefffile name,path,type,size,modified,match type"
 
 
 def write_index(files: DataFrame | None, postings: DataFrame, doc_stats: DataFrame, folder: str) -> None:
-    """Parquet tables; postings are dealt by term and sorted, so that a term's rows are read from few row groups.
+    """Parquet tables: postings, the vocabulary with its counts, and the files' lengths.
 
-    Give no files where they are kept elsewhere: their content is not written twice then.
+    Postings are dealt by term and sorted, so that a term's rows are read from few row groups; they are rebalanced, not hashed,
+    so that a term that most files hold is cut over several tasks. Give no files where they are kept elsewhere: their content is not written twice then.
     """
     if files is not None:
         files.write.mode("overwrite").parquet(f"{folder}/files")
-    postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    postings.hint("rebalance", "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    written = postings.sparkSession.read.schema(postings.schema).parquet(f"{folder}/postings")
+    term_stats(written).write.mode("overwrite").parquet(f"{folder}/vocabulary")
     doc_stats.write.mode("overwrite").parquet(f"{folder}/doc_stats")
 
 
@@ -37,13 +41,12 @@ def csv_lines(results: DataFrame) -> DataFrame:
 
 
 def html_rows(results: DataFrame, snippet: str | None = None) -> DataFrame:
-    """A table row for each result and one for its snippet; a result without snippet shows its path."""
-    cell = lambda c, kind="": F.concat(F.lit(f"<td{kind}>"), c, F.lit("</td>"))
-    path = cell(html_escape(F.col("path")), ' class="file-path"')
-    cells = F.concat(cell(html_escape(F.col("name"))), path, cell(html_escape(_text(F.col("file_type")))), cell(format_size(F.col("size"))), cell(_when(F.col("updated_at"))), cell(html_escape(_text(F.col("match_type")))))
-    plain = F.concat(F.lit('<span class="file-path">'), html_escape(F.col("path")), F.lit("</span>"))
-    below = F.coalesce(F.col(snippet), plain) if snippet else plain
-    return results.select(F.concat(F.lit("<tr>"), cells, F.lit('</tr>\n<tr class="snippet-row"><td colspan="6" class="snippet-cell">'), below, F.lit("</td></tr>")).alias("value"))
+    """An item of a definition list for each result: its name, what is known of it, and its snippet if there is one."""
+    part = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
+    known = [html_escape(F.col("path")), html_escape(_text(F.col("file_type"))), format_size(F.col("size")), _when(F.col("updated_at")), html_escape(_text(F.col("match_type")))]
+    about = F.concat(*[part("span", c) for c in known])
+    below = F.coalesce(part("blockquote", F.col(snippet)), F.lit("")) if snippet else F.lit("")
+    return results.select(F.concat(part("dt", html_escape(F.col("name"))), part("dd", F.concat(about, below))).alias("value"))
 
 
 def txt_entries(results: DataFrame, order: list[Column]) -> DataFrame:
@@ -72,8 +75,8 @@ def export_csv(results: DataFrame, folder: str) -> None:
 
 def export_html(results: DataFrame, folder: str, title: str = "", snippet: str | None = None) -> None:
     spark = results.sparkSession
-    head = spark.range(1).select(F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="UTF-8"><title>'), html_escape(F.lit(title)), F.lit("</title></head><body>\n<table>\n<tr><th>name</th><th>path</th><th>type</th><th>size</th><th>modified</th><th>match</th></tr>")).alias("value"))
-    foot = spark.range(1).select(F.lit("</table>\n</body></html>").alias("value"))
+    head = spark.range(1).select(F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="UTF-8"><title>'), html_escape(F.lit(title)), F.lit("</title></head><body>\n<dl>")).alias("value"))
+    foot = spark.range(1).select(F.lit("</dl>\n</body></html>").alias("value"))
     head.union(html_rows(results, snippet)).union(foot).coalesce(1).write.mode("overwrite").text(folder)
 
 

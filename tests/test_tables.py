@@ -63,7 +63,10 @@ def test_search_syntax(spark):
         got.setdefault(r["query_id"], set()).add(r["id"])
     assert {q: got.get(k, set()) for k, q in enumerate(cases)} == cases
     stemmed = search.Index.of(files, stems=True)
-    assert {r["id"] for r in search.search(stemmed, spark.createDataFrame([(1, "run")], "query_id long, query string")).collect()} == {5}
+    one = lambda i, q, **o: {r["id"] for r in search.search(i, spark.createDataFrame([(1, q)], "query_id long, query string"), search.Options(**o)).collect()}
+    assert one(stemmed, "run") == one(stemmed, "running") == one(stemmed, "runs") == {5} and one(stemmed, "reported") == {1, 2, 4, 5}
+    assert one(index, "sumary") == one(index, "runing") == set() and one(index, "summarry", typos=2) == {1, 3} and one(index, "runnnig draft", typos=2) == set()
+    assert one(index, "draftt reprot", typos=2) == {2}
     late = search.Options(since="2024-01-02", until="2024-01-04", size_least=20, size_most=0, file_types=["text"])
     assert {r["id"] for r in search.search(index, queries.where("query = 'report'"), late).collect()} == {2}
     assert {r["id"] for r in search.search_by_filename(index, spark.createDataFrame([(1, "draft")], "query_id long, query string")).collect()} == {2}
