@@ -61,7 +61,7 @@ ROWS = 1 << 19
 HELD = 1_000_000
 WORDS_HELD = 250_000
 CURVE_ROWS = 20_000
-#: So many labels (two numbers each) are broadcast; beyond it the join shuffles texts.
+#: So many labels, or toxic texts (two numbers each), are broadcast; beyond it the join shuffles texts.
 LABELS_SENT = 2_000_000
 THRESHOLD = 0.3
 #: Log-likelihood differences of single words.
@@ -435,4 +435,6 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     hashes = [F.xxhash64(F.col(text_col)), F.xxhash64(F.col(text_col), F.lit("second"))]
     out = _scored(docs, labels, id_col, text_col, label_col, [h.alias(c) for h, c in zip(hashes, (f"{own}a", f"{own}b"))])
     toxic = materialize(out.where(F.col("score") >= threshold).select(f"{own}a", f"{own}b").distinct(), "toxic-texts")
+    if toxic.count() <= LABELS_SENT:
+        toxic = F.broadcast(toxic)
     return docs.join(toxic, (hashes[0] == F.col(f"{own}a")) & (hashes[1] == F.col(f"{own}b")), "left_anti")
