@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.extract import extract_text
+
 MEMBER_MOST = 50 * 1024 * 1024
 DEPTH_MOST = 3
 _ODF = (r"content\.xml", r"<text:[pwhs][^>]*>([^<]*)</text:[pwhs]>", "\n")
@@ -21,7 +23,7 @@ FAMILIES = {
     "odt": _ODF,
     "ods": _ODF,
     "odp": _ODF,
-    "xps": (r".*\.fpage", r'UnicodeString="([^"]*)"', " "),
+    "xps": (r".*\.fpage", (r'(?i)<Glyphs[^>]*UnicodeString="([^"]*)"[^>]*>', r"(?i)<Run[^>]*>([^<]*)</Run>"), "\n"),
     "vsdx": (r".*\.xml", r"(?i)<a:t>([^<]*)</a:t>", " | "),
     "pages": (r"index\.xml", r"<(?:sf:)?s\b[^>]*>([^<]*)<", " "),
 }
@@ -47,16 +49,32 @@ def _plain(markup: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", markup)).strip()
 
 
+# The characters that a chapter may name, in the order in which they are replaced.
+NAMED = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"')]
+
+
+def _chapter(markup: str) -> str:
+    """A chapter's text without scripts, styles and tags, its named characters decoded, runs of white space as one space."""
+    for tag in ("script", "style"):
+        markup = re.sub(rf"(?is)<{tag}[^>]*>.*?</{tag}>", "", markup)
+    text = re.sub(r"<[^>]+>", " ", markup)
+    for name, character in NAMED:
+        text = re.sub(f"(?i){name}", character, text)
+    return re.sub(r"\s{2,}", " ", text).strip()
+
+
 def _epub(archive: zipfile.ZipFile) -> str:
-    """The chapters in the order of the spine."""
-    package = next((i for i in archive.infolist() if i.filename.endswith(".opf")), None)
+    """The chapters in the order of the spine of the package that the container names, a blank line between them."""
+    names = {i.filename: i for i in archive.infolist()}
+    container = names.get("META-INF/container.xml")
+    named = re.search(r'full-path="([^"]+)"', _read(archive, container).decode("utf-8", "replace")) if container else None
+    package = names.get(named[1]) if named else None
     if package is None:
         return ""
     opf, base = _read(archive, package).decode("utf-8", "replace"), posixpath.dirname(package.filename)
     items = {m[1]: h[1] for tag in re.findall(r"<item\b[^>]*>", opf) if (m := re.search(r'\bid="([^"]*)"', tag)) and (h := re.search(r'\bhref="([^"]*)"', tag))}
-    names = {i.filename: i for i in archive.infolist()}
     wanted = [posixpath.normpath(posixpath.join(base, items[r])) for r in re.findall(r'<itemref\b[^>]*\bidref="([^"]*)"', opf) if r in items]
-    return "\n".join(t for n in wanted if n in names and (t := _plain(_read(archive, names[n]).decode("utf-8", "replace"))))
+    return "\n\n".join(t for n in wanted if n in names and (t := _chapter(_read(archive, names[n]).decode("utf-8", "replace"))))
 
 
 def zipped_xml_text(ext: str, data: bytes) -> str:
@@ -70,7 +88,8 @@ def zipped_xml_text(ext: str, data: bytes) -> str:
     found = [(int(m[1]) if m.groups() else 0, i) for i in archive.infolist() if (m := re.fullmatch(member, i.filename))]
     texts = []
     for _, info in sorted(found, key=lambda x: (x[0], x[1].filename)):
-        words = [w.strip() for w in re.findall(piece, _read(archive, info).decode("utf-8", "replace"))]
+        page = _read(archive, info).decode("utf-8", "replace")
+        words = [w.strip() for p in (piece if isinstance(piece, tuple) else (piece,)) for w in re.findall(p, page)]
         if words := [w for w in words if w]:
             texts.append(joiner.join(words))
     return (" | " if ext == "vsdx" else "\n").join(texts)
@@ -122,3 +141,15 @@ def archive_text(members: DataFrame) -> DataFrame:
     piece = F.concat(F.lit("["), F.col("member"), F.lit("]\n"), F.col("text"))
     grouped = members.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("nr", piece.alias("piece")))).alias("pieces"))
     return grouped.select("path", F.array_join("pieces.piece", "\n---\n").alias("text"))
+
+
+def extract_files(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(path, text) of files of any known kind, from their bytes: zipped XML and archives are opened, everything else is read as UTF-8
+    text and routed by its extension; '' for an unknown kind or unreadable bytes."""
+    slim = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
+    ext = F.lower(F.substring_index("path", ".", -1))
+    xml, archives = ext.isin(*FAMILIES, "epub"), ext == "zip"
+    opened = archive_text(expand_zip(slim))
+    opened = slim.where(archives).select("path").join(opened, "path", "left").select("path", F.coalesce("text", F.lit("")).alias("text"))
+    plain = slim.where(~xml & ~archives).select("path", extract_text(F.col("path"), F.decode(F.col("content"), "UTF-8")).alias("text"))
+    return plain.unionByName(zip_xml_to_text(slim)).unionByName(opened)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import paths
@@ -55,7 +54,7 @@ def limited_content(content: Column, size: Column, ext: Column) -> Column:
 def apply_skip_rules(files: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
     """Without files that an enabled rule matches: by end of the path (ext), by name, or by a part of the path, in any case.
 
-    Rules are written by hand and few; Spark broadcasts them by their size.
+    Rules are written by hand and few: a file is compared with each of them, so this is no join for tables of rules.
     """
     low, name = F.lower(F.col(path_col)), F.lower(paths.basename(F.col(path_col)))
     on = rules.where("enabled").select(F.col("type").alias("__t"), F.lower("pattern").alias("__p"))
@@ -96,11 +95,18 @@ def filter_supported(files: DataFrame) -> DataFrame:
     return files.where("is_supported")
 
 
+def valid_pattern(spark: SparkSession, pattern: str) -> bool:
+    """Whether the JVM, which matches it, can read the pattern."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def regex_filter(hits: DataFrame, pattern: str) -> DataFrame:
     """Hits whose path or content matches, in any case; none for an invalid pattern."""
-    try:
-        re.compile(pattern)
-    except re.error:
+    if not valid_pattern(hits.sparkSession, pattern):
         return hits.limit(0)
     return hits.where(F.col("path").rlike("(?i)" + pattern) | F.col("content").rlike("(?i)" + pattern))
 

@@ -49,7 +49,7 @@ def cleanup_orphans(files: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def filter_monitored_roots(changes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Events whose path starts with a watched root; the roots are settings, a few rows."""
+    """Events whose path starts with a watched root; the roots are settings, a few rows, and each event is compared with all of them."""
     return changes.join(roots.select(F.col("root").alias("__root")), F.startswith("path", F.col("__root")), "left_semi")
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.functions import extract, journal, paths, text
+from quillmill.functions import containers, extract, journal, paths, text
 from quillmill.operators import filters, fuzzy, index, joins, maintain, match, rank, results, stats
+from quillmill.plans import scan
 from quillmill.plans import search as plans
 from quillmill.plans import tables as t
 from quillmill.sources import writers
@@ -76,6 +77,33 @@ def x6_fb2_to_text(spark, d):
     return t.table(spark, d, "benchmark").select("item_id", extract.fb2_to_text(book).alias("content"))
 
 
+_ONE_LINE = r"trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(text, '<', ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), chr(10)) AS content FROM documents""")
+def x7_zip_xml_to_text(spark, d):
+    """The documents as zipped office files, a paragraph for each line."""
+    zipped = t.zipped(t.table(spark, d, "documents"), "odt")
+    return containers.zip_xml_to_text(zipped).select(t.id_of("path").alias("doc_id"), F.col("text").alias("content"))
+
+
+@query(rf"""SELECT doc_id, 0 AS nr, 'a/one.txt' AS member, {_ONE_LINE} AS text FROM documents WHERE {_ONE_LINE} <> '' UNION ALL SELECT doc_id, CASE WHEN {_ONE_LINE} <> '' THEN 1 ELSE 0 END, 'two.md', 'document ' || doc_id FROM documents""")
+def x8_expand_zip(spark, d):
+    """The documents as archives of two files."""
+    members = containers.expand_zip(t.zipped(t.table(spark, d, "documents"), "zip"))
+    return members.select(t.id_of("path").alias("doc_id"), "nr", "member", "text")
+
+
+@query(rf"WITH {t.FILES} SELECT path, md5(content) AS hash, length(CASE WHEN ext = 'html' THEN {_HTML.replace('html,', 'content,')} WHEN ext = 'pdf' THEN '' ELSE content END) AS n, CASE WHEN id % 3 = 0 THEN '2024' ELSE '2025' END AS updated FROM files WHERE is_supported AND id % 3 <> 0 UNION ALL SELECT path, hash, length(content), '2024' FROM files WHERE id % 3 = 0")
+def x10_scan_rows(spark, d):
+    """A scan of all files, of which a third is known and unchanged, a third known in another size, and the rest new."""
+    f = t.files(spark, d)
+    disk = f.select(F.concat(F.lit("file:"), "path").alias("path"), F.col("updated_at").alias("modificationTime"), F.octet_length("content").cast("long").alias("length"), F.encode("content", "UTF-8").alias("content"))
+    known = f.where("id % 3 = 0").unionByName(f.where("id % 3 = 1 AND is_supported").withColumn("size", F.lit(-1).cast("long")))
+    out = scan.scan_rows(disk, known, F.lit("2025-01-01").cast("timestamp"))
+    return out.select("path", "hash", F.length("content").cast("long").alias("n"), F.date_format("updated_at", "yyyy").alias("updated"))
+
+
 @query(rf"WITH {t.FILES} SELECT id, CASE WHEN ext = 'html' THEN {_HTML.replace('html,', 'content,')} WHEN ext IN ('pdf', 'xyz') THEN '' ELSE content END AS content FROM files")
 def x10_extract_router(spark, d):
     return t.files(spark, d).select("id", extract.extract_text(F.col("path"), F.col("content")).alias("content"))
@@ -280,6 +308,14 @@ def t13_search(spark, d):
     return found.select("query_id", "id", "path", "name", "size", "file_type", F.round("rank", 6).alias("rank"), "match_type")
 
 
+@query(rf"{_SEARCH} SELECT query_id, id, round(rank, 6) AS rank FROM best WHERE nr <= 200 AND query_id % 4 <> 3 AND (regexp_matches(path, '(?i)TH[aeo]n|d_\d*7') OR regexp_matches(content, '(?i)TH[aeo]n|d_\d*7'))")
+def p13_regex_search(spark, d):
+    """/re/ words: the results of two words of each passage whose path or content matches; every fourth pattern cannot be read."""
+    q = t.words(spark, d, 2).withColumn("query", F.concat(F.when(F.col("query_id") % 4 == 3, "/(?P<n>a)/ ").otherwise("/TH[aeo]n|d_\\d*7/ "), "query"))
+    found = plans.search_with_regex(_index(spark, d), q)
+    return found.select("query_id", "id", F.round("rank", 6).alias("rank"))
+
+
 @query(f"{_BASE} SELECT DISTINCT b.item_id AS query_id, a.doc_id AS id, 'filename' AS match_type FROM benchmark b JOIN tokens a ON starts_with(a.term, b.item_id::VARCHAR) JOIN files f ON f.id = a.doc_id WHERE a.field = 'name' AND f.is_supported")
 def t14_search_by_filename(spark, d):
     q = t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("doc "), F.col("item_id")).alias("query"))

@@ -105,6 +105,23 @@ def search(index: Index, queries: DataFrame, options: Options | None = None) ->
     return results.dedup_by_hash(top) if options.dedup else top
 
 
+def search_with_regex(index: Index, queries: DataFrame, options: Options | None = None) -> DataFrame:
+    """``search``, where a query may begin with a regular expression, /re/ words: of what its words find, the files whose path or
+    content matches in any case. Nothing for a pattern that cannot be read, or without words.
+
+    The patterns are collected to be checked, as queries are typed by users; contents are read for top results alone.
+    """
+    head = r"(?s)^/(.+?)/\s*"
+    parts = queries.withColumns({"pattern": F.regexp_extract("query", head, 1), "query": F.regexp_replace("query", head, "")})
+    typed = [r["pattern"] for r in parts.where("pattern <> ''").select("pattern").distinct().collect()]
+    bad = [p for p in typed if not filters.valid_pattern(queries.sparkSession, p)]
+    found = search(index, parts.where(~F.col("pattern").isin(bad)), options)
+    patterns = parts.where("pattern <> ''").select("query_id", F.concat(F.lit("(?i)"), "pattern").alias("pattern"))
+    plain = found.join(patterns, "query_id", "left_anti")
+    held = with_content(found.join(patterns, "query_id"), index.files).where(F.regexp_like("path", F.col("pattern")) | F.regexp_like("content", F.col("pattern")))
+    return plain.unionByName(held.select(*plain.columns))
+
+
 def search_by_filename(index: Index, queries: DataFrame, options: Options | None = None) -> DataFrame:
     """Top results whose name holds all words of the query."""
     return search(index, queries.withColumn("query", F.concat(F.lit('name:"'), F.replace("query", F.lit('"'), F.lit("")), F.lit('"'))), options)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.paths import file_type
@@ -76,6 +80,30 @@ def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.explode(F.array(one, two)).alias("path")).distinct()
 
 
+def zipped(docs: DataFrame, ext: str) -> DataFrame:
+    """(path, content): each document as the bytes of a zipped file, an office text with a paragraph for each line or an archive of two files."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for id_, text in zip(frame["doc_id"], frame["text"]):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    if ext == "odt":
+                        z.writestr("content.xml", "".join(f"<text:p>{line}</text:p>" for line in (text or "").replace("<", "").split("\n")))
+                    else:
+                        z.writestr("a/one.txt", text or "")
+                        z.writestr("two.md", f"document {id_}")
+                out.append(held.getvalue())
+            yield pd.DataFrame({"path": [f"/zipped/{i}.{ext}" for i in frame["doc_id"]], "content": out})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "path string, content binary")
+
+
+def id_of(path: str) -> Column:
+    return F.regexp_extract(path, r"(\d+)\.\w+$", 1).cast("long")
+
+
 FOLDERS = "folders AS (SELECT DISTINCT '/' || source AS path FROM documents UNION SELECT DISTINCT '/' || source || '/' || lang FROM documents)"
 
 

@@ -174,10 +174,15 @@ def zipped(members):
 def test_containers(spark):
     odt = zipped({"content.xml": "<a><text:p x='1'>One</text:p><text:h>Two</text:h></a>"})
     pptx = zipped({f"ppt/slides/slide{k}.xml": f"<a:t>s{k}</a:t><a:t> </a:t><a:t>t</a:t>" for k in (10, 2)})
-    epub = zipped({"OPS/b.opf": '<item id="c2" href="two.html"/><item id="c1" href="one.html"/><itemref idref="c1"/><itemref idref="c2"/>', "OPS/one.html": "<p>First</p>", "OPS/two.html": "<p>Second</p>"})
-    rows = [("a.odt", odt), ("b.pptx", pptx), ("c.epub", epub), ("d.odt", b"broken"), ("e.odt", None), ("f.txt", b"x")]
+    book = "<script>no()</script><style>p{}</style><p>First &amp; &lt;last&gt;</p>"
+    epub = zipped({"META-INF/container.xml": '<rootfile full-path="OPS/b.opf"/>', "OPS/b.opf": '<item id="c2" href="two.html"/><item id="c1" href="one.html"/><itemref idref="c1"/><itemref idref="c2"/>', "OPS/one.html": book, "OPS/two.html": "<p>Second</p>"})
+    xps = zipped({"p/1.fpage": '<Run x="1">run</Run><Glyphs a="b" UnicodeString="one"/><Glyphs UnicodeString="two"></Glyphs><Other UnicodeString="no"/>'})
+    rows = [("a.odt", odt), ("b.pptx", pptx), ("c.epub", epub), ("g.xps", xps), ("d.odt", b"broken"), ("e.odt", None), ("f.txt", b"x")]
     df = spark.createDataFrame([(p, bytearray(c) if c else None) for p, c in rows], "path string, content binary")
-    assert dict(map(tuple, containers.zip_xml_to_text(df).collect())) == {"a.odt": "One\nTwo", "b.pptx": "s2 t\ns10 t", "c.epub": "First\nSecond", "d.odt": "", "e.odt": ""}
+    assert dict(map(tuple, containers.zip_xml_to_text(df).collect())) == {"a.odt": "One\nTwo", "b.pptx": "s2 t\ns10 t", "c.epub": "First & <last>\n\nSecond", "g.xps": "one\ntwo\nrun", "d.odt": "", "e.odt": ""}
+    z = spark.createDataFrame([("z.zip", bytearray(zipped({"in.txt": "inside"}))), ("none.zip", bytearray(b"x")), ("h.html", bytearray(b"<p>text</p>")), ("n.xyz", bytearray(b"x"))], "path string, content binary")
+    got = dict(map(tuple, containers.extract_files(df.unionByName(z)).collect()))
+    assert got["z.zip"] == "[in.txt]\ninside" and got["none.zip"] == got["n.xyz"] == "" and got["h.html"] == "text" and got["f.txt"] == "x" and got["a.odt"] == "One\nTwo" and len(got) == 11
 
 
 def test_archives(spark):

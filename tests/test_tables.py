@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text
 from quillmill.operators import maintain, results
-from quillmill.plans import search, tables
+from quillmill.plans import scan, search, tables
 from quillmill.sources import readers, writers
 from quillmill.streaming import changes as ch
 
@@ -72,6 +72,51 @@ def test_search_syntax(spark):
     assert {r["id"] for r in search.search_by_filename(index, spark.createDataFrame([(1, "draft")], "query_id long, query string")).collect()} == {2}
 
 
+    regex = spark.createDataFrame([(0, "/dra[fg]t|2024/ report"), (1, "/(?P<n>a)/ report"), (2, "/card/"), (3, "summary"), (4, "/MENU/ creme"), (5, "/(/ report")], "query_id long, query string")
+    found = {}
+    for r in search.search_with_regex(index, regex).collect():
+        found.setdefault(r["query_id"], set()).add(r["id"])
+    assert found == {0: {1, 2}, 3: {1, 3}, 4: {4}}
+
+
+def test_stemmed_search_against_a_loop(spark):
+    """The registered query: files with a term whose stem begins with the stem of the wanted word."""
+    from quillmill.operators.index import porter_stem, tokenize
+    from quillmill.plans.queries import QUERIES
+
+    files = tables.files(spark, DIR).select("id", "is_supported", *[tokenize(F.col(c)).alias(c) for c in ("name", "content", "file_type")]).collect()
+    held = {r["id"]: {porter_stem(w) for c in ("name", "content", "file_type") for w in r[c]} for r in files if r["is_supported"]}
+    want = set()
+    for r in tables.words(spark, DIR, 1, 4).where("query <> ''").withColumn("t", tokenize(F.concat("query", F.lit("ing")))).collect():
+        stem = porter_stem(r["t"][0])
+        want |= {(r["query_id"], i) for i, stems in held.items() if any(s.startswith(stem) for s in stems)}
+    got = QUERIES["t13_search_with_stems"](spark, DIR).collect()
+    assert {(r["query_id"], r["id"]) for r in got} == want and want
+
+
+def test_scan_of_a_folder(spark, tmp_path):
+    root = tmp_path / "in"
+    write(root / "a.txt", b"plain text")
+    write(root / "sub" / "b.html", b"<p>Hi <b>there</b></p>")
+    write(root / ".git" / "c.txt", b"hidden")
+    write(root / "skip.log", b"skipped")
+    write(root / "d.xyz", b"unknown")
+    none = tables.files(spark, DIR).limit(0)
+    rules = spark.createDataFrame([("logs", "ext", ".log", True)], "name string, type string, pattern string, enabled boolean")
+    folders = spark.createDataFrame([(1, f"{root}/sub")], "id long, path string").withColumns({"file_count": F.lit(0).cast("long"), "total_size": F.lit(0).cast("long"), "last_scan_at": F.lit(None).cast("timestamp"), "last_full_scan_at": F.lit(None).cast("timestamp")})
+    index = scan.scan(str(root), none, str(tmp_path / "one"), F.current_timestamp(), rules, folders)
+    first = {r["name"]: r for r in index.files.collect()}
+    assert {n: r["content"] for n, r in first.items()} == {"a.txt": "plain text", "b.html": "Hi there"} and all(r["hash"] for r in first.values())
+    found = search.search(index, spark.createDataFrame([(1, "there")], "query_id long, query string")).collect()
+    assert [r["name"] for r in found] == ["b.html"]
+    assert spark.read.parquet(str(tmp_path / "one" / "folders")).first()["file_count"] == 1
+    write(root / "a.txt", b"changed text, longer")
+    again = scan.scan(str(root), index.files, str(tmp_path / "two"), F.current_timestamp(), rules)
+    second = {r["name"]: r for r in again.files.collect()}
+    assert second["a.txt"]["content"] == "changed text, longer" and {n: r["id"] for n, r in second.items()} == {n: r["id"] for n, r in first.items()}
+    assert second["b.html"] == first["b.html"]
+
+
 def test_all_words_are_some_of_any_words(spark):
     index = search.Index.of(tables.files(spark, DIR))
     q = tables.words(spark, DIR, 2)
