@@ -4,7 +4,6 @@ import datetime as dt
 import json
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import text
@@ -220,15 +219,22 @@ def _fold(spark, paths, events, readable):
     return {r["path"]: (paths[r["id"]] if r["id"] < len(paths) else None, r["content"] == f"new {r['path']}") for r in rows}
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_changes_of_one_batch(spark, name):
+def _in_volume(k, paths, events, readable):
+    """The same below a folder of its own, so that one batch holds many cases."""
+    at = lambda p: p and f"/v{k}{p}"
+    return [at(p) for p in paths], [(e, at(p), at(o)) for e, p, o in events], [at(p) for p in readable]
+
+
+def test_changes_of_one_batch(spark):
     paths = ["/a", "/b", "/log", "/log.1", "/log.2", "/d/x", "/d/s/z", "/keep"]
     readable = ["/a", "/b", "/c", "/log", "/log.1", "/x14", "/d/new", "/d/late", "/f/new", "/e/y"]
-    assert _fold(spark, paths, CASES[name], readable) == sequentially(paths, CASES[name], readable)
+    cases = [_in_volume(k, paths, events, readable) for k, events in enumerate(CASES.values())]
+    got = _fold(spark, *(sum(x, []) for x in zip(*cases)))
+    for k, (name, case) in enumerate(zip(CASES, cases)):
+        assert {p: v for p, v in got.items() if p.startswith(f"/v{k}/")} == sequentially(*case), name
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random_batches_equal_a_loop(spark, seed):
+def _random_case(seed):
     rng = random.Random(seed)
     folders = ["", "/d", "/d/s", "/e"]
     path = lambda: f"{rng.choice(folders)}/{rng.choice('abc')}"
@@ -245,8 +251,14 @@ def test_random_batches_equal_a_loop(spark, seed):
             events.append((kind, new, old if kind == "folder_renamed" else None))
         else:
             events.append((kind, path(), path() if kind == "renamed" else None))
-    readable = sorted({path() for _ in range(9)})
-    assert _fold(spark, paths, events, readable) == sequentially(paths, events, readable)
+    return paths, events, sorted({path() for _ in range(9)})
+
+
+def test_random_batches_equal_a_loop(spark):
+    cases = [_in_volume(seed, *_random_case(seed)) for seed in range(40)]
+    got = _fold(spark, *(sum(x, []) for x in zip(*cases)))
+    for seed, case in enumerate(cases):
+        assert {p: v for p, v in got.items() if p.startswith(f"/v{seed}/")} == sequentially(*case), seed
 
 
 def test_folding_a_stream(spark, tmp_path):
