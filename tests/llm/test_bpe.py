@@ -1,6 +1,7 @@
 """BPE against the tokenizers library, on given texts and on random ones."""
 
 import hashlib
+import json
 
 import pytest
 from hypothesis import given, settings
@@ -77,3 +78,12 @@ def test_dataframe(spark):
     back = bpe.decode(bpe.encode(df, PATH, what="ids"), PATH)
     assert sorted((r[0], r[1]) for r in back.where("doc_id is not null").collect()) == sorted((i, REAL.decode(REAL.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in rows if i is not None)
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def test_a_file_of_another_kind_is_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "NFC"}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.load_vocabulary(str(tmp_path / "other.json"))
