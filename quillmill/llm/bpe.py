@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import pieces
 
 #: Entries of a worker's tables of encoded words and fragments; a full table is emptied, which changes no result.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 60_000
 #: The only normaliser that ``Encoder`` knows: type, pattern and content of each step of the file.
 NORMAL = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
 

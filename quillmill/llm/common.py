@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -109,8 +110,17 @@ def private_prefix(taken: list[str], start: str) -> str:
     return start
 
 
+def give_back() -> None:
+    """Hand what a worker no longer uses back to the system: workers are used again, and those that wait would hold it beside the others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about ``most`` bytes of ``column``, one row at least; bounds a worker's memory."""
+    give_back()  # what the worker's former task left
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -122,6 +132,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
             end = max(start + 1, int(np.searchsorted(sizes, base + most, side="right")))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
 
 
 MASK = (1 << 64) - 1

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import joined, materialize, mix, pieces, private_prefix, scratch, shingles, word_hashes
+from quillmill.llm.common import give_back, joined, materialize, mix, pieces, private_prefix, scratch, shingles, word_hashes
 from quillmill.llm.components import components
 
 WORDS = 5
@@ -184,6 +184,7 @@ def _compare(placed: DataFrame, held: DataFrame, similarity: float) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         now, parts, found = None, [], []
+        give_back()
         for batch in batches:
             if not batch.num_rows:
                 continue

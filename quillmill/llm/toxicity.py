@@ -322,6 +322,10 @@ def _text_sums(of: np.ndarray, n: int, length: np.ndarray, value: np.ndarray) ->
     return np.stack([np.bincount(of, weights=w, minlength=n) for w in (length, np.ones(len(of)), value, *over)], axis=1).astype(np.float64)
 
 
+def _chance(sums: np.ndarray, curve: np.ndarray) -> pa.Array:
+    return pa.array(1 / (1 + np.exp(-np.clip(features(sums) @ curve, -30, 30))))
+
+
 def _lists(sums: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, sums.shape[1]), pa.int32()), pa.array(sums.ravel()))
 
@@ -332,8 +336,10 @@ def compare(docs: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     return _compare_by_join(docs, model) if table is None else _compare_in_place(docs, table)
 
 
-def _compare_in_place(docs: DataFrame, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _compare_in_place(docs: DataFrame, table: tuple[np.ndarray, np.ndarray], curve: np.ndarray | None = None) -> DataFrame:
+    """As ``compare``; with a curve, its score in place of the sums, in the same worker."""
     sent, names = docs.sparkSession.sparkContext.broadcast(table), docs.columns[:-1]
+    last, kind = ("sums", T.ArrayType(T.DoubleType())) if curve is None else ("score", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Table(*sent.value)
@@ -342,9 +348,9 @@ def _compare_in_place(docs: DataFrame, table: tuple[np.ndarray, np.ndarray]) ->
             start, end, word = _words(symbols.tobytes())
             value = _values_of(symbols, start, end, word, held) if len(word) else np.empty(0, dtype=np.float32)
             sums = _text_sums(np.searchsorted(ends, start, side="right"), batch.num_rows, end - start + 1, value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), _lists(sums)], [*names, "sums"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), _lists(sums) if curve is None else _chance(sums, curve)], [*names, last])
 
-    return docs.mapInArrow(run, docs.drop("text").schema.add("sums", T.ArrayType(T.DoubleType())))
+    return docs.mapInArrow(run, docs.drop("text").schema.add(last, kind))
 
 
 def _compare_by_join(docs: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -408,16 +414,16 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
         model, curve = fit(docs, labels, id_col, text_col, label_col)
         if model is None:
             return docs.select(*columns, F.lit(float(1 / (1 + np.exp(-curve[0])))).alias("score"))
-        sums = compare(docs.select(*columns, F.col(text_col).alias("text")), model)
-        if hasattr(sums, "_quillmill_path"):
-            kept.keep(sums)
+        texts, table = docs.select(*columns, F.col(text_col).alias("text")), _model_table(model)
+        if table is not None:
+            return _compare_in_place(texts, table, curve)
+        sums = kept.keep(_compare_by_join(texts, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 sums = np.stack(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
-                p = 1 / (1 + np.exp(-np.clip(features(sums) @ curve, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _chance(sums, curve)], [*batch.schema.names[:-1], "score"])
 
     return sums.mapInArrow(run, sums.drop("sums").schema.add("score", "double"))
 
