@@ -35,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/checkpoints"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used; what is written there goes like a table of ``materialize``."""
+    path = f"{shared_dir(spark)}/quillmill-{name}-{uuid.uuid4().hex[:12]}"
+    (_OPEN[-1].made if _OPEN else _LEFT).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again.
 
@@ -42,11 +49,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     deterministic (a generated id) is fixed. ``drop``, the end of a ``scratch`` or that of the process removes the files.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillmill-{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillmill_path = path
-    (_OPEN[-1].made if _OPEN else _LEFT).append(path)
     return out
 
 

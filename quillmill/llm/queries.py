@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import bpe, embedding_dedup, fingerprints, html_text, line_dedup, minhash_dedup, mixing, quality, substring_dedup, toxicity
-from quillmill.llm.common import table
+from quillmill.llm import bpe, embedding_dedup, fingerprints, html_text, line_dedup, minhash_dedup, mixing, prefix_trie, quality, spelling, substring_dedup, toxicity, warc
+from quillmill.llm.common import materialize, new_path, scratch, table
 
 
 def tokenizer_path() -> str:
@@ -59,9 +59,25 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages say, read back; the archives go when that is written."""
+    with scratch() as kept:
+        folder = new_path(spark, "archives")
+        warc.write_archives(table(spark, sf_dir, "pages"), folder)
+        return kept.keep(materialize(warc.pages_read(spark, folder), "records"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_substring_dedup, op3_line_dedup, op4_toxicity, op5_mixing, op6_bpe, op7_html_extraction, op8_quality, op9_fingerprints, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_substring_dedup, op3_line_dedup, op4_toxicity, op5_mixing, op6_bpe, op7_html_extraction, op8_quality, op9_fingerprints, op10_minhash_dedup, op11_warc, op12_prefix_trie, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL}
+    return {"op3_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op11_warc": warc.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_spelling_variants": spelling.SQL}
