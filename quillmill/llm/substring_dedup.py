@@ -12,7 +12,7 @@ least ``LEAST`` characters is a repeat and is taken out; shorter ones (a common
 share a digest by chance) stay.
 
 Defined cases: null text has no repeats and stays null; an empty text stays; rows that repeat a (doc_id, text)
-are one occurrence and are treated alike; rows of equal doc_id are told apart, and come in the order of, 15 bits of their text's hash; a row without doc_id is named by its text's hash and stands where that falls in the order of
+are one occurrence and are treated alike; rows of equal doc_id are told apart, and come in the order of, their text's 64-bit hash; a row without doc_id is named by its text's hash and stands where that falls in the order of
 ids; an empty table gives an empty table; other columns pass through untouched, and where one is named as one
 that the result adds, the added one has an underscore behind its name. A digest with more than one in ``HOT`` of all repeated chunks (there are at most ``HOT``) is sent to the
 chunks instead of the chunks to it, so that no common line gathers in one task.
@@ -81,52 +81,55 @@ def chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return upto[starts], upto[ends] - upto[starts], digest
 
 
-def _identity(id_: Column, text: Column) -> tuple[Column, Column]:
-    """(the id, or for null the text's hash; 16 bits of the text's hash, of which one says that the id is null)."""
-    hashed = F.xxhash64(text)
-    return F.coalesce(id_.cast("long"), hashed), hashed.bitwiseAND(F.lit(0x7FFF)) + F.when(id_.isNull(), F.lit(0x8000)).otherwise(F.lit(0))
+def _identity(id_: Column, text: Column) -> tuple[Column, Column, Column]:
+    """(the id, or for null the text's hash; whether the id is null; the text's hash, null for a null text): what tells rows apart."""
+    hashed = F.when(text.isNotNull(), F.xxhash64(text))
+    return F.coalesce(id_.cast("long"), hashed), id_.isNull(), hashed
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tag, text) -> one row for each chunk: its digest, the id, and tag, place, whether the text had it before, and length in one number."""
+    """(id, tag, none, text) -> one row for each chunk: its digest, the id, the text's hash, and whether the id is null, place, whether the text had it before, and length in one number."""
     for batch in pieces(batches, "text", 2_000_000):
         ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        out = [chunks(t) for t in batch.column(2).to_pylist()]
+        none = np.array(batch.column(2).to_pylist(), dtype=np.int64)
+        out = [chunks(t) for t in batch.column(3).to_pylist()]
         n = [len(o[0]) for o in out]
         place = []
         for start, length, digest in out:
             again = np.ones(len(digest), dtype=np.int64)
             again[np.unique(digest, return_index=True)[1]] = 0
             place.append(start << 16 | again << 15 | length)
-        packed = np.concatenate(place) | np.repeat(tags, n) << 48
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[2] for o in out])), pa.array(np.repeat(ids, n)), pa.array(packed.astype(np.int64))], ["digest", "id", "place"])
+        packed = np.concatenate(place) | np.repeat(none, n) << 48
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[2] for o in out])), pa.array(np.repeat(ids, n)), pa.array(np.repeat(tags, n)), pa.array(packed.astype(np.int64))], ["digest", "id", "tag", "place"])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """(id, tag, spans, first_ids): for each document with repeats, their (start, end) in characters and where they first stand."""
-    id_, tag = _identity(F.col(id_col), F.col(text_col))
-    rows = docs.where(F.length(text_col) > 0).select(id_.alias("id"), tag.alias("tag"), F.col(text_col).alias("text")).mapInArrow(_chunk_rows, "digest long, id long, place long")
-    tag = F.shiftrightunsigned("place", 48)
+    """(id, tag, none, spans, first_ids): for each document with repeats, told by ``_identity``, their (start, end) in characters and where they first stand."""
+    id_, none, tag = _identity(F.col(id_col), F.col(text_col))
+    slim = docs.where(F.length(text_col) > 0).select(id_.alias("id"), tag.alias("tag"), none.alias("none"), F.col(text_col).alias("text"))
+    rows = slim.mapInArrow(_chunk_rows, "digest long, id long, tag long, place long")
+    none = F.shiftrightunsigned("place", 48) > 0
     # What tells a first occurrence are the least id and tag and, within that document, the chunker's mark.
     with scratch() as kept:
-        counted = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", tag.alias("tag"))).alias("first"))
+        counted = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", none.alias("none"), "tag")).alias("first"))
         repeated = kept.keep(materialize(counted.where("n > 1").select("digest", "n", "first"), "repeated-chunks"))
     most = (repeated.agg(F.sum("n")).first()[0] or 0) / HOT
     hot = repeated.where(F.col("n") > most).select("digest", F.col("first").alias("hot"))
     rest = repeated.where(F.col("n") <= most).select("digest", F.lit(0).alias("part"), "first")
-    dealt = rows.join(F.broadcast(hot), "digest", "left").withColumn("part", F.when(F.col("hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("id", "place"), F.lit(SPREAD)).cast("int")))
+    dealt = rows.join(F.broadcast(hot), "digest", "left").withColumn("part", F.when(F.col("hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("id", "tag", "place"), F.lit(SPREAD)).cast("int")))
     met = dealt.join(rest, ["digest", "part"], "left").withColumn("first", F.coalesce("hot", "first")).where("first IS NOT NULL")
     again = F.col("place").bitwiseAND(F.lit(0x8000)) != 0
-    later = met.where((F.col("id") != F.col("first.id")) | (tag != F.col("first.tag")) | again).select("id", "place", F.col("first.id").alias("first"))
+    other = (F.col("id") != F.col("first.id")) | (F.col("tag") != F.col("first.tag")) | (none != F.col("first.none"))
+    later = met.where(other | again).select("id", "tag", "place", F.col("first.id").alias("first"))
     start = F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFFFFFF))
     # Runs of chunks that touch, within each document; rows repeated as a whole repeat their chunks. Only packed rows are shuffled.
-    later = later.repartition("id").dropDuplicates(["id", "place"]).select("id", tag.alias("tag"), start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(0x7FFF))).alias("end"), "first")
-    order = W.partitionBy("id", "tag").orderBy("start")
+    later = later.repartition("id", "tag").dropDuplicates(["id", "tag", "place"]).select("id", "tag", none.alias("none"), start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(0x7FFF))).alias("end"), "first")
+    order = W.partitionBy("id", "tag", "none").orderBy("start")
     runs = later.withColumn("new", F.coalesce((F.lag("end").over(order) < F.col("start")).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     solid = F.col("end") - F.col("start") >= SHORT
-    spans = runs.groupBy("id", "tag", "run").agg(*[f(F.when(solid, F.col(c))).alias(name) for f, c, name in ((F.min, "start", "start"), (F.max, "end", "end"), (F.collect_set, "first", "firsts"))]).where(F.col("end") - F.col("start") >= least)
-    return spans.groupBy("id", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("firsts")))).alias("first_ids"))
+    spans = runs.groupBy("id", "tag", "none", "run").agg(*[f(F.when(solid, F.col(c))).alias(name) for f, c, name in ((F.min, "start", "start"), (F.max, "end", "end"), (F.collect_set, "first", "firsts"))]).where(F.col("end") - F.col("start") >= least)
+    return spans.groupBy("id", "tag", "none").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("firsts")))).alias("first_ids"))
 
 
 def _cut(text: str, spans: list) -> str:
@@ -141,9 +144,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with ``text_col`` cleaned and repeat_spans, first_ids (null where nothing repeats); ``only_changed``: just the documents with repeats."""
     names = docs.columns
     own = private_prefix(names, "__sd_")
-    id_, tag = _identity(F.col(id_col), F.col(text_col))
-    found = repeats(docs, id_col, text_col, least).select(F.col("id").alias(f"{own}id"), F.col("tag").alias(f"{own}tag"), F.col("spans").alias(free_name(names, "repeat_spans")), F.col("first_ids").alias(free_name(names, "first_ids")))
-    joined = docs.withColumns({f"{own}i": id_, f"{own}t": tag}).join(found, (F.col(f"{own}i") == F.col(f"{own}id")) & (F.col(f"{own}t") == F.col(f"{own}tag")), "inner" if only_changed else "left").drop(f"{own}i", f"{own}t", f"{own}id", f"{own}tag")
+    keys = dict(zip(("id", "none", "tag"), _identity(F.col(id_col), F.col(text_col))))
+    found = repeats(docs, id_col, text_col, least).select(*[F.col(k).alias(f"{own}{k}") for k in keys], F.col("spans").alias(free_name(names, "repeat_spans")), F.col("first_ids").alias(free_name(names, "first_ids")))
+    # A null text's hash is null and meets nothing.
+    joined = docs.withColumns({f"{own}{k}": c for k, c in keys.items()}).join(found, [f"{own}{k}" for k in keys], "inner" if only_changed else "left").drop(*[f"{own}{k}" for k in keys])
     at, spans_at = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -109,6 +109,18 @@ def test_rows_of_equal_id_and_names_that_clash(spark):
     assert got and all(r["first_ids_"] == [1] for r in got) and min(len(r["text"]) for r in got) < 120
 
 
+def test_many_rows_of_one_id(spark):
+    """Told apart by their texts, however many there are; a null text among them has no repeats."""
+    p = "a passage that stands in some of these rows, word for word, long enough to be found by its chunks wherever it may stand in them. " * 2
+    rows = [(1, None), (1, None)] + [(1, f"row {k} " + "".join(f"{k * 7919 % 100_003} {j} " for j in range(12)) + (p if k % 4 == 0 else "")) for k in range(1500)]
+    got = sd.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    kept = sorted((r["text"] for r in got if r["text"]), key=lambda t: int(t.split()[1]))
+    assert sum(r["text"] is None and r["repeat_spans"] is None for r in got) == 2
+    assert all(a.startswith(b[: b.index(" ", 4)]) for a, b in zip(kept, (t for _, t in rows[2:])))
+    assert sum(p in t for t in kept) == 1 and all(t == b for t, (_, b) in zip(kept, rows[2:]) if p not in b)
+
+
 def test_a_common_chunk_does_not_change_the_result(spark, monkeypatch):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     want = sorted(map(tuple, sd.repeats(docs).collect()))
