@@ -3,13 +3,12 @@
 A document's shingles are its runs of five words (runs of anything but ASCII white space; a text of fewer words
 is one shingle). The sketch keeps every shingle hash below a fixed fraction of the hash range, so it is a sample
 of the shingle set at one rate for all documents: two sketches merge by union into the sketch of both texts, and
-the share of one sketch that lies in another estimates containment however unequal the documents are. A text
-with words none of whose shingles falls below the threshold has an empty sketch; its fingerprint is its least hash, which lies
-above the threshold and is told from a sketch by that. It stands for the text as long as nothing is merged with it but its
-like: ``merged`` drops it as soon as one side has a sketch, so that merging is exact for texts of every length.
+the share of one sketch that lies in another estimates containment however unequal the documents are. A short text
+may have no shingle below the threshold; its sketch is empty, as merging wants it.
 
 A fingerprint is the sorted kept hashes, sixteen hex digits each, in one string. Likeness is the share of the
-smaller sketch that lies in the larger one: 1 for two empty ones, 0 when only one is empty.
+smaller sketch that lies in the larger one. Where one of two texts has an empty sketch, ``compare_with_next``, which has both texts at hand, takes all their
+shingles instead: 1 for two texts without words, 0 when only one has none.
 
 Neighbours (the next document by ascending id) are found without a global window: ids are cut into ranges at
 approximate quantiles, rows go to their range, and the first row of each range also goes to the range before it.
@@ -31,20 +30,28 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import pieces, shingles, word_hashes
 
 WORDS = 5
-FRACTION = 0.25
-NONE = np.empty(0, dtype=np.uint64)
+FRACTION = 1 / 16
 
 
 def sketch(text: str, fraction: float = FRACTION) -> np.ndarray:
-    """Sorted distinct kept hashes of a whole text, or its least one alone."""
-    return _kept(shingles(word_hashes(text.encode("utf-8", "replace"))[2], WORDS), fraction)
+    """Sorted distinct kept hashes of a whole text; none where no shingle's hash is below the threshold."""
+    return _kept(all_hashes(text), fraction)
+
+
+def all_hashes(text: str) -> np.ndarray:
+    """The hashes of a whole text's shingles."""
+    return shingles(word_hashes(text.encode("utf-8", "replace"))[2], WORDS)
 
 
 def _kept(hashes: np.ndarray, fraction: float) -> np.ndarray:
-    if not len(hashes):
-        return NONE
-    low = hashes[hashes < np.uint64(int(fraction * float(1 << 53)) << 11)] if fraction < 1 else hashes
-    return np.unique(low) if len(low) else hashes.min(keepdims=True)
+    return np.unique(hashes[hashes < np.uint64(int(fraction * float(1 << 53)) << 11)] if fraction < 1 else hashes)
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Of two texts, each with the hashes of its shingles and its sketch: containment by the sketches, or, where one has kept nothing, by all shingles."""
+    if len(a[1]) and len(b[1]):
+        return containment(a[1], b[1])
+    return containment(np.unique(a[0]), np.unique(b[0]))
 
 
 def to_string(kept: np.ndarray) -> str:
@@ -115,15 +122,19 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        held = None  # the last row whose next one has not been seen: id, text, sketch
+        held = None  # the last row whose next one has not been seen: id, text, hashes and sketch
         done = False
 
         def row(own: tuple, after: tuple) -> tuple:
             id_, text, kept = own
             quarter = len(text) // 4
             edited = text[: len(text) - quarter] + after[1][:quarter]
-            other = sketch(edited, fraction) if edited != text else kept
-            return id_, len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), to_string(kept), to_string(other), containment(kept, other), containment(kept, after[2])
+            other = both(edited) if edited != text else kept
+            return id_, len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), to_string(kept[1]), to_string(other[1]), likeness(kept, other), likeness(kept, after[2])
+
+        def both(text: str) -> tuple[np.ndarray, np.ndarray]:
+            hashes = all_hashes(text)
+            return hashes, _kept(hashes, fraction)
 
         for batch in pieces(batches, "text"):
             rows = []
@@ -131,7 +142,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 if done:
                     break
                 text = text or ""
-                now = (id_, text, sketch(text, fraction))
+                now = (id_, text, both(text))
                 if held is not None:
                     rows.append(row(held, now))
                 held, done = now, head

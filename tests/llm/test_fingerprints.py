@@ -18,10 +18,19 @@ def plain(rows):
         q = len(t) // 4
         edited = t[: len(t) - q] + after[:q]
         a, b, c = fp.sketch(t), fp.sketch(edited), fp.sketch(after)
-        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), fp.to_string(a), fp.to_string(b), fp.containment(a, b), fp.containment(a, c)))
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), fp.to_string(a), fp.to_string(b), like(t, edited), like(t, after)))
     return out
 
 
+def like(a, b):
+    """Containment of the kept hashes, or of all shingles where a text keeps none; texts without words are like each other only."""
+    sets = [{*fp.sketch(t).tolist()} for t in (a, b)]
+    if not all(sets):
+        sets = [{*fp.all_hashes(t).tolist()} for t in (a, b)]
+    least = min(map(len, sets))
+    return len(sets[0] & sets[1]) / least if least else float(sets[0] == sets[1])
+
+
 def same(got, want):
     key = lambda r: (r[0] is not None, r[0] or 0, r[2])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
@@ -63,7 +72,7 @@ def plain_sketch(text, fraction):
     """The least hash of every shingle in order, from single words' hashes."""
     words = text.split()
     all_ = {int(fp.shingles(fp.word_hashes(" ".join(words[k : k + 5]).encode())[2], 5)[0]) for k in range(max(1, len(words) - 4))} if words else set()
-    return sorted(h for h in all_ if h < fraction * 2**64) or sorted(all_)[:1]
+    return sorted(h for h in all_ if h < fraction * 2**64)
 
 
 @pytest.mark.parametrize("text", ["", "one", "one two", "a b c d e", "a b c d e f g h i j k l m n", "x " * 50])
@@ -71,6 +80,15 @@ def test_sketch_of_single_shingles(text):
     assert fp.sketch(text).tolist() == plain_sketch(text, fp.FRACTION)
 
 
+def test_a_short_text_inside_a_long_one(spark):
+    long = " ".join(f"w{i}" for i in range(3000))
+    shorts = [" ".join(f"w{i}" for i in range(k, k + 5)) for k in range(100, 140)]
+    assert any(not len(fp.sketch(s)) for s in shorts)
+    rows = [x for k, s in enumerate(shorts) for x in ((2 * k, s), (2 * k + 1, long))]
+    got = fp.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id % 2 = 0").collect()
+    assert len(got) == len(shorts) and all(r["near_next"] == 1.0 for r in got)
+
+
 def test_merging_is_the_sketch_of_both():
     rng = np.random.default_rng(2)
     texts = [" ".join(f"w{i}" for i in rng.integers(0, 10**6, n)) for n in (1, 2, 3, 5, 6, 7, 9, 12, 200)]
