@@ -56,6 +56,13 @@ GROUPS = frozenset("div section ul ol dl table tbody tr td li form fieldset figu
 HEAD_MARKS = frozenset("header masthead topbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NEVER_MARKED = frozenset("html body main".split())
+#: Words that stand beside those of GROUP_MARKS in the name of a box; beside others (social-policy, tag-notices) they are about the content.
+BESIDE = frozenset(
+    "area bar block body box button buttons container content entry form group head heading header icon icons inner item items left link links list main more nav outer panel post posts article articles page "
+    "right row section side site story stories title top bottom widget wrap wrapper first last large small mobile desktop inline this us thread count feed".split()
+)
+#: What the ratios of lines in a marked element are multiplied with.
+LOWERED = 0.1
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Opening the first closes an open second.
 CLOSES = {
@@ -72,14 +79,14 @@ SCOPE = frozenset("ul ol dl table tbody thead tfoot select body html article mai
 
 
 class Line:
-    """A block's pieces of text, its tags, characters in links, whether it is dropped, and the container it stands in (-1: none)."""
+    """A block's pieces of text, its tags, characters in links, whether it is dropped, the container and the marked element it stands in (-1: none)."""
 
-    __slots__ = ("words", "tags", "linked", "dropped", "within", "heading", "text")
+    __slots__ = ("words", "tags", "linked", "dropped", "within", "mark", "heading", "text")
 
-    def __init__(self, dropped: bool, within: int, heading: bool):
+    def __init__(self, dropped: bool, within: int, mark: int, heading: bool):
         self.words: list[str] = []
         self.tags = self.linked = 0
-        self.dropped, self.within, self.heading, self.text = dropped, within, heading, ""
+        self.dropped, self.within, self.mark, self.heading, self.text = dropped, within, mark, heading, ""
 
 
 class Lines(HTMLParser):
@@ -88,18 +95,19 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, dropped, mutes its line, innermost container
+        self.stack: list[tuple[str, bool, bool, int, int]] = []  # tag, dropped, mutes its line, innermost container, outermost marked element
+        self.doubtful: list[bool] = []  # of each marked element, whether it may be the article all the same
         self.open: Counter[str] = Counter()
         self.kinds: list[str] = []
         self.around: list[int] = []
         self.muted = 0
-        self.line = Line(False, -1, False)
+        self.line = Line(False, -1, -1, False)
 
     def _break(self) -> None:
         if self.line.words:
             self.lines.append(self.line)
-        top = self.stack[-1] if self.stack else ("", False, False, -1)
-        self.line = Line(top[1], top[3], any(self.open[h] for h in HEADINGS))
+        top = self.stack[-1] if self.stack else ("", False, False, -1, -1)
+        self.line = Line(top[1], top[3], top[4], any(self.open[h] for h in HEADINGS))
 
     def _furniture(self, tag: str, attrs: list) -> bool:
         if tag in HIDDEN or tag in FURNITURE:
@@ -108,16 +116,23 @@ class Lines(HTMLParser):
         if tag == "header" and not inside:
             return True
         for k, v in attrs:
-            if k in ("class", "id") and v and tag not in NEVER_MARKED:
-                words = {p.lower() for p in _PARTS.findall(v)}
-                if words & MARKS or tag in GROUPS and words & GROUP_MARKS or not inside and words & HEAD_MARKS:
-                    return True
             if k == "role" and v and v.lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true":
                 return True
             if k == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
                 return True
         return False
 
+    def _marked(self, tag: str, attrs: list) -> str:
+        """What a name among the classes or the id says of page furniture: "always", "group" or nothing."""
+        inside = self.open["article"] + self.open["main"] > 0
+        for name in " ".join(v for k, v in attrs if k in ("class", "id") and v and tag not in NEVER_MARKED).split():
+            words = {p.lower() for p in _PARTS.findall(name)}
+            if words & MARKS or not inside and words & HEAD_MARKS:
+                return "always"
+            if tag in GROUPS and words & GROUP_MARKS and words <= GROUP_MARKS | BESIDE | HEAD_MARKS:
+                return "group"
+        return ""
+
     def _pop(self, at: int) -> None:
         gone = self.stack[at:]
         blocks = any(x[0] in BLOCK for x in gone)
@@ -152,14 +167,21 @@ class Lines(HTMLParser):
             self._close_open(CLOSES[tag], SCOPE)
         if tag == "body":
             self._close_open(frozenset(["head"]), frozenset())
-        inherited, within = (self.stack[-1][1], self.stack[-1][3]) if self.stack else (False, -1)
+        inherited, within, mark = (self.stack[-1][1], self.stack[-1][3], self.stack[-1][4]) if self.stack else (False, -1, -1)
         dropped = inherited or self._furniture(tag, attrs)
+        told = self._marked(tag, attrs) if mark < 0 and not dropped else ""
+        if told:
+            if tag in BLOCK:
+                mark = len(self.doubtful)
+                self.doubtful.append(tag == "article" and told == "group")
+            else:  # part of a line, which has one ratio
+                dropped = True
         mutes = dropped and not inherited and tag not in BLOCK
         if tag in CONTAINER:
             self.around.append(within)
             within = len(self.kinds)
             self.kinds.append(tag)
-        self.stack.append((tag, dropped, mutes, within))
+        self.stack.append((tag, dropped, mutes, within, mark))
         self.open[tag] += 1
         self.muted += mutes
         if tag in BLOCK:
@@ -251,11 +273,16 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     plain = np.array([0 if x.dropped else len(x.text) - x.linked for x in lines], dtype=float)
     if not plain.any():
         plain = size
-    ratio = smoothed(plain / np.array([max(1, x.tags) for x in lines]), sigma)
+    # A box's name on the article that has most of the text marks nothing.
+    held = np.bincount([x.mark + 1 for x in lines], weights=plain)
+    marked_lines = np.array([x.mark >= 0 and not (parser.doubtful[x.mark] and held[x.mark + 1] >= 0.5 * plain.sum()) for x in lines])
+    lowered = np.where(marked_lines, LOWERED, 1.0)
+    # Lowered before, so that marked lines do not lift those beside them, and after, so that those do not lift them.
+    ratio = smoothed(lowered * plain / np.array([max(1, x.tags) for x in lines]), sigma) * lowered
     # Lines of at least half the mean smoothed ratio of lines that may be content form the clusters.
     high = (ratio >= 0.5 * ratio[plain > 0].mean()) & (plain > 0)
     inside, marked = _region(parser, lines, np.where(high, size, 0.0))
-    kept = [k for k, x in enumerate(lines) if not x.dropped and inside[x.within]]
+    kept = [k for k, x in enumerate(lines) if not x.dropped and inside[x.within] and (high[k] or not marked_lines[k])]
     if not marked and any(high[k] for k in kept):
         first, last = (next(i for i in order if high[kept[i]]) for order in (range(len(kept)), range(len(kept) - 1, -1, -1)))
         while first and lines[kept[first - 1]].heading:

@@ -31,6 +31,11 @@ LONG = "A sentence of ordinary running text that goes on for a while, with comma
         (f"<article><div class='entry-header'><h1>My title</h1></div><p class='share-price'>{LONG}</p><blockquote class=related>quoted</blockquote></article>", f"My title\n{LONG.strip()}\nquoted"),
         (f"<article><p>{LONG}</p><div class='share-buttons'>Share this</div><div class=comments><article class=comment><p>{LONG}</p></article></div></article>", LONG.strip()),
         (f"<div><a href=1>One</a></div><div><a href=2>Two</a></div><div><h2>Head</h2><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div><div><p>Imprint</p></div><div>x</div><div>Terms</div>", f"Head\n{LONG.strip()}\n{LONG.strip()}\n{LONG.strip()}\nImprint"),
+        (f"<nav>Menu</nav><article class='post tag-social'><h1>Head</h1><p>{LONG}</p><p>Short.</p></article>", f"Head\n{LONG.strip()}\nShort."),
+        (f"<nav>Menu</nav><article class='post category-notices'><h1>Head</h1><p>{LONG}</p></article>", f"Head\n{LONG.strip()}"),
+        (f"<article class='notice'><h1>Head</h1><p>{LONG}</p><div class='notice'>x</div></article><div class='notice'>Mind the step</div>", f"Head\n{LONG.strip()}\nx"),
+        (f"<article><p>{LONG}</p><div class='social-policy'><p>On policy.</p></div><section id='comment-on-the-law'><p>On law.</p></section><div class='related-work'>Others.</div></article>", f"{LONG.strip()}\nOn policy.\nOn law.\nOthers."),
+        (f"<article><p>{LONG}</p><div class='social-links'>Follow</div><div class='comment-list'><p>{LONG[:200]}</p></div><p>End.</p><div class='related-posts'><p>More</p></div></article>", f"{LONG.strip()}\nEnd."),
         (f"<p>before</p></div></section><p>{LONG}</p></i>", f"before\n{LONG.strip()}"),
     ],
 )
