@@ -94,9 +94,11 @@ def write_archives(rows: DataFrame, folder: str, id_col: str = "page_id", url_co
     pages = pages.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "digest": F.unhex(F.sha1("payload"))})
     groups = pages.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("first")).where("n > 1 AND first IS NOT NULL")
     sent = materialize(groups, "repeated-payloads")
-    # The sample: the rows of least hash, so that the dictionary, too, is the same in another run. A row is cut before it moves.
-    ids = pages.select(F.substring("payload", 1, SAMPLE_BYTES).alias("start"), F.xxhash64("id", "digest").alias("h")).where(F.length("start") > 0).orderBy("h").limit(SAMPLE_ROWS)
-    dictionary = train([bytes(r["start"]) for r in ids.collect()])
+    # The sample: the rows of least hash, so that the dictionary, too, is the same in another run. Hashes are ordered without payloads, of which the drawn ones alone are read, cut short.
+    h = F.xxhash64("id", "url")
+    last = pages.select(h.alias("h")).orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    drawn = pages.where(h <= F.lit(last)).select(F.substring("payload", 1, SAMPLE_BYTES).alias("start"), h.alias("h")).orderBy("h", "start").limit(SAMPLE_ROWS)
+    dictionary = train([bytes(r["start"]) for r in drawn.collect() if r["start"]])
     n_groups, n_rows = sent.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if n_groups <= SENT:
         met = pages.join(F.broadcast(sent.select("digest", "first")), "digest", "left")
