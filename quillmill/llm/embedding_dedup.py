@@ -149,7 +149,7 @@ def _told(vectors: DataFrame, id_col: str, vector_col: str, cosine: float) -> tu
     kind = vectors.schema[vector_col].dataType.elementType.simpleString()
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), F.coalesce(good, F.lit(False)).alias("good"))
-    rows = rows.withColumns({"ha": F.when(F.col("good"), F.xxhash64("v")), "hb": F.when(F.col("good"), F.xxhash64("v", F.lit("second")))})
+    rows = rows.withColumns({"ha": F.when(F.col("good"), F.xxhash64("v")), "hb": F.when(F.col("good"), F.xxhash64(F.lit("second"), "v"))})
     # One row for each different vector; its number is fixed by writing it.
     classes = rows.where("good").groupBy("ha", "hb").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")

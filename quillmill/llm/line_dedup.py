@@ -29,7 +29,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, text_hash, spans): for each document with later occurrences, the line spans (first, last) to take out."""
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), _lines(F.col(text_col)).alias("lines")).where(F.col("lines").isNotNull())
     solid = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("t"))), lambda s: s["t"] != "")
-    hashed = F.transform(solid, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["t"]).alias("a"), F.xxhash64(s["t"], F.lit("second")).alias("b")))
+    hashed = F.transform(solid, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["t"]).alias("a"), F.xxhash64(F.lit("second"), s["t"]).alias("b")))
     slim = slim.select("id", "th", hashed.alias("ls")).where(F.size("ls") >= WINDOW)
     shifted = [F.slice("ls", F.lit(1 + k), F.size("ls") - (WINDOW - 1)) for k in range(WINDOW)]
     zipped = F.arrays_zip(*[s.alias(f"l{k}") for k, s in enumerate(shifted)])

@@ -211,7 +211,7 @@ def _compare(placed: DataFrame, held: DataFrame, similarity: float) -> DataFrame
 
 def _with_identity(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("ta"), F.xxhash64(text, F.lit("second")).alias("tb"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("ta"), F.xxhash64(F.lit("second"), text).alias("tb"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -265,7 +265,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     found, own = groups(docs, id_col, text_col, similarity), private_prefix(docs.columns, "__nd_")
     gone = found.select(F.col("ta").alias(f"{own}ta"), F.col("tb").alias(f"{own}tb"), F.col("component_id").alias(f"{own}least"))
     text = F.col(text_col)
-    same = (F.xxhash64(text) == F.col(f"{own}ta")) & (F.xxhash64(text, F.lit("second")) == F.col(f"{own}tb"))
+    same = (F.xxhash64(text) == F.col(f"{own}ta")) & (F.xxhash64(F.lit("second"), text) == F.col(f"{own}tb"))
     joined_ = docs.join(gone, same, "left")
     stays = F.col(f"{own}ta").isNull() | F.col(id_col).cast("long").eqNullSafe(F.col(f"{own}least"))
     return joined_.where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])

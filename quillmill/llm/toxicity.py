@@ -438,7 +438,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents predicted toxic, which are told by two hashes of their texts."""
     own = private_prefix(docs.columns, "__tx_")
-    hashes = [F.xxhash64(F.col(text_col)), F.xxhash64(F.col(text_col), F.lit("second"))]
+    hashes = [F.xxhash64(F.col(text_col)), F.xxhash64(F.lit("second"), F.col(text_col))]
     out = _scored(docs, labels, id_col, text_col, label_col, [h.alias(c) for h, c in zip(hashes, (f"{own}a", f"{own}b"))])
     toxic = materialize(out.where(F.col("score") >= threshold).select(f"{own}a", f"{own}b").distinct(), "toxic-texts")
     if toxic.count() <= LABELS_SENT:

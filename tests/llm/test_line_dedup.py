@@ -46,3 +46,15 @@ def test_clashing_names(spark):
 def test_no_python_in_the_plan(spark):
     plan = ld.line_dedup(spark.read.parquet(f"{DIR}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_second_hashes_do_not_follow_the_first(spark):
+    """xxhash64 goes on from the hash before, so what tells the two apart has to stand first: equal first hashes then say nothing of the second."""
+    import pathlib
+    import re
+
+    made = spark.sql("SELECT xxhash64(a) AS x, xxhash64(a, 'second') AS y, xxhash64('second', a) AS z FROM VALUES ('a'), ('b') AS t(a)").collect()
+    chained = spark.range(1).selectExpr(*[f"xxhash64(cast({r['x']} AS bigint)) AS h{k}" for k, r in enumerate(made)]).first()
+    assert len({r["z"] for r in made}) == 2 and len({*chained}) == 2
+    for path in pathlib.Path(ld.__file__).parent.glob("*.py"):
+        assert not re.search(r"xxhash64\([^()]*(\([^()]*\))?[^()]*,\s*F\.lit\(\"second\"\)\)", path.read_text()), path
