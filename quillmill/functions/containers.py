@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.extract import extract_text
@@ -143,13 +143,26 @@ def archive_text(members: DataFrame) -> DataFrame:
     return grouped.select("path", F.array_join("pieces.piece", "\n---\n").alias("text"))
 
 
+def _opened_text(path: pd.Series, content: pd.Series) -> pd.Series:
+    """The text of a zipped file; null where there is no content."""
+
+    def one(p: str, c: bytes | None) -> str | None:
+        if c is None:
+            return None
+        ext = p.rpartition(".")[2].lower()
+        return "\n---\n".join(f"[{name}]\n{text}" for name, text in archive_members(c)) if ext == "zip" else zipped_xml_text(ext, c)
+
+    return pd.Series([one(p, c) for p, c in zip(path, content)], dtype="object")
+
+
+def file_text(path: Column, content: Column) -> Column:
+    """The text of a file of any known kind, from its bytes: zipped XML and archives are opened, everything else is read as UTF-8
+    text and routed by its extension; '' for an unknown kind or unreadable bytes. Bytes of zipped files alone leave the JVM."""
+    zipped = F.lower(F.substring_index(path, ".", -1)).isin(*FAMILIES, "epub", "zip")
+    opened = F.pandas_udf(_opened_text, "string")(F.when(zipped, path), F.when(zipped, content))
+    return F.when(zipped, F.coalesce(opened, F.lit(""))).otherwise(extract_text(path, F.decode(content, "UTF-8")))
+
+
 def extract_files(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """(path, text) of files of any known kind, from their bytes: zipped XML and archives are opened, everything else is read as UTF-8
-    text and routed by its extension; '' for an unknown kind or unreadable bytes."""
-    slim = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
-    ext = F.lower(F.substring_index("path", ".", -1))
-    xml, archives = ext.isin(*FAMILIES, "epub"), ext == "zip"
-    opened = archive_text(expand_zip(slim))
-    opened = slim.where(archives).select("path").join(opened, "path", "left").select("path", F.coalesce("text", F.lit("")).alias("text"))
-    plain = slim.where(~xml & ~archives).select("path", extract_text(F.col("path"), F.decode(F.col("content"), "UTF-8")).alias("text"))
-    return plain.unionByName(zip_xml_to_text(slim)).unionByName(opened)
+    """(path, text) of files, in one pass over them."""
+    return files.select(F.col(path_col).alias("path"), file_text(F.col(path_col), F.col(content_col)).alias("text"))

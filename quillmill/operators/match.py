@@ -1,6 +1,6 @@
 """Which files match which queries: many queries at once, against the postings.
 
-A query's expressions are rows (query_id, nr, term, kind), kind being 'prefix' or 'exact'. Every operator gives
+A query's expressions are rows (query_id, nr, p, n, term, kind), one for each token, kind being 'prefix' or 'exact'. Every operator gives
 (query_id, doc_id) rows without repeats. Postings are only joined with the terms that the queries name.
 """
 
@@ -10,54 +10,93 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.operators.fuzzy import fuzzy_expand_terms
-from quillmill.operators.index import stem_terms, tokenize
+from quillmill.operators.index import FIELDS, stem_terms, tokenize
+from quillmill.sources.written import written
+
+#: A quoted phrase, or what stands between spaces.
+WORD = r'"[^"]+"\*?|\S+'
+#: An even number of quotes follows: what stands before is not inside of quotes.
+_OUTSIDE = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def query_terms(queries: DataFrame, query_col: str = "query", stems: bool = False) -> DataFrame:
-    """(query_id, nr, term, kind) of space-separated words: a bare word is a prefix, a starred one exact; AND is left out.
+    """(query_id, nr, p, n, term, kind) of the words of queries: a bare word is a prefix, a starred or quoted one exact; AND and OR are left out.
 
-    A word of several tokens (foo-bar) gives each of its tokens, all but the last exact; see ``match_phrase`` for their order.
-    For an index of stems, give ``stems``: a word then stands for its stem.
+    A word of several tokens (foo-bar) and a quoted phrase are one expression of n tokens in a row, p being the place of each; of a bare word's only the last is a prefix.
+    A quoted word is never an operator. For an index of stems, give ``stems``: a word then stands for its stem.
     """
-    words = F.filter(F.split(F.trim(query_col), r"\s+"), lambda w: (w != "") & (F.upper(w) != "AND"))
-    rows = queries.select("query_id", F.posexplode(words).alias("w", "word"))
-    rows = rows.select("query_id", "w", F.endswith("word", F.lit("*")).alias("star"), F.posexplode(tokenize(F.col("word"))).alias("k", "term"), F.size(tokenize(F.col("word"))).alias("n"))
-    kind = F.when(F.col("star") | (F.col("k") < F.col("n") - 1), "exact").otherwise("prefix")
-    terms = rows.select("query_id", (F.col("w") * 1000 + F.col("k")).alias("nr"), "term", kind.alias("kind"))
-    return terms.join(stem_terms(terms), "term").select("query_id", "nr", F.col("stem").alias("term"), "kind") if stems else terms
+    words = F.filter(F.regexp_extract_all(F.trim(query_col), F.lit(WORD), F.lit(0)), lambda w: ~F.upper(w).isin("AND", "OR"))
+    rows = queries.select("query_id", F.posexplode(words).alias("nr", "word"))
+    fixed = F.endswith("word", F.lit("*")) | F.startswith("word", F.lit('"'))
+    rows = rows.select("query_id", F.col("nr").cast("long").alias("nr"), fixed.alias("fixed"), tokenize(F.col("word")).alias("ts"))
+    rows = rows.select("query_id", "nr", "fixed", F.size("ts").alias("n"), F.posexplode("ts").alias("p", "term"))
+    terms = rows.select("query_id", "nr", "p", "n", "term", F.when(F.col("fixed") | (F.col("p") < F.col("n") - 1), "exact").otherwise("prefix").alias("kind"))
+    return terms.join(stem_terms(terms), "term").select("query_id", "nr", "p", "n", F.col("stem").alias("term"), "kind") if stems else terms
 
 
 def expand_terms(terms: DataFrame, vocabulary: DataFrame, typos: int = 0) -> DataFrame:
-    """(query_id, nr, term): each expression with every term of the vocabulary that it stands for, and with ``typos`` those within so many edits.
+    """(query_id, nr, p, n, term): each token of an expression with every term of the vocabulary that it stands for, and with ``typos`` those within so many edits.
 
     vocabulary: the index's (a term once), or postings. Prefixes are matched with the vocabulary, not the postings; they are joined on their first two characters, so that
     the comparison is an equi-join whatever the number of queries.
     """
-    exact = terms.where("kind = 'exact'").select("query_id", "nr", "term")
-    heads = terms.where("kind = 'prefix'").select("query_id", "nr", F.col("term").alias("p"))
+    key = ["query_id", "nr", "p", "n"]
+    exact = terms.where("kind = 'exact'").select(*key, "term")
+    heads = terms.where("kind = 'prefix'").select(*key, F.col("term").alias("head"))
     words = vocabulary.select("term").distinct() if "doc_id" in vocabulary.columns else vocabulary.select("term")
     two = lambda c: F.substring(c, 1, 2)
-    long = heads.where(F.length("p") >= 2).join(words, two(F.col("p")) == two(F.col("term"))).where(F.startswith("term", F.col("p")))
-    short = heads.where(F.length("p") == 1).join(words, F.col("p") == F.substring("term", 1, 1))
-    out = exact.unionByName(long.select("query_id", "nr", "term")).unionByName(short.select("query_id", "nr", "term"))
+    long = heads.where(F.length("head") >= 2).join(words, two(F.col("head")) == two(F.col("term"))).where(F.startswith("term", F.col("head")))
+    short = heads.where(F.length("head") == 1).join(words, F.col("head") == F.substring("term", 1, 1))
+    out = exact.unionByName(long.select(*key, "term")).unionByName(short.select(*key, "term"))
     if typos:
         near = fuzzy_expand_terms(terms, words, typos).withColumnRenamed("term", "near")
-        out = out.unionByName(terms.join(near, F.col("term") == F.col("wanted")).select("query_id", "nr", F.col("near").alias("term")))
+        out = out.unionByName(terms.join(near, F.col("term") == F.col("wanted")).select(*key, F.col("near").alias("term")))
     return out.distinct()
 
 
-def term_hits(expanded: DataFrame, postings: DataFrame) -> DataFrame:
+def _in_a_row(found: Column, n: Column) -> Column:
+    """How often the n tokens of an expression stand in a row in a field. found: an array of (field, p, positions).
+
+    A token at place p of the expression, found at place q, votes for a start at q - p; a start that every token votes for counts. The places of
+    one token's terms are joined, as a prefix stands for several terms.
+    """
+
+    def starts(field: str, p: Column) -> Column:
+        own = F.filter(found, lambda x: (x["field"] == field) & (x["p"] == p))
+        return F.array_distinct(F.flatten(F.transform(own, lambda x: F.transform(x["positions"], lambda q: q - p))))
+
+    def times(field: str) -> Column:
+        return F.size(F.aggregate(F.sequence(F.lit(1), n - 1), starts(field, F.lit(0)), lambda so_far, p: F.array_intersect(so_far, starts(field, p))))
+
+    return sum((times(f) for f in FIELDS[1:]), times(FIELDS[0]))
+
+
+def term_hits(expanded: DataFrame, postings: DataFrame, phrases: bool = True, gone: DataFrame | None = None) -> DataFrame:
     """(query_id, nr, doc_id, f): how often a file holds each expression, over all terms it stands for: the one join with the postings
-    that matching and ranking share."""
-    joined = expanded.join(postings.select("term", "doc_id", "tf"), "term")
-    return joined.groupBy("query_id", "nr", "doc_id").agg(F.sum("tf").cast("double").alias("f"))
+    that matching and ranking share. An expression of several tokens counts where they stand in a row in one field.
+
+    ``phrases`` false: no expression has several tokens, and positions are not read. A file's row of a phrase gathers what it has of the phrase's own tokens.
+    gone: (doc_id, gone), for postings of several segments: those of a file in segments below its ``gone`` do not count.
+    """
+    key = ["query_id", "nr", "doc_id"]
+    columns = ["term", "doc_id", "tf", *(["field", "positions"] if phrases else []), *(["segment"] if gone is not None else [])]
+    joined = expanded.join(postings.select(*columns), "term")
+    if gone is not None:
+        joined = joined.join(gone, (joined["doc_id"] == gone["doc_id"]) & (joined["segment"] < gone["gone"]), "left_anti")
+    if not phrases:
+        return joined.groupBy(*key).agg(F.sum("tf").cast("double").alias("f"))
+    many = F.col("n") > 1
+    held = joined.groupBy(*key, "n").agg(F.sum(F.when(~many, F.col("tf"))).alias("one"), F.collect_list(F.when(many, F.struct("field", "p", "positions"))).alias("found"))
+    # Without every token of the phrase there is nothing to intersect.
+    whole = F.when(F.size(F.array_distinct(F.transform("found", lambda x: x["p"]))) == F.col("n"), _in_a_row(F.col("found"), F.col("n")))
+    return held.select(*key, F.when(many, whole).otherwise(F.col("one")).cast("double").alias("f")).where("f > 0")
 
 
 def _hits(terms: DataFrame, postings: DataFrame, field: str | None) -> DataFrame:
     """(query_id, nr, doc_id) without repeats."""
     if field:
         postings = postings.where(F.col("field") == field)
-    return expand_terms(terms, postings).join(postings.select("term", "doc_id"), "term").select("query_id", "nr", "doc_id").distinct()
+    return term_hits(expand_terms(terms, postings), postings).select("query_id", "nr", "doc_id")
 
 
 def match_all(terms: DataFrame, postings: DataFrame, field: str | None = None) -> DataFrame:
@@ -100,18 +139,42 @@ def match_phrase(phrases: DataFrame, postings: DataFrame, phrase_col: str = "phr
     return votes.groupBy("query_id", "doc_id", "field", "start", "n").agg(F.count(F.lit(1)).alias("k")).where("k = n").select("query_id", "doc_id").distinct()
 
 
-def match_document(documents: DataFrame, postings: DataFrame, text_col: str = "text") -> DataFrame:
-    """A whole text as query: the files that hold all of its different words (relational division on terms)."""
+def document_words(documents: DataFrame, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
+    """(query_id, term, n_docs, wanted): the different words of whole texts, of those whose words are all in the vocabulary: the others match nothing."""
     words = documents.select("query_id", F.explode(F.array_distinct(tokenize(F.col(text_col)))).alias("term"))
     wanted = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
-    hits = words.join(postings.select("term", "doc_id").distinct(), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return hits.join(wanted, "query_id").where("n = wanted").select("query_id", "doc_id")
+    met = words.join(vocabulary.select("term", "n_docs").where("n_docs > 0"), "term")
+    known = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("known")).join(wanted, "query_id").where("known = wanted").select("query_id", "wanted")
+    return met.join(known, "query_id")
+
+
+#: Candidates of document queries whose ids are sent to the postings; more are joined.
+SENT = 1_000_000
+
+
+def match_document(words: DataFrame, postings: DataFrame) -> DataFrame:
+    """A whole text as query: (query_id, doc_id) of the files that hold all of its different words.
+
+    Relational division, the rarest word first: its files are the candidates, and the other words' postings are read for candidates alone, before anything is
+    shuffled. So what is shuffled is bound by the postings of each text's rarest word and its candidates' own words, not by the postings of all words.
+    words: as ``document_words`` gives them.
+    """
+    rarest = words.groupBy("query_id").agg(F.min(F.struct("n_docs", "term")).alias("r")).select("query_id", F.col("r.term").alias("term"))
+    candidates = written(rarest.join(postings.select("term", "doc_id"), "term").select("query_id", "doc_id").distinct(), "candidates")
+    ids = candidates.select("doc_id").distinct()
+    held = postings.select("term", "doc_id").join(F.broadcast(ids) if candidates.count() <= SENT else ids, "doc_id", "left_semi").distinct()
+    hits = words.join(held, "term").join(candidates, ["query_id", "doc_id"], "left_semi")
+    return hits.groupBy("query_id", "doc_id", "wanted").agg(F.count(F.lit(1)).alias("n")).where("n = wanted").select("query_id", "doc_id")
 
 
 def split_operators(queries: DataFrame, query_col: str = "query") -> DataFrame:
-    """wanted, excluded and any: the words of a query by the operators AND, OR and NOT before them."""
+    """wanted, excluded and any: the words and quoted phrases of a query by the operators AND, OR and NOT before them. Operators inside of quotes are words;
+    a quote without its like is none."""
     q = F.trim(F.col(query_col))
-    excluded = F.transform(F.regexp_extract_all(q, F.lit(r"(?i)(?:^|\s)NOT\s+(\S+)"), 1), lambda w: w)
-    rest = F.regexp_replace(q, r"(?i)(?:^|\s)NOT\s+\S+", " ")
-    is_any: Column = F.regexp_like(rest, F.lit(r"(?i)\sOR\s"))
-    return queries.withColumns({"wanted": F.trim(F.regexp_replace(rest, r"(?i)\s(OR|AND)(?=\s)", " ")), "excluded": F.array_join(excluded, " "), "is_any": is_any})
+    odd = F.length(F.regexp_replace(q, '[^"]', "")) % 2 == 1
+    q = F.when(odd, F.trim(F.regexp_replace(q, '"([^"]*)$', " $1"))).otherwise(q)
+    not_ = rf'(?i)(?:^|\s)NOT\s+("[^"]+"\*?|[^\s"]+){_OUTSIDE}'
+    excluded = F.regexp_extract_all(q, F.lit(not_), F.lit(1))
+    rest = F.regexp_replace(q, not_, " ")
+    is_any: Column = F.regexp_like(rest, F.lit(rf"(?i)\sOR\s{_OUTSIDE}"))
+    return queries.withColumns({"wanted": F.trim(F.regexp_replace(rest, rf"(?i)\s(OR|AND)(?=\s){_OUTSIDE}", " ")), "excluded": F.array_join(excluded, " "), "is_any": is_any})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quillmill.operators.match import expand_terms
+from quillmill.operators.match import expand_terms, term_hits
 
 K1, B = 1.2, 0.75
 TOP = 200
@@ -18,8 +18,7 @@ def bm25_rank(matched: DataFrame, terms: DataFrame, postings: DataFrame, stats:
     An expression's frequency in a file is over all fields and all terms it stands for; its document frequency counts
     every file once. The inverse frequency is at least 1e-6.
     """
-    hits = expand_terms(terms, postings).join(postings.select("term", "doc_id", "tf"), "term")
-    tf = hits.groupBy("query_id", "nr", "doc_id").agg(F.sum("tf").cast("double").alias("f"))
+    tf = term_hits(expand_terms(terms, postings), postings)
     df = tf.groupBy("query_id", "nr").agg(F.count(F.lit(1)).cast("double").alias("n"))
     whole = stats.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg("n_tokens").alias("mean"))  # one row
     scored = tf.join(matched, ["query_id", "doc_id"]).join(df, ["query_id", "nr"]).join(stats, "doc_id").crossJoin(F.broadcast(whole))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from quillmill.operators import filters, fuzzy, index, joins, maintain, match, r
 from quillmill.plans import scan
 from quillmill.plans import search as plans
 from quillmill.plans import tables as t
-from quillmill.sources import writers
+from quillmill.plans.live_index import LiveIndex
+from quillmill.sources import readers, writers
 from quillmill.streaming import changes as ch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,12 +286,13 @@ def t11_match_field(spark, d):
     return match.match_field(match.query_terms(q), _index(spark, d).postings, "name")
 
 
-_BM25 = """tf AS (SELECT q.query_id, q.nr, k.doc_id, count(*)::DOUBLE AS f FROM terms q JOIN tokens k ON starts_with(k.term, q.term) GROUP BY ALL),
-df AS (SELECT query_id, nr, count(*)::DOUBLE AS n FROM tf GROUP BY ALL), len AS (SELECT doc_id, count(*) AS dl FROM tokens GROUP BY ALL),
+_TF = "tf AS (SELECT q.query_id, q.nr, k.doc_id, count(*)::DOUBLE AS f FROM terms q JOIN tokens k ON starts_with(k.term, q.term) GROUP BY ALL)"
+_RANKED = """df AS (SELECT query_id, nr, count(*)::DOUBLE AS n FROM tf GROUP BY ALL), len AS (SELECT doc_id, count(*) AS dl FROM tokens GROUP BY ALL),
 whole AS (SELECT (SELECT count(*) FROM files)::DOUBLE AS docs, (SELECT count(*) FROM tokens)::DOUBLE / (SELECT count(*) FROM files) AS mean),
 matched AS (SELECT h.query_id, h.doc_id FROM tf h JOIN (SELECT query_id, count(DISTINCT nr) AS wanted FROM terms GROUP BY 1) USING (query_id) GROUP BY h.query_id, h.doc_id, wanted HAVING count(*) = wanted),
 ranked AS (SELECT query_id, doc_id, -sum((CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - n + 0.5) / (n + 0.5)) END)
   * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean))) AS rank FROM tf JOIN matched USING (query_id, doc_id) JOIN df USING (query_id, nr) JOIN len USING (doc_id), whole GROUP BY ALL)"""
+_BM25 = f"{_TF},\n{_RANKED}"
 
 
 @query(f"{_BASE}, {t.words_sql(2)}, {_TERMS}, {_BM25} SELECT query_id, doc_id, round(rank, 6) AS rank FROM ranked")
@@ -308,6 +311,37 @@ def t13_search(spark, d):
     return found.select("query_id", "id", "path", "name", "size", "file_type", F.round("rank", 6).alias("rank"), "match_type")
 
 
+_FOUND = f"{_SEARCH} SELECT query_id, id, round(rank, 6) AS rank FROM best WHERE nr <= 200"
+
+
+# Every third query a quoted phrase of two words, one of them joined by a hyphen, and a word without files in which the two words behind it stand in a row.
+@query(rf"""{_BASE}, {t.words_sql(3)}, asked AS (SELECT query_id, query_id % 3 AS kind, [strip_accents(lower(w)) for w in string_split(query, ' ')] AS w FROM queries WHERE query <> ''), terms AS (SELECT query_id, 0 AS nr FROM asked),
+pairs AS (SELECT a.doc_id, a.field, a.term AS one, b.term AS two FROM tokens a JOIN tokens b ON b.doc_id = a.doc_id AND b.field = a.field AND b.pos = a.pos + 1),
+tf AS (SELECT query_id, 0 AS nr, doc_id, count(*)::DOUBLE AS f FROM asked JOIN pairs ON one = w[1] AND CASE kind WHEN 0 THEN two = w[2] WHEN 1 THEN starts_with(two, w[2]) END GROUP BY ALL
+  UNION ALL SELECT query_id, 0, doc_id, count(*) FROM asked JOIN tokens ON kind = 2 AND starts_with(term, w[1]) GROUP BY ALL),
+{_RANKED}, worse AS (SELECT DISTINCT query_id, doc_id FROM asked JOIN pairs ON kind = 2 AND one = w[2] AND two = w[3]),
+best AS (SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS nr FROM ranked SEMI JOIN (SELECT id AS doc_id FROM files WHERE is_supported) USING (doc_id) ANTI JOIN worse USING (query_id, doc_id))
+SELECT query_id, doc_id AS id, round(rank, 6) AS rank FROM best WHERE nr <= 200""")
+def t13_search_with_phrases(spark, d):
+    w = F.split("query", " ")
+    at = lambda k: F.coalesce(F.get(w, k), F.lit(""))
+    asked = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit('"'), at(0), F.lit(" "), at(1), F.lit('"'))).when(F.col("query_id") % 3 == 1, F.concat(at(0), F.lit("-"), at(1)))
+    q = t.words(spark, d, 3).where("query <> ''").withColumn("query", asked.otherwise(F.concat(at(0), F.lit(' NOT "'), at(1), F.lit(" "), at(2), F.lit('"'))))
+    return plans.search(_index(spark, d), q).select("query_id", "id", F.round("rank", 6).alias("rank"))
+
+
+@query(_FOUND)
+def s6_live_index(spark, d):
+    """The index of two thirds of the files, some of them with other contents, after a batch that adds the rest and changes those: searches find what they find in the whole."""
+    f = t.files(spark, d)
+    old = F.col("id") % 5 == 0
+    base = f.where("id % 3 <> 0").withColumn("content", F.when(old, F.reverse("content")).otherwise(F.col("content")))
+    live = LiveIndex(spark, t.shared_folder(spark, "live"))
+    live.create(base, part_rows=20_000)
+    live.update(base.where(old), f.where((F.col("id") % 3 == 0) | old), 0)
+    return plans.search(live.read(f), t.words(spark, d, 2)).select("query_id", "id", F.round("rank", 6).alias("rank"))
+
+
 @query(rf"{_SEARCH} SELECT query_id, id, round(rank, 6) AS rank FROM best WHERE nr <= 200 AND query_id % 4 <> 3 AND (regexp_matches(path, '(?i)TH[aeo]n|d_\d*7') OR regexp_matches(content, '(?i)TH[aeo]n|d_\d*7'))")
 def p13_regex_search(spark, d):
     """/re/ words: the results of two words of each passage whose path or content matches; every fourth pattern cannot be read."""
@@ -804,6 +838,72 @@ def s10_export_quotes(spark, d):
     return writers.quote_entries(cards.withColumn("nr", F.row_number().over(W.partitionBy("id").orderBy("line", "k"))))
 
 
+# --- readers: documents written as files by source, and read back -------------------------------------------------
+
+
+def _by_source(spark, d, **options):
+    folder = t.shared_folder(spark, "files")
+    docs = t.table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("value"))
+    docs.write.options(**options).partitionBy("source").text(folder)
+    return folder
+
+
+def _source():
+    return F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")
+
+
+@query("SELECT source, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS n_bytes FROM documents GROUP BY source")
+def s1_read_files(spark, d):
+    return readers.read_files(spark, _by_source(spark, d)).where("path LIKE '%.txt'").groupBy(_source()).agg(F.sum("length").alias("n_bytes"))
+
+
+@query("SELECT source, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS n_bytes, 0::BIGINT AS n_later FROM documents GROUP BY source")
+def s2_read_modified_since(spark, d):
+    folder = _by_source(spark, d)
+    since = lambda year: readers.read_modified_since(spark, folder, dt.datetime(year, 1, 1)).where("path LIKE '%.txt'").select("path", "length", F.lit(year).alias("since"))
+    both = since(2000).unionByName(since(2200))
+    return both.groupBy(_source()).agg(F.sum(F.when(F.col("since") == 2000, F.col("length"))).alias("n_bytes"), F.count_if(F.col("since") == 2200).alias("n_later"))
+
+
+_LINES = "SELECT source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents"
+_READ = f"SELECT source, line, count(*) AS n FROM ({_LINES}) GROUP BY ALL"
+
+
+def _lines_of(files):
+    """The lines of files that each end with a line feed, counted."""
+    lines = F.split(F.regexp_replace("content", r"\n\z", ""), "\n", -1)
+    return files.select(_source(), F.explode(lines).alias("line")).groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_READ)
+def s3_read_text_files(spark, d):
+    return _lines_of(readers.read_text_files(spark, _by_source(spark, d)))
+
+
+@query(_READ)
+def x9_gunzip_text(spark, d):
+    return _lines_of(readers.read_text_files(spark, _by_source(spark, d, compression="gzip")))
+
+
+@query(f"WITH {t.CHANGES} SELECT event, path, old_path, volume, epoch_us(ts) // 1000 AS at, is_dir FROM changes")
+def s4_read_change_feed(spark, d):
+    c, folder = t.changes(spark, d), t.shared_folder(spark, "feed")
+    wire = c.select(F.lit("event").alias("type"), "event", "path", "volume", F.unix_millis("ts").alias("timestamp"), F.col("old_path").alias("oldPath"), F.col("is_dir").alias("isDirectory"))
+    wire.unionByName(wire.select(F.lit("status").alias("type")).limit(1), allowMissingColumns=True).write.json(folder)
+    return readers.read_change_feed(spark, folder, stream=False).select("event", "path", "old_path", "volume", F.unix_millis("ts").alias("at"), "is_dir")
+
+
+@query(f"WITH {t.FILES} SELECT id, path, size, CASE WHEN id % 3 = 0 THEN hash END AS hash, length(content) AS n FROM files")
+def s5_read_shards(spark, d):
+    """Three slices of the files, of which only the first has hashes."""
+    f, folders = t.files(spark, d), []
+    for k in range(3):
+        folders.append(t.shared_folder(spark, f"shard{k}"))
+        part = f.where(F.col("id") % 3 == k)
+        (part if k == 0 else part.drop("hash")).write.parquet(folders[-1])
+    return readers.read_shards(spark, folders).select("id", "path", "size", "hash", F.length("content").cast("long").alias("n"))
+
+
 # --- change feeds ------------------------------------------------------------------------------------------------
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from quillmill import schemas
 from quillmill.functions.paths import extension
 from quillmill.operators import filters, match, rank, results
-from quillmill.operators.index import build_postings, doc_stats, term_stats
-from quillmill.sources.writers import write_index
+from quillmill.operators.index import build_postings, doc_stats, term_stats, tokenize
+from quillmill.sources.writers import PART_ROWS, part_of, write_index
 
 
 @dataclass
@@ -42,6 +42,30 @@ class Index:
     stats: DataFrame
     vocabulary: DataFrame
     stems: bool = False
+    #: The bounds of the parts that the postings stand in, if they were written.
+    bounds: list[str] | None = None
+    #: (doc_id, gone): rows of postings whose segment is below ``gone`` are of a former version of the file; see ``live_index``.
+    gone: DataFrame | None = None
+
+    def postings_of(self, expanded: DataFrame) -> DataFrame:
+        """The postings in the parts of the terms that are looked for; the numbers of these parts, MOST_PARTS at most, are read first."""
+        if not self.bounds:
+            return self.postings
+        parts = [r[0] for r in expanded.select(part_of(F.col("term"), self.bounds).alias("part")).distinct().collect()]
+        return self.postings.where(F.col("part").isin(parts))
+
+    def alive(self, postings: DataFrame) -> DataFrame:
+        """Postings without those of former versions of files."""
+        gone = self.gone
+        return postings if gone is None else postings.join(gone, (postings["doc_id"] == gone["doc_id"]) & (postings["segment"] < gone["gone"]), "left_anti")
+
+    def hits(self, terms: DataFrame, phrases: bool, typos: int = 0, field: str | None = None) -> DataFrame:
+        """(query_id, nr, doc_id, f) of the expressions."""
+        expanded = match.expand_terms(terms, self.vocabulary, typos)
+        postings = self.postings_of(expanded)
+        if field:
+            postings = postings.where(F.col("field") == field)
+        return match.term_hits(expanded, postings, phrases, self.gone)
 
     @classmethod
     def of(cls, files: DataFrame, stems: bool = False) -> Index:
@@ -50,15 +74,16 @@ class Index:
         return cls(files, postings, doc_stats(files), term_stats(postings), stems)
 
     @classmethod
-    def build(cls, files: DataFrame, folder: str, stems: bool = False) -> Index:
-        """An index written to a folder, which is what searches should read: postings are counted once and read by column and term."""
-        write_index(None, build_postings(files, stems=stems), doc_stats(files), folder)
+    def build(cls, files: DataFrame, folder: str, stems: bool = False, part_rows: int = PART_ROWS) -> Index:
+        """An index written to a folder, which is what searches should read: postings are counted once and read by column and part."""
+        write_index(None, build_postings(files, stems=stems), doc_stats(files), folder, part_rows)
         return cls.read(files, folder, stems)
 
     @classmethod
     def read(cls, files: DataFrame, folder: str, stems: bool = False) -> Index:
         read = lambda schema, name: files.sparkSession.read.schema(schema).parquet(f"{folder}/{name}")
-        return cls(files, read(schemas.POSTINGS, "postings"), read(schemas.DOC_STATS, "doc_stats"), read(schemas.VOCABULARY, "vocabulary"), stems)
+        bounds = sorted(r["bound"] for r in read("bound string", "bounds").collect())
+        return cls(files, read(schemas.POSTINGS_IN_PARTS, "postings"), read(schemas.DOC_STATS, "doc_stats"), read(schemas.VOCABULARY, "vocabulary"), stems, bounds)
 
 
 def _slim(files: DataFrame, options: Options) -> DataFrame:
@@ -72,6 +97,7 @@ def _slim(files: DataFrame, options: Options) -> DataFrame:
 
 def search(index: Index, queries: DataFrame, options: Options | None = None) -> DataFrame:
     """Top results of each query (query_id, query): words are prefixes and all required, with OR any, without those after NOT; name:, path:, ext:.
+    A quoted phrase, and the parts of a word like foo-bar, are found in a row only, have a frequency of their own, and stand after NOT as well.
 
     Of a query with name: only that part is matched, with names. Columns: query_id, id, path, name, size, hash, file_type,
     updated_at, rank, match_type.
@@ -80,20 +106,23 @@ def search(index: Index, queries: DataFrame, options: Options | None = None) ->
     parts = match.split_operators(filters.split_query_fields(queries.where(filters.valid_query(F.col("query")))), "remaining")
     named = F.col("name_query").isNotNull()
     # Which kinds of query there are, from the queries alone: the others need no branch of the plan.
-    kinds = parts.agg(F.count_if(named).alias("names"), F.count_if(~named).alias("others"), F.count_if(F.col("excluded") != "").alias("excluded")).first()
-    def ranked_by(terms: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
+    several = lambda c: F.exists(F.regexp_extract_all(c, F.lit(match.WORD), F.lit(0)), lambda w: F.size(tokenize(w)) > 1)
+    phrases = F.coalesce(several(F.col("wanted")) | several(F.col("excluded")), F.lit(False)) | F.coalesce(several(F.col("name_query")), F.lit(False))
+    kinds = parts.agg(F.count_if(named).alias("names"), F.count_if(~named).alias("others"), F.count_if(F.col("excluded") != "").alias("excluded"), F.count_if(phrases).alias("phrases")).first()
+
+    def ranked_by(terms: DataFrame, asked: DataFrame, field: str | None = None) -> DataFrame:
         """The files that match, with their ranks; asked: (query_id, is_any)."""
         number = terms.groupBy("query_id").agg(F.count_distinct("nr").alias("wanted")).join(asked, "query_id")
-        hits = match.term_hits(match.expand_terms(terms, index.vocabulary, options.typos), postings)
-        return rank.rank_hits(hits, number, index.stats)
+        return rank.rank_hits(index.hits(terms, bool(kinds["phrases"]), options.typos, field), number, index.stats)
 
     content = parts.where(~named & (F.col("wanted") != ""))
-    ranked = ranked_by(match.query_terms(content, "wanted", index.stems), content.select("query_id", "is_any"), index.postings).withColumn("match_type", F.lit("content"))
+    ranked = ranked_by(match.query_terms(content, "wanted", index.stems), content.select("query_id", "is_any")).withColumn("match_type", F.lit("content"))
     if kinds["excluded"]:
-        ranked = match.match_not(ranked, match.query_terms(content.where("excluded <> ''"), "excluded", index.stems), index.postings)
+        worse = index.hits(match.query_terms(content.where("excluded <> ''"), "excluded", index.stems), bool(kinds["phrases"]))
+        ranked = ranked.join(worse.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     if kinds["names"]:
         names = parts.where(named)
-        by_name = ranked_by(match.query_terms(names, "name_query", index.stems), names.select("query_id", F.lit(False).alias("is_any")), index.postings.where("field = 'name'"))
+        by_name = ranked_by(match.query_terms(names, "name_query", index.stems), names.select("query_id", F.lit(False).alias("is_any")), "name")
         by_name = by_name.withColumn("match_type", F.lit("filename"))
         ranked = ranked.unionByName(by_name) if kinds["others"] else by_name
     hits = ranked.join(_slim(index.files, options), "doc_id").join(parts.select("query_id", "path_query", "ext_filters"), "query_id")
@@ -130,7 +159,8 @@ def search_by_filename(index: Index, queries: DataFrame, options: Options | None
 def search_document_as_query(index: Index, documents: DataFrame, options: Options | None = None) -> DataFrame:
     """(query_id, id, n_tokens): files that hold all words of each given text, the shortest first."""
     options = options or Options()
-    found = match.match_document(documents, index.postings).join(_slim(index.files, options).select("doc_id"), "doc_id").join(index.stats, "doc_id")
+    words = match.document_words(documents, index.vocabulary)
+    found = match.match_document(words, index.alive(index.postings_of(words))).join(_slim(index.files, options).select("doc_id"), "doc_id").join(index.stats, "doc_id")
     top = rank.top_k_per_query(found, options.k, [F.col("n_tokens"), F.col("doc_id")])
     return top.select("query_id", F.col("doc_id").alias("id"), "n_tokens")
 

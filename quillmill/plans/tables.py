@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import io
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -14,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.paths import file_type
+from quillmill.sources.written import shared_folder  # noqa: F401
 
 EXTENSIONS = ("txt", "md", "json", "csv", "html", "log", "pdf", "xyz")
 FIRST_SECOND = 1_704_067_200  # 2024-01-01
@@ -25,28 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
-_MADE: list[str] = []
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share; it goes when the process ends. Only a local session may name none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = f"{tempfile.gettempdir()}/checkpoints"
-    _MADE.append(f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
-    return _MADE[-1]
-
-
-@atexit.register
-def _tidy() -> None:
-    spark = SparkSession.getActiveSession()
-    for folder in _MADE if spark else []:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % 8 + 1).cast("int"))
     d = table(spark, sf_dir, "documents").withColumn("ext", ext).withColumn("name", F.concat(F.lit("doc_"), "doc_id", F.lit("."), "ext"))

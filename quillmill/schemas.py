@@ -12,5 +12,7 @@ CHANGES = "event string, path string, old_path string, volume string, ts timesta
 CHANGE_LINES = "type string, event string, path string, volume string, timestamp long, oldPath string, isDirectory boolean"
 JOURNAL = "file_id long, parent_id long, usn long, filetime long, reason long, attributes long, file_name string"
 POSTINGS = "term string, doc_id long, field string, tf int, positions array<int>, lead boolean"
+#: As they are written: by parts of the alphabet, in folders.
+POSTINGS_IN_PARTS = POSTINGS + ", part int"
 VOCABULARY = "term string, n_docs long, n_occurrences long"
 DOC_STATS = "doc_id long, n_tokens long"

@@ -6,23 +6,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quillmill import schemas
 from quillmill.functions.text import csv_escape, format_size, html_escape
 from quillmill.operators.index import term_stats
 
 CSV_HEADER = "\ufefffile name,path,type,size,modified,match type"
 
 
-def write_index(files: DataFrame | None, postings: DataFrame, doc_stats: DataFrame, folder: str) -> None:
-    """Parquet tables: postings, the vocabulary with its counts, and the files' lengths.
+#: Postings of a part, as many parts as that makes within MOST_PARTS, and terms drawn to place the bounds between them.
+PART_ROWS, MOST_PARTS, DRAWN = 500_000, 2048, 50_000
 
-    Postings are dealt by term and sorted, so that a term's rows are read from few row groups; they are rebalanced, not hashed,
-    so that a term that most files hold is cut over several tasks. Give no files where they are kept elsewhere: their content is not written twice then.
+
+def bounds_of(vocabulary: DataFrame, part_rows: int = PART_ROWS) -> list[str]:
+    """The first terms of all parts but the first, in order, so that parts have about equally many postings.
+
+    Terms are drawn with a probability in proportion to their postings, some ``DRAWN`` at most; one with more than a drawn term's share counts as several.
+    """
+    total = vocabulary.agg(F.sum("n_docs")).first()[0] or 0
+    parts = min(MOST_PARTS, total // part_rows + 1)
+    if parts < 2:
+        return []
+    share = max(1.0, total / DRAWN)
+    weight = F.floor(F.col("n_docs") / share + (F.pmod(F.xxhash64("term"), F.lit(1 << 20)) / float(1 << 20)))
+    drawn = sorted((r["term"], r["w"]) for r in vocabulary.select("term", weight.alias("w")).where("w > 0").collect())
+    bounds, so_far, whole = [], 0, sum(w for _, w in drawn)
+    for term, w in drawn:
+        if so_far >= whole * (len(bounds) + 1) / parts:
+            bounds.append(term)
+            while so_far + w >= whole * (len(bounds) + 1) / parts:  # a term of several shares ends several parts
+                bounds.append(term)
+        so_far += w
+    return sorted({*bounds})
+
+
+def part_of(term: Column, bounds: list[str]) -> Column:
+    """How many of the bounds are not behind the term: its part, by a binary search in a literal array."""
+    if not bounds:
+        return F.lit(0)
+    held = F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(held, at + s - 1) <= term), at + s).otherwise(at))
+
+
+def write_index(files: DataFrame | None, postings: DataFrame, doc_stats: DataFrame, folder: str, part_rows: int = PART_ROWS, bounds: list[str] | None = None) -> None:
+    """Parquet tables: postings, the vocabulary with its counts, the files' lengths, and the bounds of the postings' parts.
+
+    Postings stand in folders by ranges of the alphabet with about ``part_rows`` rows each, so that a search opens the parts its words lie in, a prefix's words beside each other; they are
+    sorted, so that a term's rows are read from few row groups, and rebalanced, so that the part of a term that most files hold is cut over several tasks.
+    Give no files where they are kept elsewhere: their content is not written twice then. ``bounds``: those of an index that this one is to be like.
     """
+    spark = postings.sparkSession
     if files is not None:
         files.write.mode("overwrite").parquet(f"{folder}/files")
-    postings.hint("rebalance", "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
-    written = postings.sparkSession.read.schema(postings.schema).parquet(f"{folder}/postings")
-    term_stats(written).write.mode("overwrite").parquet(f"{folder}/vocabulary")
+    term_stats(postings).write.mode("overwrite").parquet(f"{folder}/vocabulary")
+    if bounds is None:
+        bounds = bounds_of(spark.read.schema(schemas.VOCABULARY).parquet(f"{folder}/vocabulary"), part_rows)
+    spark.createDataFrame([(b,) for b in bounds], "bound string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/bounds")
+    parted = postings.withColumn("part", part_of(F.col("term"), bounds).cast("int"))
+    parted.hint("rebalance", "part").sortWithinPartitions("part", "term", "doc_id").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
     doc_stats.write.mode("overwrite").parquet(f"{folder}/doc_stats")
 
 

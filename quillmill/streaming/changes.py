@@ -6,17 +6,19 @@ Every streaming operator works on a batch as well, where it gives what the strea
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from quillmill.functions.journal import map_dir_event
 from quillmill.functions.paths import ancestors, basename
 from quillmill.operators import maintain
 from quillmill.operators.joins import filter_monitored_roots
+from quillmill.sources.manifest import Manifest
+from quillmill.sources.written import scratch, written
 
 FLUSH = "15 minutes"
 LATE = "10 minutes"
@@ -135,7 +137,7 @@ def net_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
     for each link of the longest chain; only files that were touched take part. Every sight of a file (created, modified, moved to a path) starts a life as well:
     lives that end at one path are one file, which is the one known longest.
     """
-    one, below, seen = (_fixed(x) for x in _touches(changes))
+    one, below, seen = (written(x, "touches") for x in _touches(changes))
     # Of sights of a path with no touch between them, the first one.
     through = seen.select("path").distinct().withColumn("dir", F.explode(ancestors(F.col("path")))).join(below, "dir").select("path", "at")
     both = seen.select("path", "at", F.lit(1).alias("sight")).unionByName(one.select("path", "at").unionByName(through).withColumn("sight", F.lit(0)))
@@ -152,7 +154,7 @@ def net_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
     living = living.select(file.alias("file"), "path", "since")
     over: DataFrame | None = None
     while True:
-        stepped = _fixed(_next_step(living, one, below))
+        stepped = written(_next_step(living, one, below), "steps")
         done = stepped.where("step IS NULL OR step.end").select("file", F.when(F.col("step").isNull(), F.col("path")).alias("path"))
         over = done if over is None else over.unionByName(done)
         living = stepped.where("step IS NOT NULL AND NOT step.end").select("file", F.col("step.path").alias("path"), F.col("step.at").alias("since"))
@@ -163,109 +165,143 @@ def net_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
     return alive.select(F.col("file.id").alias("id"), F.col("path").alias("final"), "renew").unionByName(gone)
 
 
-def _fixed(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the session's shared folder; a local session without one gets its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+def one_of_each(contents: DataFrame) -> DataFrame:
+    """One row of each path: of several the last one by their values, and of equal ones that of the greatest content hash."""
+    values = [c for c in contents.columns if c not in ("path", "content")]
+    order = [F.col(c).desc_nulls_last() for c in values] + ([F.xxhash64("content").desc()] if "content" in contents.columns else [])
+    nr = F.row_number().over(W.partitionBy("path").orderBy(*order))
+    return contents.withColumn("__nr", nr).where("__nr = 1").drop("__nr")
 
 
-def apply_changes(files: DataFrame, changes: DataFrame, contents: DataFrame, now: Column) -> DataFrame:
-    """files after a batch of changes: renamed, deleted, updated and added rows. contents: (path, name, size, hash, file_type, content,
-    is_supported) of the paths that can be read; a file to be read anew that is not among them keeps its values, and is not added.
-
-    Only ids and paths are shuffled against the changes; a file's other columns meet one row of the outcome.
-    """
-    values = [c for c in files.columns if c not in ("id", "path", "created_at", "updated_at")]
-    net = _fixed(net_changes(files, changes))
+def _outcome(net: DataFrame, contents: DataFrame, values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(id, final, __met, __new) of the files that are known, and (path, *values) of those to be added. contents: a path once."""
     fresh = net.where("renew").select("final").join(contents.withColumnRenamed("path", "final"), "final").select("final", F.struct(*values).alias("__new"))
     known = net.where("id IS NOT NULL").join(fresh, "final", "left").select("id", "final", F.lit(True).alias("__met"), "__new")
+    return known, net.where("id IS NULL").select(F.col("final").alias("path")).join(fresh.withColumnRenamed("final", "path"), "path").select("path", "__new.*")
+
+
+def _changed(files: DataFrame, known: DataFrame, values: list[str], now: Column) -> DataFrame:
+    """files with what the batch does to known ones."""
     out = files.join(known, "id", "left").where("__met IS NULL OR final IS NOT NULL")
     moved, renewed = F.coalesce(F.col("final") != F.col("path"), F.lit(False)), F.col("__new").isNotNull()
     old = {c: F.col(c) for c in values} | {"name": F.when(moved, basename(F.col("final"))).otherwise(F.col("name"))}
     columns = {c: F.when(renewed, F.col(f"__new.{c}")).otherwise(old[c]).alias(c) for c in values}
     columns |= {"path": F.coalesce("final", "path").alias("path"), "updated_at": F.when(renewed, now).otherwise(F.col("updated_at")).alias("updated_at")}
-    kept = out.select(*[columns.get(c, F.col(c)) for c in files.columns])
-    added = net.where("id IS NULL").select(F.col("final").alias("path")).join(fresh.withColumnRenamed("final", "path"), "path")
-    added = maintain.with_new_ids(added, files).select("id", "path", "__new.*").withColumns({"created_at": now, "updated_at": now})
-    return kept.unionByName(added.select(*files.columns))
+    return out.select(*[columns.get(c, F.col(c)) for c in files.columns])
 
 
-class FilesTable:
-    """The files table for foreachBatch: rows without content in versions of Parquet folders with a pointer to the current one, and
-    contents in a table of their own, by the batch that wrote them.
+def _added(added: DataFrame, files: DataFrame, now: Column) -> DataFrame:
+    return maintain.with_new_ids(added, files).withColumns({"created_at": now, "updated_at": now}).select(*files.columns)
+
+
+def _values(files: DataFrame) -> list[str]:
+    return [c for c in files.columns if c not in ("id", "path", "created_at", "updated_at")]
+
 
-    A batch writes the contents that it renews and a new version of the rows, then the pointer with its number; a batch that is given again
-    is skipped. A version goes when its successor has been followed by another; ``compact`` rewrites the contents that are still in use.
+def apply_changes(files: DataFrame, changes: DataFrame, contents: DataFrame, now: Column) -> DataFrame:
+    """files after a batch of changes: renamed, deleted, updated and added rows. contents: (path, name, size, hash, file_type, content,
+    is_supported) of the paths that can be read, of a path that stands there more than once one row (``one_of_each``); a file to be read anew that is not among them keeps its values, and is not added.
+
+    Only ids and paths are shuffled against the changes; a file's other columns meet one row of the outcome.
     """
+    values = _values(files)
+    with scratch() as kept:
+        net = kept.keep(written(net_changes(files, changes), "net-changes"))
+    known, added = _outcome(net, one_of_each(contents), values)
+    return _changed(files, known, values, now).unionByName(_added(added, files, now))
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+class FilesTable:
+    """The files table for foreachBatch: rows without content in buckets of their ids, and contents in a table of their own, by the batch that wrote them.
 
-    def _fs(self):
-        return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+    A batch rewrites the buckets of the files that it touches, reads the others not even for their values, and writes the contents that it renews; a manifest then names the folder of
+    each bucket and the contents in use. So what is written follows what has changed, a batch that is given again is skipped, and one that breaks off anywhere leaves the table as it was.
+    ``compact`` writes the contents in use as one and swaps them by the manifest, too. Folders go when two manifests do not name them.
+    """
 
-    def _names(self, name: str) -> list[str]:
-        return [s.getPath().getName() for s in self._fs().listStatus(self._path(name))] if self._fs().exists(self._path(name)) else []
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.buckets, self.held = spark, buckets, Manifest(spark, folder)
+        self.folder = self.held.folder
 
     def state(self) -> dict:
-        """The pointer: folder of the current version and the last batch's number; the newest one wins."""
-        pointers = self._names("pointers")
-        if not pointers:
-            return {"version": None, "before": None, "batch": -1}
-        newest = max(pointers, key=lambda n: int(n.split("-")[0]))
-        return json.loads(self.spark.read.text(f"{self.folder}/pointers/{newest}").first()[0])
+        """The last batch's number, the version of each bucket, the contents in use, and the rows' schema."""
+        return self.held.state() or {"batch": -1, "buckets": self.buckets, "rows": {}, "contents": [], "next": 0, "schema": None}
+
+    def _bucket(self, id_: Column, state: dict) -> Column:
+        return F.pmod(F.xxhash64(id_), F.lit(state["buckets"])).cast("int")
+
+    def _rows(self, state: dict, buckets: list[int] | None = None) -> DataFrame:
+        versions: dict[str, list[int]] = {}
+        for b, version in state["rows"].items():
+            if buckets is None or int(b) in buckets:
+                versions.setdefault(version, []).append(int(b))
+        schema = StructType.fromJson(json.loads(state["schema"]))
+        out = self.spark.createDataFrame([], schema)
+        for version, held in versions.items():
+            part = self.spark.read.schema(StructType(schema.fields + [StructField("bucket", IntegerType())])).parquet(f"{self.folder}/rows/{version}")
+            out = out.unionByName(part.where(F.col("bucket").isin(held)).drop("bucket"))
+        return out
 
     def rows(self) -> DataFrame:
-        """The files without their content, and the batch that wrote it."""
-        return self.spark.read.parquet(f"{self.folder}/rows/{self.state()['version']}")
+        """The files without their content, and the number of the contents that theirs is among."""
+        return self._rows(self.state())
 
     def read(self) -> DataFrame:
-        rows, contents = self.rows(), self.spark.read.schema("id long, content string, content_batch long").parquet(f"{self.folder}/contents")
-        return rows.join(contents, ["id", "content_batch"], "left").drop("content_batch")
+        state = self.state()
+        paths = [f"{self.folder}/contents/content_batch={k}" for k in state["contents"]]
+        contents = self.spark.read.schema("id long, content string, content_batch long").option("basePath", f"{self.folder}/contents").parquet(*paths)
+        return self._rows(state).join(contents, ["id", "content_batch"], "left").drop("content_batch")
 
     def write(self, files: DataFrame, batch: int = 0) -> None:
         """A whole table, content and all."""
-        self._put_contents(files.select("id", "content"), batch)
-        self._put_rows(files.drop("content").withColumn("content_batch", F.lit(batch).cast("long")), batch)
-
-    def _put_contents(self, contents: DataFrame, batch: int) -> None:
-        contents.write.mode("overwrite").parquet(f"{self.folder}/contents/content_batch={batch}")
-
-    def _put_rows(self, rows: DataFrame, batch: int) -> None:
         state = self.state()
-        version = f"v{batch}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(f"{self.folder}/rows/{version}")
-        pointer = json.dumps({"version": version, "before": state["version"], "batch": batch})
-        self.spark.createDataFrame([(pointer,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/pointers/{batch + 1}-pointer")
-        for name in self._names("rows"):
-            if name not in (version, state["version"]):
-                self._fs().delete(self._path(f"rows/{name}"), True)
+        rows = files.drop("content").withColumn("content_batch", F.lit(state["next"]).cast("long"))
+        self._put_contents(files.select("id", "content"), state["next"])
+        version = self._put_rows(rows, state)
+        schema = json.dumps(json.loads(StructType([StructField(f.name, f.dataType) for f in rows.schema]).json()))
+        self._put({"batch": batch, "buckets": state["buckets"], "rows": {str(b): version for b in range(state["buckets"])}, "contents": [state["next"]], "next": state["next"] + 1, "schema": schema})
+
+    def _put_contents(self, contents: DataFrame, number: int) -> None:
+        contents.write.mode("overwrite").parquet(f"{self.folder}/contents/content_batch={number}")
+
+    def _put_rows(self, rows: DataFrame, state: dict) -> str:
+        version = f"v{uuid.uuid4().hex[:12]}"
+        bucketed = rows.withColumn("bucket", self._bucket(F.col("id"), state))
+        bucketed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "path").write.partitionBy("bucket").parquet(f"{self.folder}/rows/{version}")
+        return version
+
+    def _put(self, state: dict) -> None:
+        self.held.put(state)
+        self.held.sweep("rows", lambda s: list(s["rows"].values()))
+        self.held.sweep("contents", lambda s: [f"content_batch={k}" for k in s["contents"]])
 
     def fold(self, changes: DataFrame, batch: int, contents: DataFrame) -> None:
         """One micro-batch; give it to foreachBatch. Contents are joined only for the files that the batch renews."""
-        if batch <= self.state()["batch"]:
+        state = self.state()
+        if batch <= state["batch"]:
             return
-        told = contents.drop("content").withColumn("content_batch", F.lit(batch).cast("long"))
-        rows = _fixed(apply_changes(self.rows(), changes, told, F.current_timestamp()))
-        renewed = rows.where(F.col("content_batch") == batch).select("id", "path")
-        self._put_contents(renewed.join(contents.select("path", "content"), "path").select("id", "content"), batch)
-        self._put_rows(rows, batch)
+        number, now = state["next"], F.current_timestamp()
+        with scratch():
+            files, contents = self._rows(state), one_of_each(contents)
+            values = _values(files)
+            told = contents.drop("content").withColumn("content_batch", F.lit(number).cast("long"))
+            known, added = _outcome(written(net_changes(files, changes), "net-changes"), told, values)
+            known = written(known, "known")
+            added = written(_added(added, files, now), "added")
+            touched = known.select("id").unionByName(added.select("id")).select(self._bucket(F.col("id"), state).alias("b")).distinct()
+            buckets = sorted(r["b"] for r in touched.collect())  # as many as there are buckets at most
+            if buckets:
+                rows = written(_changed(self._rows(state, buckets), known, values, now).unionByName(added), "rows")
+                renewed = rows.where(F.col("content_batch") == number).select("id", "path")
+                self._put_contents(renewed.join(contents.select("path", "content"), "path").select("id", "content"), number)
+                version = self._put_rows(rows, state)
+                state = state | {"rows": state["rows"] | {str(b): version for b in buckets}, "contents": [*state["contents"], number], "next": number + 1}
+            self._put(state | {"batch": batch})
 
     def compact(self) -> None:
-        """All contents in use as those of one batch, the last one; the others go."""
-        batch = self.state()["batch"]
-        whole = self.read()
-        other = f"{self.folder}/compacted-{uuid.uuid4().hex[:8]}"
-        whole.select("id", "content").write.parquet(other)
-        rows = _fixed(self.rows().withColumn("content_batch", F.lit(batch).cast("long")))
-        self._fs().delete(self._path("contents"), True)
-        self._put_contents(self.spark.read.parquet(other), batch)
-        self._fs().delete(self._path(other.rsplit("/", 1)[1]), True)
-        self._put_rows(rows, batch)
+        """All contents in use as those of one number; the others go when two manifests do not name them."""
+        state = self.state()
+        number = state["next"]
+        self._put_contents(self.read().select("id", "content"), number)
+        version = self._put_rows(self._rows(state).withColumn("content_batch", F.lit(number).cast("long")), state)
+        self._put(state | {"rows": {b: version for b in state["rows"]}, "contents": [number], "next": number + 1})
