@@ -373,8 +373,8 @@ def t16_run_saved_searches(spark, d):
 @query()
 def t17_fuzzy_rerank(spark, d):
     i, q = _index(spark, d), t.words(spark, d, 2)
-    top = plans.with_content(plans.search(i, q), i.files).join(q, "query_id")
-    return fuzzy.fuzzy_rerank(top).select("query_id", "id", F.round("fuzzy_score", 6).alias("fuzzy_score"))
+    top = plans.search(i, q).select("query_id", "id").join(q, "query_id")
+    return fuzzy.fuzzy_rerank(top, i.files).select("query_id", "id", F.round("fuzzy_score", 6).alias("fuzzy_score"))
 
 
 # DuckDB counts edits in bytes, so its text writes each letter of two bytes as one byte of its own.

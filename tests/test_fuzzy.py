@@ -20,13 +20,42 @@ def loop_errors(pattern, text):
 
 
 def test_blocks_against_a_loop(monkeypatch):
-    monkeypatch.setattr(fuzzy, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(fuzzy, "BLOCK", 16)
+    monkeypatch.setattr(fuzzy, "LANES", 7)
     rng = np.random.default_rng(5)
     for _ in range(200):
         text, pattern = ("".join(rng.choice(list("abc"), int(rng.integers(low, high)))) for low, high in ((0, 120), (2, 12)))
         assert fuzzy.substring_errors(pattern, text) == loop_errors(pattern, text)
 
 
+def test_many_pairs_at_once_against_a_loop(monkeypatch):
+    rng = np.random.default_rng(6)
+    for block, lanes in ((512, 4096), (40, 5)):
+        monkeypatch.setattr(fuzzy, "BLOCK", block)
+        monkeypatch.setattr(fuzzy, "LANES", lanes)
+        pairs = [tuple("".join(rng.choice(list("abé😀"), int(rng.integers(low, high)))) for low, high in ((1, 33), (0, 150))) for _ in range(150)]
+        pairs += [("x" * 32, ""), ("x" * 32, "y" * 90), ("ab", "\ud800ab"), ("é" * 32, "é" * 31)]
+        assert list(fuzzy.least_errors(pairs)) == [loop_errors(p, t) for p, t in pairs]
+    assert list(fuzzy.least_errors([])) == []
+
+
+def test_slices_and_joins_give_the_same(spark, monkeypatch):
+    """A file hit by many queries, files without name or content, ties and repeated hits, queries too short or null; sent or joined."""
+    names = [(1, "report.txt", "The quarterly reprot of the board, and more. " * 30), (2, None, "nothing near"), (3, "summary of a report", None), (4, "", ""), (5, "a\u00e9", "a" * 3000 + "board" + "b" * 3000)]
+    asked = ["report", "board", "quartely", "x", "", None, "zzzzqqq", "a\u00e9", "The quarterly report of the whole board and nothing else"]
+    files = spark.createDataFrame(names, "id long, name string, content string")
+    hits = spark.createDataFrame([(k, i, q) for k, q in enumerate(asked) for i in (1, 2, 3, 4, 5, 9)] + [(0, 1, "report")], "query_id int, id long, query string")
+    text = {i: (n, c) for i, n, c in names}
+    want = sorted((r["query_id"], r["id"], round(s, 6)) for r in hits.collect() if r["id"] in text and (s := fuzzy.fuzzy_score(r["query"], *text[r["id"]])) is not None)
+    for sent, most in ((1 << 20, 256), (0, 2)):
+        monkeypatch.setattr(fuzzy, "SENT_BYTES", sent)
+        monkeypatch.setattr(fuzzy, "ASKED", most)
+        got = fuzzy.fuzzy_rerank(hits, files)
+        assert got.columns == ["query_id", "id", "query", "fuzzy_score"]
+        assert sorted((r["query_id"], r["id"], round(r["fuzzy_score"], 6)) for r in got.collect()) == want
+    assert len(want) == 8 and fuzzy.fuzzy_rerank(hits.limit(0), files).count() == 0
+
+
 def test_a_late_match_counts():
     assert fuzzy.fuzzy_score("needle", None, "x " * 6000 + "needle") is not None
 
