@@ -60,19 +60,25 @@ def highlight_words(text: Column, query: Column, before: str = "<mark>", after:
     return F.when(F.size(words) == 0, text).otherwise(_replace(text, pattern, F.lit(f"{before}$1{after}")))
 
 
+def _around(content: Column, word: Column) -> Column:
+    """What stands around the first occurrence of word in any case, every occurrence marked; null if there is none."""
+    at = F.instr(F.lower(content), F.lower(word))
+    start, end = F.greatest(at - 1 - BEFORE, F.lit(0)), F.least(F.length(content), at - 1 + F.length(word) + AFTER)
+    cut = F.substring(content, start + 1, end - start)
+    cut = F.replace(F.replace(cut, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cut = F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), cut, F.when(end < F.length(content), F.lit("...")).otherwise(F.lit("")))
+    return F.when(at > 0, highlight(cut, word, "<mark>", "</mark>"))
+
+
 def snippet(content: Column, keywords: list[Column]) -> Column:
     """Around the first keyword, in the order given, that occurs: 40 characters before it, 60 after, marked; null if none does."""
-    low = F.lower(content)
+    return F.coalesce(*[_around(content, w) for w in keywords])
 
-    def around(word: Column) -> Column:
-        at = F.instr(low, F.lower(word))
-        start, end = F.greatest(at - 1 - BEFORE, F.lit(0)), F.least(F.length(content), at - 1 + F.length(word) + AFTER)
-        cut = F.substring(content, start + 1, end - start)
-        cut = F.replace(F.replace(cut, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-        cut = F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), cut, F.when(end < F.length(content), F.lit("...")).otherwise(F.lit("")))
-        return F.when(at > 0, highlight(cut, word, "<mark>", "</mark>"))
 
-    return F.coalesce(*[around(w) for w in keywords])
+def snippet_of(content: Column, keywords: Column) -> Column:
+    """``snippet`` of an array of keywords, of which each row has its own; empty keywords are none."""
+    low = F.lower(content)
+    return _around(content, F.get(F.filter(keywords, lambda w: (w != "") & F.contains(low, F.lower(w))), 0))
 
 
 def context_snippet(content: Column, query: Column, around: int = 50) -> Column:

@@ -364,6 +364,19 @@ def t15_search_document_as_query(spark, d):
     return plans.search_document_as_query(_index(spark, d), docs, plans.Options(k=10**9)).select("query_id", "id")
 
 
+_SHOWN = f"""{_SEARCH}, shown AS (SELECT b.*, CASE WHEN contains(lower(content), lower(w[1])) THEN lower(w[1]) WHEN contains(lower(content), lower(w[2])) THEN lower(w[2]) END AS word
+  FROM best b JOIN (SELECT query_id, string_split(query, ' ') AS w FROM queries) USING (query_id) WHERE nr <= 200),
+cut AS (SELECT *, greatest(instr(lower(content), word) - 41, 0) AS s, least(length(content), instr(lower(content), word) - 1 + length(word) + 60) AS e FROM shown),
+told AS (SELECT *, regexp_replace(CASE WHEN s > 0 THEN '...' ELSE '' END || replace(replace(substr(content, s + 1, e - s), '<', '&lt;'), '>', '&gt;') || CASE WHEN e < length(content) THEN '...' ELSE '' END, '(?i)(' || word || ')', '<mark>\\1</mark>', 'g') AS snippet FROM cut)"""
+
+
+@query(f"{_SHOWN} SELECT query_id, nr::INTEGER AS nr, id, round(rank, 6) AS rank, snippet FROM told")
+def search_results_job(spark, d):
+    """From queries to ranked results with snippets, in one job."""
+    shown = plans.results_job(_index(spark, d), t.words(spark, d, 2))
+    return shown.select("query_id", "nr", "id", F.round("rank", 6).alias("rank"), "snippet")
+
+
 @query(f"{_SEARCH} SELECT query_id, 'saved ' || query_id AS saved_name, id, round(rank, 6) AS rank FROM best WHERE nr <= 200")
 def t16_run_saved_searches(spark, d):
     saved = t.words(spark, d, 2).withColumn("name", F.concat(F.lit("saved "), F.col("query_id")))
@@ -824,6 +837,16 @@ def s8_export_html(spark, d):
     return writers.html_rows(_found(spark, d))
 
 
+@query(f"""{_SHOWN} SELECT query_id, '<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="UTF-8"><title>query ' || query_id || '</title></head><body>' || chr(10) || '<dl>' || chr(10)
+  || string_agg('<dt>' || name || '</dt><dd><span>' || path || '</span><span>' || file_type || '</span><span>' || {_SIZE} || '</span><span>' || {_TIME} || '</span><span>content</span>' || coalesce('<blockquote>' || snippet || '</blockquote>', '') || '</dd>' || chr(10), '' ORDER BY nr)
+  || '</dl>' || chr(10) || '</body></html>' || chr(10) AS document FROM told GROUP BY query_id""")
+def s8_export_results_by_query(spark, d):
+    """Search to snippets to documents, one for each query, written and read back whole."""
+    shown, folder = plans.results_job(_index(spark, d), t.words(spark, d, 2)), t.shared_folder(spark, "results")
+    writers.export_by_query(shown, folder, "html", [F.col("nr")], title=F.concat(F.lit("query "), F.col("query_id")), snippet="snippet")
+    return spark.read.text(folder, wholetext=True).select(F.col("query_id").cast("long").alias("query_id"), F.col("value").alias("document"))
+
+
 @query(f"""WITH {t.FILES}, n AS (SELECT *, row_number() OVER (ORDER BY size DESC, id) AS nr FROM files) SELECT '[' || nr || '] a"<b>, ' || name || chr(10) || 'path: ' || path || chr(10) || 'type: ' || file_type || ' | size: ' || {_SIZE} || ' | modified: ' || {_TIME} || ' | match: content' AS value FROM n WHERE nr <= 200""")
 def s9_export_txt(spark, d):
     order = [F.col("size").desc(), F.col("id")]

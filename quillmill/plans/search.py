@@ -9,12 +9,18 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quillmill import schemas
 from quillmill.functions.paths import extension
+from quillmill.functions.text import snippet_of
 from quillmill.operators import filters, match, rank, results
 from quillmill.operators.index import build_postings, doc_stats, term_stats, tokenize
 from quillmill.sources.writers import PART_ROWS, part_of, write_index
+from quillmill.sources.written import written
+
+#: Bytes of results that are sent to the files for their contents; more are joined.
+SENT_BYTES = 64 << 20
 
 
 @dataclass
@@ -172,5 +178,33 @@ def run_saved_searches(index: Index, saved: DataFrame, options: Options | None =
 
 
 def with_content(top: DataFrame, files: DataFrame) -> DataFrame:
-    """Top results with the content of their files; the last step, on few rows."""
-    return top.join(files.select("id", "content"), "id")
+    """Top results with the content of their files; the last step, on few rows.
+
+    Results are written and, where their bytes allow it, sent to the files: contents stay where they are read. Of more results, both sides are shuffled by file.
+    """
+    kept = written(top, "top")
+    size = kept.agg(F.sum(F.octet_length(F.to_json(F.struct(*kept.columns)))).alias("bytes")).first()["bytes"] or 0
+    met = files.select("id", "content").join(F.broadcast(kept) if size <= SENT_BYTES else kept, "id")
+    return met.select("id", *[c for c in top.columns if c != "id"], "content")
+
+
+def keywords(queries: DataFrame) -> DataFrame:
+    """(query_id, keywords): what snippets are to show of each query: its words and phrases in their order, without operators, quotes, stars, fields and what stands after NOT.
+    Of a query with name: that part's words."""
+    parts = match.split_operators(filters.split_query_fields(queries), "remaining")
+    asked = F.coalesce("name_query", "wanted")
+    words = F.filter(F.regexp_extract_all(F.trim(asked), F.lit(match.WORD), F.lit(0)), lambda w: ~F.upper(w).isin("AND", "OR"))
+    return parts.select("query_id", F.filter(F.transform(words, lambda w: F.regexp_replace(w, r'^"|"?\*?$', "")), lambda w: w != "").alias("keywords"))
+
+
+def results_job(index: Index, queries: DataFrame, options: Options | None = None) -> DataFrame:
+    """From queries to what people read of their results: (query_id, nr, ..., snippet), the columns of ``search`` with the place of a result among its query's and a
+    snippet around the first keyword that its content holds, null where it holds none as it is written.
+
+    Matching, ranking, the cut to the top results and (``Options.dedup``) the removal of repeated files see no content; each file's content is then read once, in its
+    place, for all queries that found it, and leaves as a snippet. A query without results has no rows. For documents see ``writers.export_by_query``.
+    """
+    found = search(index, queries, options)
+    nr = F.row_number().over(W.partitionBy("query_id").orderBy("rank", "id"))
+    shown = with_content(found.withColumn("nr", nr).join(keywords(queries), "query_id"), index.files)
+    return shown.select("query_id", "nr", *[c for c in found.columns if c != "query_id"], snippet_of(F.col("content"), F.col("keywords")).alias("snippet"))

@@ -75,27 +75,37 @@ def _when(c: Column) -> Column:
     return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("-"))
 
 
-def csv_lines(results: DataFrame) -> DataFrame:
-    """One CSV line for each result: name, path, type, size, modified, match type."""
+def _csv_value() -> Column:
     cells = [csv_escape(c) for c in (F.col("name"), F.col("path"), _text(F.col("file_type")), format_size(F.col("size")), _when(F.col("updated_at")), _text(F.col("match_type")))]
-    return results.select(F.concat_ws(",", *cells).alias("value"))
+    return F.concat_ws(",", *cells)
 
 
-def html_rows(results: DataFrame, snippet: str | None = None) -> DataFrame:
-    """An item of a definition list for each result: its name, what is known of it, and its snippet if there is one."""
+def _html_value(snippet: str | None) -> Column:
     part = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
     known = [html_escape(F.col("path")), html_escape(_text(F.col("file_type"))), format_size(F.col("size")), _when(F.col("updated_at")), html_escape(_text(F.col("match_type")))]
     about = F.concat(*[part("span", c) for c in known])
     below = F.coalesce(part("blockquote", F.col(snippet)), F.lit("")) if snippet else F.lit("")
-    return results.select(F.concat(part("dt", html_escape(F.col("name"))), part("dd", F.concat(about, below))).alias("value"))
+    return F.concat(part("dt", html_escape(F.col("name"))), part("dd", F.concat(about, below)))
+
+
+def _txt_value(nr: Column) -> Column:
+    third = F.concat(F.lit("type: "), _text(F.col("file_type"), "-"), F.lit(" | size: "), format_size(F.col("size")), F.lit(" | modified: "), _when(F.col("updated_at")), F.lit(" | match: "), _text(F.col("match_type"), "-"))
+    return F.concat(F.lit("["), nr, F.lit("] "), F.col("name"), F.lit("\npath: "), F.col("path"), F.lit("\n"), third)
+
+
+def csv_lines(results: DataFrame) -> DataFrame:
+    """One CSV line for each result: name, path, type, size, modified, match type."""
+    return results.select(_csv_value().alias("value"))
+
+
+def html_rows(results: DataFrame, snippet: str | None = None) -> DataFrame:
+    """An item of a definition list for each result: its name, what is known of it, and its snippet if there is one."""
+    return results.select(_html_value(snippet).alias("value"))
 
 
 def txt_entries(results: DataFrame, order: list[Column]) -> DataFrame:
     """Numbered entries of three lines each. The numbering is over one ordered list, so give it the top results only."""
-    nr = F.row_number().over(W.orderBy(*order))
-    numbered = results.withColumn("__nr", nr)
-    third = F.concat(F.lit("type: "), _text(F.col("file_type"), "-"), F.lit(" | size: "), format_size(F.col("size")), F.lit(" | modified: "), _when(F.col("updated_at")), F.lit(" | match: "), _text(F.col("match_type"), "-"))
-    return numbered.select(F.concat(F.lit("["), F.col("__nr"), F.lit("] "), F.col("name"), F.lit("\npath: "), F.col("path"), F.lit("\n"), third).alias("value"))
+    return results.withColumn("__nr", F.row_number().over(W.orderBy(*order))).select(_txt_value(F.col("__nr")).alias("value"))
 
 
 def quote_entries(quotes: DataFrame, markdown: bool = True) -> DataFrame:
@@ -107,6 +117,14 @@ def quote_entries(quotes: DataFrame, markdown: bool = True) -> DataFrame:
     return quotes.select(value.alias("value"))
 
 
+def _html_head(title: Column) -> Column:
+    return F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="UTF-8"><title>'), html_escape(title), F.lit("</title></head><body>\n<dl>"))
+
+
+_HTML_FOOT = "</dl>\n</body></html>"
+_RULE = "\n" + "-" * 80
+
+
 def export_csv(results: DataFrame, folder: str) -> None:
     """A file with byte-order mark, header and lines ended by CR LF. An export is one document, written by one task."""
     spark = results.sparkSession
@@ -116,14 +134,38 @@ def export_csv(results: DataFrame, folder: str) -> None:
 
 def export_html(results: DataFrame, folder: str, title: str = "", snippet: str | None = None) -> None:
     spark = results.sparkSession
-    head = spark.range(1).select(F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="UTF-8"><title>'), html_escape(F.lit(title)), F.lit("</title></head><body>\n<dl>")).alias("value"))
-    foot = spark.range(1).select(F.lit("</dl>\n</body></html>").alias("value"))
+    head = spark.range(1).select(_html_head(F.lit(title)).alias("value"))
+    foot = spark.range(1).select(F.lit(_HTML_FOOT).alias("value"))
     head.union(html_rows(results, snippet)).union(foot).coalesce(1).write.mode("overwrite").text(folder)
 
 
 def export_txt(results: DataFrame, folder: str, order: list[Column]) -> None:
-    txt_entries(results, order).withColumn("value", F.concat("value", F.lit("\n" + "-" * 80))).coalesce(1).write.mode("overwrite").text(folder)
+    txt_entries(results, order).withColumn("value", F.concat("value", F.lit(_RULE))).coalesce(1).write.mode("overwrite").text(folder)
 
 
 def export_quotes(quotes: DataFrame, folder: str, markdown: bool = True) -> None:
     quote_entries(quotes, markdown).coalesce(1).write.mode("overwrite").text(folder)
+
+
+def export_by_query(results: DataFrame, folder: str, kind: str, order: list[Column], key: str = "query_id", title: Column | None = None, snippet: str | None = None) -> None:
+    """A document (kind: csv, html or txt) for each query, in a folder of its own, ``key=<query>``, all written in parallel.
+
+    Its lines are those of ``export_csv``, ``export_html`` (title: an expression of its rows) and ``export_txt``. A document is one file of one task, whose rows are a
+    query's results: as many as the search keeps of a query at most. The head and the foot go with its first and last row, so a query without results has no document.
+    """
+    own = W.partitionBy(key)
+    rows = results.withColumns({"__nr": F.row_number().over(own.orderBy(*order)), "__n": F.count(F.lit(1)).over(own)})
+    if kind == "csv":
+        line, head, foot, end = _csv_value(), F.lit(CSV_HEADER), None, "\r\n"
+    elif kind == "html":
+        line, head, foot, end = _html_value(snippet), _html_head(title if title is not None else F.lit("")), F.lit(_HTML_FOOT), "\n"
+    elif kind == "txt":
+        line, head, foot, end = F.concat(_txt_value(F.col("__nr")), F.lit(_RULE)), None, None, "\n"
+    else:
+        raise ValueError(f"no such kind of document: {kind}")
+    if head is not None:
+        line = F.concat(F.when(F.col("__nr") == 1, F.concat(head, F.lit(end))).otherwise(F.lit("")), line)
+    if foot is not None:
+        line = F.concat(line, F.when(F.col("__nr") == F.col("__n"), F.concat(F.lit(end), foot)).otherwise(F.lit("")))
+    lines = rows.select(key, "__nr", line.alias("value"))
+    lines.repartition(key).sortWithinPartitions(key, "__nr").drop("__nr").write.mode("overwrite").partitionBy(key).text(folder, lineSep=end)
