@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillmill.operators.match import expand_terms, term_hits
+from quillmill.sources.written import written
 
 K1, B = 1.2, 0.75
 TOP = 200
@@ -81,3 +82,15 @@ def sort_results(results: DataFrame, by: str = "relevance", descending: bool = F
 
 def limit_results(results: DataFrame, n: int, order: list[Column]) -> DataFrame:
     return results.orderBy(*order).limit(n)
+
+
+def numbered(ordered: DataFrame, name: str = "nr") -> DataFrame:
+    """Rows of a sort with their numbers, from 1, in its order. No task sees more than its range of the sort: each row's place in its task is written with it, and
+    the sums of the tasks before it (a row for each task, broadcast) are added."""
+    placed = written(ordered.withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    task = F.shiftright("__at", 33)  # the function's documented layout: the task above the lower 33 bits, the row below
+    sizes = placed.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select("__task", before.alias("__before"))
+    met = placed.withColumn("__task", task).join(F.broadcast(before), "__task")
+    return met.select(*ordered.columns, (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))

@@ -394,9 +394,9 @@ def t17_fuzzy_rerank(spark, d):
 _BYTES = "translate({}, 'ßœæøđħıłŋðþªºµŉĸſ', " + " || ".join(f"chr({k})" for k in range(1, 18)) + ")"
 
 
-@query(f"{_BASE}, {t.words_sql(1, 4)}, wanted AS (SELECT DISTINCT strip_accents(lower(query)) AS wanted FROM queries), vocabulary AS (SELECT DISTINCT term FROM tokens) SELECT wanted, term, CASE WHEN length(wanted) < 5 THEN 0 ELSE levenshtein({_BYTES.format('wanted')}, {_BYTES.format('term')}) END AS edits FROM wanted JOIN vocabulary ON CASE WHEN length(wanted) < 5 THEN term = wanted ELSE length(term) >= 3 AND levenshtein({_BYTES.format('wanted')}, {_BYTES.format('term')}) <= 2 END WHERE wanted <> ''")
+@query(rf"{_BASE}, wanted AS (SELECT DISTINCT unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}\p{{Co}}]+')) AS wanted FROM benchmark), vocabulary AS (SELECT DISTINCT term FROM tokens) SELECT wanted, term, CASE WHEN length(wanted) < 5 THEN 0 ELSE levenshtein({_BYTES.format('wanted')}, {_BYTES.format('term')}) END AS edits FROM wanted JOIN vocabulary ON CASE WHEN length(wanted) < 5 THEN term = wanted ELSE length(term) >= 3 AND levenshtein({_BYTES.format('wanted')}, {_BYTES.format('term')}) <= 2 END WHERE wanted <> ''")
 def t18_fuzzy_expand_terms(spark, d):
-    terms = t.words(spark, d, 1, 4).select(F.explode(index.tokenize(F.col("query"))).alias("term"))
+    terms = t.table(spark, d, "benchmark").select(F.explode(index.tokenize(F.col("text"))).alias("term"))
     return fuzzy.fuzzy_expand_terms(terms, index.build_postings(t.files(spark, d))).select("wanted", "term", F.col("edits").cast("long").alias("edits"))
 
 
@@ -582,12 +582,10 @@ def w4_quote_numbering(spark, d):
     return cards.select("id", "line_number", F.row_number().over(W.partitionBy("id").orderBy("line", "k")).cast("long").alias("nr"))
 
 
-@query(f"WITH {t.FILES} SELECT id, size, row_number() OVER (ORDER BY size DESC, id) AS place FROM files QUALIFY place <= 50")
+@query(f"WITH {t.FILES} SELECT id, size, row_number() OVER (ORDER BY size DESC, id) AS place FROM files")
 def l1_sort_results(spark, d):
-    from pyspark.sql.window import Window as W
-
-    best = rank.sort_results(t.files(spark, d), "size", descending=True).limit(50)
-    return best.select("id", "size", F.row_number().over(W.orderBy(F.col("size").desc(), "id")).cast("long").alias("place"))
+    ordered = rank.sort_results(t.files(spark, d).select("id", "size"), "size", descending=True)
+    return rank.numbered(ordered, "place")
 
 
 @query(f"WITH {t.FILES} SELECT id, name FROM files ORDER BY name, id LIMIT 25")
@@ -733,7 +731,19 @@ def f4_first_match_line(spark, d):
     return t.table(spark, d, "documents").select("doc_id", text.first_match_line(F.col("text"), F.lit("TION")).cast("long").alias("line"))
 
 
-@query()
+# Sides of an occurrence: the sentences that end before it and what follows them, the sentences that end behind it.
+_CARDS = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM documents),
+o AS (SELECT doc_id, nr, unnest(range(1, len(string_split(lower(line), 'tion'))::BIGINT)) AS k, string_split(lower(line), 'tion') AS p, line FROM l WHERE contains(lower(line), 'tion')),
+a AS (SELECT *, (list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * 4)::BIGINT AS p0 FROM o),
+s AS (SELECT *, substr(line, 1, p0) AS l, substr(line, p0 + 5) AS r FROM a),
+e AS (SELECT *, regexp_extract_all(l, '[^。！？；\n.?!]*[。！？；\n.?!]') AS lp, regexp_extract(l, '[^。！？；\n.?!]*$') AS tail, regexp_extract_all(r, '[^。！？；\n.?!]*[。！？；\n.?!]') AS rp FROM s),
+c AS (SELECT *, trim(CASE WHEN len(lp) < 2 THEN l ELSE lp[len(lp)] || tail END) AS l2, trim(CASE WHEN len(lp) < 1 THEN l ELSE tail END) AS l1, trim(CASE WHEN len(rp) < 2 THEN r ELSE rp[1] || rp[2] END) AS r2, trim(CASE WHEN len(rp) < 1 THEN r ELSE rp[1] END) AS r1 FROM e),
+cards AS (SELECT doc_id AS id, nr::INTEGER AS line_number, k::INTEGER AS k, substr(line, p0 + 1, 4) AS keyword,
+  right(CASE WHEN length(l2) < 100 AND length(l) > length(l2) THEN coalesce(nullif(l1, ''), l) ELSE l2 END, 200) AS before,
+  substr(CASE WHEN length(r2) < 100 AND length(r) > length(r2) THEN coalesce(nullif(r1, ''), r) ELSE r2 END, 1, 200) AS after FROM c)"""
+
+
+@query(f"{_CARDS} SELECT * FROM cards WHERE before <> '' OR after <> ''")
 def f5_quote_cards(spark, d):
     return text.quote_cards(t.files(spark, d), F.lit("tion")).select("id", "line_number", "k", "before", "keyword", "after")
 
@@ -847,13 +857,13 @@ def s8_export_results_by_query(spark, d):
     return spark.read.text(folder, wholetext=True).select(F.col("query_id").cast("long").alias("query_id"), F.col("value").alias("document"))
 
 
-@query(f"""WITH {t.FILES}, n AS (SELECT *, row_number() OVER (ORDER BY size DESC, id) AS nr FROM files) SELECT '[' || nr || '] a"<b>, ' || name || chr(10) || 'path: ' || path || chr(10) || 'type: ' || file_type || ' | size: ' || {_SIZE} || ' | modified: ' || {_TIME} || ' | match: content' AS value FROM n WHERE nr <= 200""")
+@query(f"""WITH {t.FILES}, n AS (SELECT *, row_number() OVER (ORDER BY size DESC, id) AS nr FROM files) SELECT '[' || nr || '] a"<b>, ' || name || chr(10) || 'path: ' || path || chr(10) || 'type: ' || file_type || ' | size: ' || {_SIZE} || ' | modified: ' || {_TIME} || ' | match: content' AS value FROM n""")
 def s9_export_txt(spark, d):
     order = [F.col("size").desc(), F.col("id")]
-    return writers.txt_entries(_found(spark, d).orderBy(*order).limit(200), order)
+    return writers.txt_entries(_found(spark, d), order)
 
 
-@query()
+@query(f"{_CARDS} SELECT '## Quote ' || row_number() OVER (PARTITION BY id ORDER BY line_number, k) || chr(10) || '**Line**: ' || line_number || chr(10) || chr(10) || '> ' || before || '**' || keyword || '**' || after || chr(10) AS value FROM cards WHERE before <> '' OR after <> ''")
 def s10_export_quotes(spark, d):
     from pyspark.sql.window import Window as W
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from quillmill import schemas
 from quillmill.functions.text import csv_escape, format_size, html_escape
 from quillmill.operators.index import term_stats
+from quillmill.operators.rank import numbered
 
 CSV_HEADER = "\ufefffile name,path,type,size,modified,match type"
 
@@ -103,9 +104,14 @@ def html_rows(results: DataFrame, snippet: str | None = None) -> DataFrame:
     return results.select(_html_value(snippet).alias("value"))
 
 
+def _entries(results: DataFrame, order: list[Column]) -> DataFrame:
+    placed = numbered(results.orderBy(*order).select(_txt_value(F.lit("")).alias("value")), "__nr")
+    return placed.select("__nr", F.concat(F.lit("["), F.col("__nr"), F.substr("value", F.lit(2))).alias("value"))
+
+
 def txt_entries(results: DataFrame, order: list[Column]) -> DataFrame:
-    """Numbered entries of three lines each. The numbering is over one ordered list, so give it the top results only."""
-    return results.withColumn("__nr", F.row_number().over(W.orderBy(*order))).select(_txt_value(F.col("__nr")).alias("value"))
+    """Numbered entries of three lines each, by the order given; numbers are dealt without bringing the results together."""
+    return _entries(results, order).select("value")
 
 
 def quote_entries(quotes: DataFrame, markdown: bool = True) -> DataFrame:
@@ -140,7 +146,8 @@ def export_html(results: DataFrame, folder: str, title: str = "", snippet: str |
 
 
 def export_txt(results: DataFrame, folder: str, order: list[Column]) -> None:
-    txt_entries(results, order).withColumn("value", F.concat("value", F.lit(_RULE))).coalesce(1).write.mode("overwrite").text(folder)
+    entries = _entries(results, order).repartition(1).sortWithinPartitions("__nr")
+    entries.select(F.concat("value", F.lit(_RULE)).alias("value")).write.mode("overwrite").text(folder)
 
 
 def export_quotes(quotes: DataFrame, folder: str, markdown: bool = True) -> None:

@@ -1,6 +1,7 @@
 """Column functions on the stated cases."""
 
 import io
+import re
 import zipfile
 
 import pytest
@@ -106,31 +107,23 @@ def test_reason_mask(spark):
 
 
 def plain_cards(content, keyword):
-    """Quote cards by the stated rules, in a loop."""
-    ends = "。！？；\n.?!"
+    """Quote cards by the stated rules: all sentence ends of a line first, then the bounds of a card among them."""
 
-    def start(t, n):
-        at = [i for i, c in enumerate(t) if c in ends]
-        return (t[at[-n] + 1 :] if len(at) >= n else t).strip(" ")
+    def chosen(two, one, whole):
+        two, one = two.strip(" "), one.strip(" ")
+        return two if len(two) >= 100 or len(two) == len(whole) else one or whole
 
-    def end(t, n):
-        at = [i for i, c in enumerate(t) if c in ends]
-        return (t[: at[n - 1] + 1] if len(at) >= n else t).strip(" ")
-
-    out = []
+    cards = []
     for nr, line in enumerate(content.split("\n"), 1):
-        at = line.lower().find(keyword.lower())
-        while at != -1:
-            left, right = line[:at], line[at + len(keyword) :]
-            b, a = start(left, 2), end(right, 2)
-            if len(b) < 100 and len(left) > len(b):
-                b = start(left, 1) or left
-            if len(a) < 100 and len(right) > len(a):
-                a = end(right, 1) or right
-            if b or a:
-                out.append((nr, b[-200:], line[at : at + len(keyword)], a[:200]))
-            at = line.lower().find(keyword.lower(), at + len(keyword))
-    return out
+        ends = [m.end() for m in re.finditer("[。！？；.?!]", line)]
+        for hit in re.finditer(re.escape(keyword), line, re.IGNORECASE):
+            low, high = hit.span()
+            starts = [0, 0, *(e for e in ends if e <= low)]
+            stops = [*(e for e in ends if e > high), len(line), len(line)]
+            before = chosen(line[starts[-2] : low], line[starts[-1] : low], line[:low])
+            after = chosen(line[high : stops[1]], line[high : stops[0]], line[high:])
+            cards.append((nr, before[-200:], hit.group(), after[:200]))
+    return [c for c in cards if c[1] or c[3]]
 
 
 def test_quote_cards(spark):

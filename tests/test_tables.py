@@ -4,10 +4,11 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import text
-from quillmill.operators import maintain, results
+from quillmill.operators import maintain, rank, results
 from quillmill.plans import scan, search, tables
 from quillmill.sources import readers, writers
 from quillmill.streaming import changes as ch
@@ -140,6 +141,14 @@ def test_exports(spark, tmp_path):
     assert page.startswith("<!DOCTYPE html>") and "t &amp; u" in page and "&lt;c&gt;.md" in page and page.rstrip().endswith("</html>")
     writers.export_txt(df, str(tmp_path / "txt"), [F.col("id")])
     assert "[1] a,b.txt\npath: /x/a,b.txt\ntype: text | size: 1.5 KB" in read(tmp_path / "txt")
+    whole = read(tmp_path / "txt")
+    both = df.withColumn("query_id", F.lit(7)).unionByName(df.where("id = 2").withColumn("query_id", F.lit(8)))
+    own = lambda kind, q, **more: (writers.export_by_query(both, str(tmp_path / f"by_{kind}"), kind, [F.col("id")], **more), read(tmp_path / f"by_{kind}" / f"query_id={q}"))[1]
+    assert own("txt", 7) == whole and own("txt", 8).startswith("[1] <c>.md\npath: /x/<c>.md\n")
+    assert sorted(own("csv", 7).split("\r\n")) == sorted(lines) and own("csv", 8).split("\r\n") == [lines[0], "<c>.md,/x/<c>.md,,-,-,", ""]
+    assert sorted(own("html", 7, title=F.lit("t & u")).split("\n")) == sorted(page.split("\n")) and own("html", 8).count("<dt>") == 1
+    with pytest.raises(ValueError):
+        own("pdf", 7)
     cards = text.quote_cards(spark.createDataFrame([(1, "one key two")], "id long, content string"), F.lit("key")).withColumn("nr", F.lit(1))
     writers.export_quotes(cards, str(tmp_path / "md"))
     assert "> one**key**two" in read(tmp_path / "md")
@@ -147,6 +156,33 @@ def test_exports(spark, tmp_path):
     assert "...onekeytwo..." in read(tmp_path / "q")
 
 
+def test_numbers_follow_the_sort(spark):
+    rows = spark.range(0, 5000, numPartitions=7).select("id", (F.col("id") * 7919 % 1009).alias("v"))
+    got = rank.numbered(rows.orderBy(F.col("v").desc(), "id"), "place").collect()
+    want = sorted(((r["v"], r["id"]) for r in rows.collect()), key=lambda x: (-x[0], x[1]))
+    assert [(r["v"], r["id"]) for r in sorted(got, key=lambda r: r["place"])] == want and sorted(r["place"] for r in got) == list(range(1, 5001))
+    assert rank.numbered(rows.limit(0).orderBy("id")).count() == 0
+
+
+def test_results_job(spark, tmp_path):
+    """Phrases, exclusions, names, words that no content holds as they are written, repeated files, queries without results."""
+    when = dt.datetime(2024, 1, 1)
+    texts = {1: "start " + "x" * 60 + " the Foo <b> bar and more " + "y" * 90, 2: "bar then foo", 3: "caf\u00e9 only", 4: None, 5: "bar then foo"}
+    rows = [(i, f"/d/n{i}.txt", f"n{i}.txt", len(c or ""), "same" if i in (2, 5) else str(i), "text", c, True, when, when) for i, c in texts.items()]
+    files = spark.createDataFrame(rows, "id long, path string, name string, size long, hash string, file_type string, content string, is_supported boolean, created_at timestamp, updated_at timestamp")
+    asked = [(1, "foo bar"), (2, '"bar then"'), (3, "bar NOT then"), (4, "cafe"), (5, "nothing"), (6, 'name:"n4"'), (7, "zzz OR FOO*"), (8, "")]
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    job = search.results_job(search.Index.build(files, str(tmp_path / "index")), queries, search.Options(dedup=True))
+    got = {(r["query_id"], r["id"]): r["snippet"] for r in job.collect()}
+    cut = "..." + ("x" * 60 + " the ")[-40:] + "<mark>Foo</mark> &lt;b&gt; bar and more " + "y" * (60 - len(" <b> bar and more ")) + "..."
+    assert {k: v for k, v in got.items() if k[1] not in (2, 5)} == {(1, 1): cut, (3, 1): got[3, 1], (4, 3): None, (6, 4): None, (7, 1): cut}
+    assert "<mark>bar</mark>" in got[3, 1]
+    rest = {k[0]: v for k, v in got.items() if k[1] in (2, 5)}
+    assert rest == {1: "bar then <mark>foo</mark>", 2: "<mark>bar then</mark> foo", 7: "bar then <mark>foo</mark>"}
+    places = {q: sorted(r["nr"] for r in job.collect() if r["query_id"] == q) for q in (1, 2, 7)}
+    assert places == {1: [1, 2], 2: [1], 7: [1, 2]}
+
+
 def test_upsert_twice_is_upsert_once(spark):
     files = tables.files(spark, DIR)
     batch = files.orderBy("id").limit(20).withColumns({"content": F.lit("new"), "seq": F.lit(1)}).unionByName(files.orderBy("id").limit(3).withColumns({"path": F.concat("path", F.lit(".x")), "seq": F.lit(1)}))
