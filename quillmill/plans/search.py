@@ -68,6 +68,11 @@ class Index:
     def hits(self, terms: DataFrame, phrases: bool, typos: int = 0, field: str | None = None) -> DataFrame:
         """(query_id, nr, doc_id, f) of the expressions."""
         expanded = match.expand_terms(terms, self.vocabulary, typos)
+        if self.bounds is None:
+            # Postings are counted as they are read: the terms, by a count of their bytes, go to them, so that hits alone leave the tasks.
+            expanded = written(expanded, "terms")
+            size = expanded.agg(F.sum(F.octet_length("term") + 48).alias("bytes")).first()["bytes"] or 0
+            expanded = F.broadcast(expanded) if size <= SENT_BYTES else expanded
         postings = self.postings_of(expanded)
         if field:
             postings = postings.where(F.col("field") == field)
@@ -75,7 +80,8 @@ class Index:
 
     @classmethod
     def of(cls, files: DataFrame, stems: bool = False) -> Index:
-        """An index that is computed anew in every use; for searches over more than a few files see ``build``."""
+        """An index for one search: nothing is written, texts are tokenized for the vocabulary and again for the hits, and postings are not shuffled. For several
+        searches see ``build``."""
         postings = build_postings(files, stems=stems)
         return cls(files, postings, doc_stats(files), term_stats(postings), stems)
 
