@@ -28,6 +28,13 @@ SENT = 1_000_000
 _GONE = "doc_id long"
 
 
+def first_to_merge(segments: list[dict]) -> int | None:
+    """From which segment on those at the end are to be one: there are ``FAN`` and more that are not above the last one's tier; None if there are not."""
+    tier = lambda s: int(math.log(max(s["rows"], 1), FAN))
+    last = [k for k in range(len(segments)) if all(tier(s) <= tier(segments[-1]) for s in segments[k:])]
+    return last[0] if last and len(segments) - last[0] >= FAN else None
+
+
 class LiveIndex:
     """An index in a folder. State: the last batch and the segments from old to new, each with its folder, postings, changed ids and first batch."""
 
@@ -72,13 +79,8 @@ class LiveIndex:
         self._merge_if_due()
 
     def _merge_if_due(self) -> None:
-        while True:
-            segments = self.held.state()["segments"]
-            tier = lambda s: int(math.log(max(s["rows"], 1), FAN))
-            last = [k for k in range(len(segments)) if all(tier(s) <= tier(segments[-1]) for s in segments[k:])]
-            if not last or len(segments) - last[0] < FAN:
-                return
-            self.merge(last[0])
+        while (first := first_to_merge(self.held.state()["segments"])) is not None:
+            self.merge(first)
 
     def merge(self, first: int = 0) -> None:
         """The segments from ``first`` on as one. With the base among them no changed ids are left."""

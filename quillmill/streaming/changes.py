@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -217,6 +218,8 @@ class FilesTable:
     A batch rewrites the buckets of the files that it touches, reads the others not even for their values, and writes the contents that it renews; a manifest then names the folder of
     each bucket and the contents in use. So what is written follows what has changed, a batch that is given again is skipped, and one that breaks off anywhere leaves the table as it was.
     ``compact`` writes the contents in use as one and swaps them by the manifest, too. Folders go when two manifests do not name them.
+
+    What the last batch did is kept until the next one: ``last_change`` gives the rows it touched as they were and as they are, for whatever follows the table.
     """
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
@@ -246,11 +249,34 @@ class FilesTable:
         """The files without their content, and the number of the contents that theirs is among."""
         return self._rows(self.state())
 
+    def _contents(self, numbers: list[int]) -> DataFrame:
+        paths = [f"{self.folder}/contents/content_batch={k}" for k in numbers]
+        schema = "id long, content string, content_batch long"
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/contents").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def read(self) -> DataFrame:
         state = self.state()
-        paths = [f"{self.folder}/contents/content_batch={k}" for k in state["contents"]]
-        contents = self.spark.read.schema("id long, content string, content_batch long").option("basePath", f"{self.folder}/contents").parquet(*paths)
-        return self._rows(state).join(contents, ["id", "content_batch"], "left").drop("content_batch")
+        return self._rows(state).join(self._contents(state["contents"]), ["id", "content_batch"], "left").drop("content_batch")
+
+    def last_change(self) -> tuple[DataFrame, DataFrame]:
+        """The files that the last batch touched, as they were before it and as they are after it, with content: deleted ones are in the first alone, added ones in the second.
+
+        Both are written; give them a scratch. Only the buckets of the batch are read, and of the contents those of the numbers that the touched rows name.
+        """
+        state = self.state()
+        change = state.get("change")
+        if not change:
+            none = self.read().limit(0)
+            return none, none
+        ids = self.spark.read.schema("id long").parquet(f"{self.folder}/touched/{change['version']}")
+
+        def rows(held: dict) -> DataFrame:
+            touched = written(self._rows(state | held).join(ids, "id", "left_semi"), "touched")
+            numbers = [r[0] for r in touched.select("content_batch").distinct().collect()]  # of batches
+            found = touched.select("id", "content_batch").join(self._contents(numbers), ["id", "content_batch"]).select("id", "content")
+            return written(touched.drop("content_batch").join(found, "id", "left"), "changed")
+
+        return rows(change["before"]), rows(change["after"])
 
     def write(self, files: DataFrame, batch: int = 0) -> None:
         """A whole table, content and all."""
@@ -272,31 +298,45 @@ class FilesTable:
 
     def _put(self, state: dict) -> None:
         self.held.put(state)
-        self.held.sweep("rows", lambda s: list(s["rows"].values()))
-        self.held.sweep("contents", lambda s: [f"content_batch={k}" for k in s["contents"]])
-
-    def fold(self, changes: DataFrame, batch: int, contents: DataFrame) -> None:
-        """One micro-batch; give it to foreachBatch. Contents are joined only for the files that the batch renews."""
+        sides = lambda s: [s, *(s["change"][k] for k in ("before", "after") if s.get("change"))]
+        self.held.sweep("rows", lambda s: [v for side in sides(s) for v in side["rows"].values()])
+        self.held.sweep("contents", lambda s: [f"content_batch={k}" for side in sides(s) for k in side["contents"]])
+        self.held.sweep("touched", lambda s: [s["change"]["version"]] if s.get("change") else [])
+
+    def fold(self, changes: DataFrame, batch: int, contents: DataFrame | Callable[[DataFrame], DataFrame]) -> None:
+        """One micro-batch; give it to foreachBatch. Contents are joined only for the files that the batch renews; a function gets the table of these files' paths
+        after the batch (path) and gives the contents of those that it can read, so that nothing else is read."""
         state = self.state()
         if batch <= state["batch"]:
             return
+        if changes.isEmpty():
+            self._put(state | {"batch": batch, "change": None})
+            return
         number, now = state["next"], F.current_timestamp()
         with scratch():
-            files, contents = self._rows(state), one_of_each(contents)
-            values = _values(files)
+            files = self._rows(state)
+            values, net = _values(files), written(net_changes(files, changes), "net-changes")
+            if callable(contents):
+                contents = written(contents(net.where("renew").select(F.col("final").alias("path"))), "contents")
+            contents = one_of_each(contents)
             told = contents.drop("content").withColumn("content_batch", F.lit(number).cast("long"))
-            known, added = _outcome(written(net_changes(files, changes), "net-changes"), told, values)
+            known, added = _outcome(net, told, values)
             known = written(known, "known")
             added = written(_added(added, files, now), "added")
-            touched = known.select("id").unionByName(added.select("id")).select(self._bucket(F.col("id"), state).alias("b")).distinct()
-            buckets = sorted(r["b"] for r in touched.collect())  # as many as there are buckets at most
+            touched = known.select("id").unionByName(added.select("id"))
+            buckets = sorted(r["b"] for r in touched.select(self._bucket(F.col("id"), state).alias("b")).distinct().collect())  # as many as there are buckets at most
+            change = None
             if buckets:
                 rows = written(_changed(self._rows(state, buckets), known, values, now).unionByName(added), "rows")
                 renewed = rows.where(F.col("content_batch") == number).select("id", "path")
                 self._put_contents(renewed.join(contents.select("path", "content"), "path").select("id", "content"), number)
                 version = self._put_rows(rows, state)
-                state = state | {"rows": state["rows"] | {str(b): version for b in buckets}, "contents": [*state["contents"], number], "next": number + 1}
-            self._put(state | {"batch": batch})
+                touched.write.parquet(f"{self.folder}/touched/{version}")
+                before = {"rows": {str(b): state["rows"][str(b)] for b in buckets}, "contents": state["contents"]}
+                after = {"rows": {str(b): version for b in buckets}, "contents": [*state["contents"], number]}
+                change = {"version": version, "before": before, "after": after}
+                state = state | {"rows": state["rows"] | after["rows"], "contents": after["contents"], "next": number + 1}
+            self._put(state | {"batch": batch, "change": change})
 
     def compact(self) -> None:
         """All contents in use as those of one number; the others go when two manifests do not name them."""
