@@ -13,9 +13,11 @@ from quillmill.operators import filters, fuzzy, index, joins, maintain, match, r
 from quillmill.plans import scan
 from quillmill.plans import search as plans
 from quillmill.plans import tables as t
+from quillmill.plans.folder_counts import FolderCounts
 from quillmill.plans.live_index import LiveIndex
 from quillmill.sources import readers, writers
 from quillmill.streaming import changes as ch
+from quillmill.streaming import follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -959,18 +961,37 @@ def r3_pending_state(spark, d):
     return ch.pending_state(t.changes(spark, d)).withColumn("start", F.unix_seconds("start"))
 
 
-@query(f"""WITH {t.JOURNAL}, e AS (SELECT *, CASE WHEN reason = 67108864 THEN usn END AS o FROM journal WHERE reason IN (67108864, 134217728)),
+def _halves(records):
+    """The old and new names in a journal."""
+    kind = F.when(F.col("reason") == journal.RENAMED_OLD, "rename_old").when(F.col("reason") == journal.RENAMED_NEW, "rename_new")
+    return records.select("file_id", F.col("usn").alias("seq"), journal.filetime_to_ts(F.col("filetime")).alias("ts"), kind.alias("event"), F.col("file_name").alias("path")).where("event IS NOT NULL")
+
+
+_PAIRS = f"""WITH {t.JOURNAL}, e AS (SELECT *, CASE WHEN reason = 67108864 THEN usn END AS o FROM journal WHERE reason IN (67108864, 134217728)),
 p AS (SELECT *, max(o) OVER (PARTITION BY file_id ORDER BY usn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e)
-SELECT p.usn AS seq, p.file_name AS path, CASE WHEN j.ts >= p.ts - INTERVAL 1 DAY THEN j.file_name END AS old_path FROM p LEFT JOIN journal j ON j.usn = p.last WHERE p.reason = 134217728""")
+SELECT p.usn AS seq, p.file_name AS path, CASE WHEN j.ts >= p.ts - INTERVAL 1 DAY THEN j.file_name END AS old_path FROM p LEFT JOIN journal j ON j.usn = p.last WHERE p.reason = 134217728"""
+
+
+@query(_PAIRS)
 def r4_pair_renames(spark, d):
-    j = t.journal(spark, d).withColumn("ts", journal.filetime_to_ts(F.col("filetime")))
-    kind = F.when(F.col("reason") == journal.RENAMED_OLD, "rename_old").when(F.col("reason") == journal.RENAMED_NEW, "rename_new")
-    records = j.select("file_id", F.col("usn").alias("seq"), "ts", kind.alias("event"), F.col("file_name").alias("path")).where("event IS NOT NULL")
+    records = _halves(t.journal(spark, d))
     paired = ch.pair_renames(records.withColumn("path", F.concat_ws("|", F.col("seq").cast("string"), "path")), "1 day")
     after = lambda c: F.substring_index(c, "|", -1)
     return paired.select(F.substring_index("path", "|", 1).cast("long").alias("seq"), after("path").alias("path"), after("old_path").alias("old_path"))
 
 
+@query(f"{_PAIRS} AND epoch_us(p.ts) // 1000 <= (SELECT max(epoch_us(ts) // 1000) FROM e) - 600000")
+def r4_pair_renames_running(spark, d):
+    """The same as a stream over the events, its open names in keyed state: all that the watermark has passed when the events end."""
+    follow.use_keyed_state(spark)
+    events = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events*.parquet")
+    out = follow.pair_renames_running(_halves(t.as_journal(events)).withWatermark("ts", ch.LATE), 24 * 3600).select("seq", "path", "old_path")
+    folder = t.shared_folder(spark, "pairs")
+    run = out.writeStream.format("parquet").option("path", folder).option("checkpointLocation", t.shared_folder(spark, "pairs-state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(folder)
+
+
 _FOLD = f"""WITH RECURSIVE {t.CHANGES}, ev AS (
   SELECT seq, ts, CASE WHEN NOT is_dir THEN event WHEN event = 'deleted' THEN 'folder_deleted' WHEN event = 'renamed' THEN 'folder_renamed' WHEN event = 'created' THEN 'folder_created' ELSE event END AS event,
          CASE WHEN is_dir AND event = 'renamed' THEN volume || '/new' WHEN is_dir AND event = 'deleted' THEN volume || '/new' ELSE path END AS path,
@@ -989,27 +1010,47 @@ life AS (
     FROM life l JOIN touch t ON t.nr > l.since AND (CASE WHEN t.below THEN starts_with(l.place, t.at_path || '/') ELSE l.place = t.at_path END) WHERE l.place IS NOT NULL)
   WHERE k = 1),
 fate AS (SELECT born, home, arg_max(place IS NULL, since) AS dead, arg_max(coalesce(place, ''), since) AS place FROM life GROUP BY born, home),
-final AS (SELECT place AS path, min(born) AS born, max(born) AS last FROM fate WHERE NOT dead GROUP BY place), told AS (SELECT DISTINCT path FROM changes)
-SELECT path, regexp_extract(path, '[^/]*$') AS name, CASE WHEN last > 0 AND path IN (SELECT path FROM told) THEN '2025' ELSE '2023' END AS updated, born > 0 AS added
+final AS (SELECT place AS path, min(born) AS born, max(born) AS last, arg_min(home, born) AS home FROM fate WHERE NOT dead GROUP BY place), told AS (SELECT DISTINCT path FROM changes)"""
+_FOLDED = f"""{_FOLD} SELECT path, regexp_extract(path, '[^/]*$') AS name, CASE WHEN last > 0 AND path IN (SELECT path FROM told) THEN '2025' ELSE '2023' END AS updated, born > 0 AS added
 FROM final WHERE born = 0 OR path IN (SELECT path FROM told)"""
 
 
-@query(_FOLD)
-def r5_apply_changes(spark, d):
-    """The changes of the events folded into a table of the files they name; a directory's events are of the folder of its volume."""
+def _batch(spark, d):
+    """A table of files that the events name, the changes that they are, a directory's of the folder of its volume, and what is read of the paths."""
     all_ = t.changes(spark, d)
     kind = journal.map_dir_event(F.col("event"), F.col("is_dir"))
     new = F.concat("volume", F.lit("/new"))
     c = all_.select("seq", "ts", kind.alias("event"), F.when(kind.isin("folder_renamed", "folder_deleted"), new).otherwise(F.col("path")).alias("path"), F.when(kind == "folder_renamed", F.col("volume")).otherwise(F.col("old_path")).alias("old_path"))
     known = all_.select("path").distinct().where("path LIKE '%0.txt'")
-    columns = {"name": paths.basename(F.col("path")), "size": F.lit(1).cast("long"), "hash": F.md5("path"), "file_type": F.lit("text"), "content": F.col("path"), "is_supported": F.lit(True)}
+    columns = {"name": paths.basename(F.col("path")), "size": F.length("path").cast("long"), "hash": F.md5("path"), "file_type": F.lit("text"), "content": F.col("path"), "is_supported": F.lit(True)}
     when = F.lit("2023-01-01").cast("timestamp")
     old = known.withColumns(columns | {"id": F.xxhash64("path"), "created_at": when, "updated_at": when})
     contents = all_.select("path").distinct().withColumns(columns)
-    out = ch.apply_changes(old.select("id", "path", *columns, "created_at", "updated_at"), c, contents, F.lit("2025-01-01").cast("timestamp"))
+    return old.select("id", "path", *columns, "created_at", "updated_at"), c, contents
+
+
+@query(_FOLDED)
+def r5_apply_changes(spark, d):
+    """The changes of the events folded into a table of the files they name."""
+    out = ch.apply_changes(*_batch(spark, d), F.lit("2025-01-01").cast("timestamp"))
     return out.select("path", "name", F.date_format("updated_at", "yyyy").alias("updated"), (F.year("created_at") == 2025).alias("added"))
 
 
+@query(f"""{_FOLD}, folded AS (
+  SELECT string_split(path, '/') AS parts, CASE WHEN last > 0 AND path IN (SELECT path FROM told) THEN length(path) ELSE length(home) END AS size FROM final WHERE born = 0 OR path IN (SELECT path FROM told)),
+below AS (SELECT unnest(list_transform(range(2, len(parts)), lambda k: array_to_string(parts[1:k], '/'))) AS path, size FROM folded)
+SELECT path, count(*) AS file_count, sum(size)::BIGINT AS total_size FROM below GROUP BY path""")
+def m6_folder_counts_by_changes(spark, d):
+    """The folders' counts of the table before the changes, and what the changes add to them and take from them."""
+    files, c, contents = _batch(spark, d)
+    table, counts = ch.FilesTable(spark, t.shared_folder(spark, "files")), FolderCounts(spark, t.shared_folder(spark, "counts"))
+    table.write(files, -1)
+    counts.create(table.rows())
+    table.fold(c, 0, contents)
+    follow.Follower(table, lambda due: due, counts=counts).catch_up()
+    return counts.read()
+
+
 @query(f"WITH {t.CHANGES} SELECT {_START} AS start, event, count(*) AS n FROM changes GROUP BY ALL")
 def r6_windowed_event_counts(spark, d):
     return ch.windowed_event_counts(t.changes(spark, d)).withColumn("start", F.unix_seconds("start"))

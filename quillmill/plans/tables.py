@@ -111,9 +111,14 @@ CHANGES = """changes AS (
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_journal(table(spark, sf_dir, "events"))
+
+
+def as_journal(events: DataFrame) -> DataFrame:
+    """events, as a batch or a stream, as records of a change journal."""
     kinds = {"signup": 0x1000000, "error": 0x2000000, "purchase": 0x4000000, "view": 0x8000000, "click": 0x5}
     reason = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("file_id"),
         (F.col("user_id") % 10).alias("parent_id"),
         F.col("event_id").alias("usn"),

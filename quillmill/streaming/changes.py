@@ -268,6 +268,8 @@ class FilesTable:
         if not change:
             none = self.read().limit(0)
             return none, none
+        if "before" not in change:
+            raise RuntimeError("the last change went with a compaction: what follows the table is to be built anew if it lacks it")
         ids = self.spark.read.schema("id long").parquet(f"{self.folder}/touched/{change['version']}")
 
         def rows(held: dict) -> DataFrame:
@@ -298,10 +300,10 @@ class FilesTable:
 
     def _put(self, state: dict) -> None:
         self.held.put(state)
-        sides = lambda s: [s, *(s["change"][k] for k in ("before", "after") if s.get("change"))]
+        sides = lambda s: [s, *((s.get("change") or {}).get(k, {"rows": {}, "contents": []}) for k in ("before", "after"))]
         self.held.sweep("rows", lambda s: [v for side in sides(s) for v in side["rows"].values()])
         self.held.sweep("contents", lambda s: [f"content_batch={k}" for side in sides(s) for k in side["contents"]])
-        self.held.sweep("touched", lambda s: [s["change"]["version"]] if s.get("change") else [])
+        self.held.sweep("touched", lambda s: [v for v in [(s.get("change") or {}).get("version")] if v])
 
     def fold(self, changes: DataFrame, batch: int, contents: DataFrame | Callable[[DataFrame], DataFrame]) -> None:
         """One micro-batch; give it to foreachBatch. Contents are joined only for the files that the batch renews; a function gets the table of these files' paths
@@ -339,9 +341,9 @@ class FilesTable:
             self._put(state | {"batch": batch, "change": change})
 
     def compact(self) -> None:
-        """All contents in use as those of one number; the others go when two manifests do not name them."""
+        """All contents in use as those of one number; the others go when two manifests do not name them. The last change goes, too: bring what follows the table up to it first."""
         state = self.state()
         number = state["next"]
         self._put_contents(self.read().select("id", "content"), number)
         version = self._put_rows(self._rows(state).withColumn("content_batch", F.lit(number).cast("long")), state)
-        self._put(state | {"rows": {b: version for b in state["rows"]}, "contents": [number], "next": number + 1})
+        self._put(state | {"rows": {b: version for b in state["rows"]}, "contents": [number], "next": number + 1, "change": state.get("change") and {"gone": True}})

@@ -179,11 +179,21 @@ class Follower:
             later = kept.where("NOT due AND event = 'renamed'").select("path").join(due, "path", "left_anti")
             events = kept.withColumn("event", F.when(F.col("due"), "modified").otherwise(F.col("event"))).drop("due")
             self.table.fold(events, number, lambda renewed: self.read(renewed.join(later, "path", "left_anti")))
-            behind = [f for f in self.followers if f.held.state()["batch"] < number]
-            if behind and not self.table.state().get("change"):
-                for f in behind:
-                    f.held.put(f.held.state() | {"batch": number})
-            elif behind:
+            self.catch_up()
+
+    def catch_up(self) -> None:
+        """Index and counts at the table's last batch; they are one behind it at most, as a batch is done when they have it."""
+        number = self.table.state()["batch"]
+        behind = [f for f in self.followers if f.held.state()["batch"] < number]
+        if behind and not self.table.state().get("change"):
+            for f in behind:
+                f.held.put(f.held.state() | {"batch": number})
+        elif behind:
+            with scratch():
                 before, after = self.table.last_change()
                 for f in behind:
                     f.update(before, after, number)
+
+    def compact(self) -> None:
+        self.catch_up()
+        self.table.compact()

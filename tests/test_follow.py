@@ -107,12 +107,14 @@ def test_counts_after_random_batches(spark, tmp_path):
         c = spark.createDataFrame(events, "seq long, ts timestamp, event string, path string, old_path string")
         seen = {e[3] for e in events if not e[2].startswith("folder")}
         table.fold(c, n, _told(spark, {p: "y" * rnd.randrange(30) for p in seen} or {"/none": ""}))
-        if n == 2:
-            table.compact()
         with written.scratch():
             before, after = table.last_change()
             counts.update(before, after, n)
             counts.update(before, after, n)
+        if n == 2:
+            table.compact()
+            with pytest.raises(RuntimeError, match="compaction"):
+                table.last_change()
         plain = {}
         for r in table.rows().collect():
             parts = r["path"].split("/")
