@@ -190,7 +190,9 @@ def word_hashes(data: bytes, outside: np.ndarray = _SPACE) -> tuple[np.ndarray,
         return start, end, np.empty(0, dtype=np.uint64)
     pow_, inv = _powers(len(raw) + 1)
     with np.errstate(over="ignore"):
-        total = np.cumsum(_BYTE[raw] * pow_[: len(raw)], dtype=np.uint64)
+        total = _BYTE[raw]
+        total *= pow_[: len(raw)]
+        np.cumsum(total, out=total)
         before = np.where(start > 0, total[start - 1], U(0))
         hashed = (total[end - 1] - before) * inv[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93)
     return start, end, mix(hashed)

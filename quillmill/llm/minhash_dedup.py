@@ -40,17 +40,21 @@ SIMILARITY = 0.8
 BANDS, ROWS = 22, 6
 FIRST_BANDS = 4
 BLOCK = 256
+#: So many characters, one text at least, are hashed at a time; it bounds a worker's memory and changes no result.
+PIECE = 400_000
 
 
 def _words(texts: list[str | None]) -> Iterator[np.ndarray]:
     """Word hashes of each text."""
-    data, ends = joined([(t or "").lower() for t in texts])
-    start, _, words = word_hashes(data)
-    until = np.searchsorted(start, ends)
-    begin = 0
-    for end in until:
-        yield words[begin:end]
-        begin = end
+    run = np.cumsum([len(t or "") for t in texts]) // PIECE
+    for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(run)) + 1):
+        data, ends = joined([(texts[i] or "").lower() for i in some])
+        start, _, words = word_hashes(data)
+        until = np.searchsorted(start, ends)
+        begin = 0
+        for end in until:
+            yield words[begin:end]
+            begin = end
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -115,6 +119,14 @@ def band_keys(texts: list[str | None]) -> list[np.ndarray]:
     return keys
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, ta, tb) -> (id, ta, tb, keys)"""
+    for batch in pieces(batches, "text", PIECE):
+        keys = band_keys(batch.column(1).to_pylist())
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists], ["id", "ta", "tb", "keys"])
+
+
 def spanning_links(sets: list[np.ndarray], groups: np.ndarray, similarity: float = SIMILARITY, left: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join the given groups of one unit of work, as many as unions; with ``left`` only between left and right."""
     n = len(sets)
@@ -222,14 +234,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     rows = _with_identity(docs, id_col, text_col)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 2_000_000):
-            keys = band_keys(batch.column(1).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists], ["id", "ta", "tb", "keys"])
-
-    hashes = rows.mapInArrow(hashed, "id long, ta long, tb long, keys array<long>").where(F.size("keys") > 0)
+    hashes = rows.mapInArrow(_hashed, "id long, ta long, tb long, keys array<long>").where(F.size("keys") > 0)
     classes = hashes.groupBy("ta", "tb").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     # Both signatures share buckets; a text stands once in each.

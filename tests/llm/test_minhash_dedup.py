@@ -119,3 +119,29 @@ def test_a_much_repeated_passage_hides_no_near_copy(spark):
     want = brute(rows)
     assert sum(not kept for _, _, kept in want) == 30
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_hashing_holds_little_memory():
+    """A worker's arrays are bounded by a piece of text, whatever the batch; the pieces change no bucket and no set."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices(["alpha", "beta", "gamma", "delta", "a", "of", "longer-word"], k=draw.randint(0, 700))) for _ in range(1500)] + [None, ""]
+    assert sum(len(t or "") for t in texts) > 2_500_000
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(texts), ids, ids], ["id", "text", "ta", "tb"])
+    md.shingle_sets(texts[:1])
+    tracemalloc.start()
+    sets = md.shingle_sets(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    assert most < 45e6
+    tracemalloc.reset_peak()
+    buckets = [k for out in md._hashed(iter([batch])) for k in out.column(3).to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 70e6
+    for i in (0, 1, 700, 1499, 1500, 1501):
+        assert buckets[i] == md.band_keys([texts[i]])[0].tolist() and (sets[i] == md.shingle_sets([texts[i]])[0]).all()
