@@ -87,3 +87,21 @@ def test_a_file_of_another_kind_is_refused(tmp_path):
     (tmp_path / "other.json").write_text(json.dumps(spec))
     with pytest.raises(ValueError):
         bpe.load_vocabulary(str(tmp_path / "other.json"))
+
+
+def test_words_side_by_side(monkeypatch):
+    """Words that repeat seldom are merged in arrays, not one by one; a table that fills up changes nothing."""
+    import random
+
+    draw = random.Random(7)
+    texts = [" ".join("".join(draw.choices("aeinorstlhé'ñ日9", k=draw.randint(1, 30))) for _ in range(300)) for _ in range(20)] + TEXTS
+    want = [REAL.encode(t, add_special_tokens=False).ids for t in texts]
+    for kept in (0, 500, 60_000):
+        monkeypatch.setattr(bpe, "KEPT_WORDS", kept)
+        encoder, turns, alone = bpe.Encoder(bpe.load_vocabulary(PATH)), [], []
+        monkeypatch.setattr(encoder, "_rank", lambda a, b, rank=encoder._rank: turns.append(len(a)) or rank(a, b))
+        monkeypatch.setattr(encoder, "merge", lambda f, merge=encoder.merge: alone.append(f) or merge(f))
+        got = [x for k in range(0, len(texts), 7) for x in encoder.encode_all(texts[k : k + 7])]
+        assert [([int(x) for x in ids.split()], decoded, n) for ids, decoded, n in got] == [(w, REAL.decode(w, skip_special_tokens=False), len(w)) for w in want]
+        assert len(turns) < 400  # of some 6,000 words
+        assert {c for f in alone for c in "".join(f).removesuffix("</w>")} <= set("xab%*")  # of the long words only
