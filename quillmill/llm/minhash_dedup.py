@@ -251,7 +251,9 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> D
     labelled = placed.where(F.col("t") >= FIRST_BANDS).join(joined_first, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
     mixed = labelled.groupBy("t", "key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("t", "key")
     second = materialize(_compare(labelled.join(mixed, ["t", "key"]), held, similarity), "links")
-    whole = components(first.union(second)).withColumnsRenamed({"id": "node"})
+    # The first pass's groups stand for its links as stars, which need one round however long its chains were.
+    stars = joined_first.select(F.col("node").alias("a"), F.col("grp").alias("b"))
+    whole = components(stars.union(second)).withColumnsRenamed({"id": "node"})
     named = classes.select("node", "ta", "tb", "least", "copies").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_texts"))
     return materialize(named.join(names, "component").where("n_texts > 1 OR copies > 1").select("ta", "tb", "component_id", "n_texts"), "named")

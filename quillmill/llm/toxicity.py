@@ -172,6 +172,31 @@ def _end(row: Column, symbols: int) -> Column:
     return row.bitwiseAND(F.lit((1 << (8 * symbols)) - 1))
 
 
+def shared_chances(rows: DataFrame) -> DataFrame:
+    """rows: row, each one once -> (end, shared), a written table: P(w | h) of all different ends, of ``SHARED[0]`` symbols, that rows have.
+
+    It depends on the end alone, so ends meet their contexts and not the rows. Each level is written: a plan of all of them at once is
+    planned anew after each of its stages, which takes memory of the driver.
+    """
+    longer, levels = rows, []
+    for m in SHARED:
+        kinds = materialize(longer.groupBy(_end(F.col("row"), m).alias("row")).agg(F.count(F.lit(1)).alias("k")), "toxic-kinds")
+        around = kinds.groupBy(F.shiftright("row", 8).alias("context")).agg(F.sum("k").alias("s"), F.count(F.lit(1)).alias("t"))
+        levels.append(kinds.withColumn("context", F.shiftright("row", 8)).join(_sent_if_short(around, m - 1), "context"))
+        longer = kinds.select("row")
+    own, rest = F.greatest(F.col("k") - SHARED_DISCOUNT, F.lit(0.0)) / F.col("s"), F.lit(SHARED_DISCOUNT) * F.col("t") / F.col("s")
+    shared = levels[-1].select(F.col("row").alias("end"), (own + rest * F.lit(1.0 / 256)).alias("shared"))
+    for level, m in zip(levels[-2::-1], SHARED[:0:-1]):
+        shorter = _sent_if_short(materialize(shared, "toxic-shared"), m)
+        shared = level.withColumn("end", _end(F.col("row"), m)).join(shorter, "end").select(F.col("row").alias("end"), (own + rest * F.col("shared")).alias("shared"))
+    return materialize(shared, "toxic-shared")
+
+
+def _sent_if_short(table: DataFrame, symbols: int) -> DataFrame:
+    """A table with a line for each of some rows of so many symbols; for two symbols there are 65,536 at most, which are broadcast."""
+    return F.broadcast(table) if symbols <= 2 else table
+
+
 def differences(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """counts: row, n0, n1 -> (row, n, value, whether above D in a class) and (context, n, value) as the module's text says."""
     totals = counts.agg(F.sum("n0"), F.sum("n1")).first()
@@ -181,20 +206,7 @@ def differences(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = [F.least(F.col(f"n{c}"), F.lit(DISCOUNT)) for c in (0, 1)]
     by_context = seen.groupBy("context").agg(F.sum("n").alias("s"), *[F.sum(f"n{c}").alias(f"s{c}") for c in (0, 1)], *[F.sum(least[c]).alias(f"m{c}") for c in (0, 1)])
     back = [F.when(F.col(f"s{c}") > 0, F.col(f"m{c}") / F.col(f"s{c}")).otherwise(F.lit(1.0)) for c in (0, 1)]
-    frame = seen.join(by_context, "context")
-    # Shared continuation counts, longest first; each level's context is what comes before the row's last symbol.
-    levels = []
-    for k, m in enumerate(SHARED):
-        frame = frame.withColumns({f"r{m}": _end(F.col("row"), m), f"c{m}": F.shiftright(_end(F.col("row"), m), 8)})
-        longer = seen.select("row") if k == 0 else seen.select(_end(F.col("row"), SHARED[k - 1]).alias("row")).distinct()
-        kinds = longer.groupBy(_end(F.col("row"), m).alias(f"r{m}")).agg(F.count(F.lit(1)).alias(f"k{m}"))
-        around = kinds.groupBy(F.shiftright(f"r{m}", 8).alias(f"c{m}")).agg(F.sum(f"k{m}").alias(f"s{m}_"), F.count(F.lit(1)).alias(f"t{m}_"))
-        frame = frame.join(kinds, f"r{m}").join(around, f"c{m}")
-        levels.append((F.greatest(F.col(f"k{m}") - SHARED_DISCOUNT, F.lit(0.0)) / F.col(f"s{m}_"), F.lit(SHARED_DISCOUNT) * F.col(f"t{m}_") / F.col(f"s{m}_")))
-    shared = F.lit(1.0 / 256)
-    for own, rest in reversed(levels):
-        shared = own + rest * shared
-    frame = frame.withColumn("shared", shared)
+    frame = seen.join(by_context, "context").withColumn("end", _end(F.col("row"), SHARED[0])).join(shared_chances(seen.select("row")), "end")
     p = [F.when(F.col(f"s{c}") > 0, F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"s{c}")).otherwise(F.lit(0.0)) + back[c] * F.col("shared") for c in (0, 1)]
     above = F.greatest("n0", "n1") > DISCOUNT
     rows = frame.select("row", "n", (F.log(p[1]) - F.log(p[0])).alias("value"), above.alias("above"))

@@ -145,3 +145,22 @@ def test_hashing_holds_little_memory():
     assert most < 70e6
     for i in (0, 1, 700, 1499, 1500, 1501):
         assert buckets[i] == md.band_keys([texts[i]])[0].tolist() and (sets[i] == md.shingle_sets([texts[i]])[0]).all()
+
+
+def test_a_chain_is_contracted_once(spark, monkeypatch):
+    """The first pass's groups go into the second search for components, not its chains of links."""
+    from quillmill.llm import components as cc
+
+    rounds, write, search = [], cc.materialize, md.components
+
+    def written(df, name):
+        rounds[-1] += name == "representatives"
+        return write(df, name)
+
+    monkeypatch.setattr(cc, "materialize", written)
+    monkeypatch.setattr(md, "components", lambda edges: (rounds.append(0), search(edges))[1])
+    words = [f"w{i}" for i in range(250)]
+    docs = [(i, " ".join(words[i : i + 100])) for i in range(150)]
+    out = md.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in out} == {0} and len(out) == 150
+    assert len(rounds) == 2 and rounds[0] > 1 and rounds[1] == 1, rounds

@@ -86,6 +86,14 @@ def test_differences_against_a_loop(spark):
     assert {r["row"] for r in contexts.collect()} == set(context)
 
 
+def test_a_model_is_planned_in_small_parts(spark):
+    df = spark.createDataFrame([(0x6162, 8, 2), (0x6163, 2, 0), (0x61626364, 3, 9)], "row long, n0 long, n1 long")
+    rows, _ = tox.differences(df)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and plan.count("Aggregate ") == 1, plan
+    assert rows.count() == 3
+
+
 def test_table_lookup():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(1, 2**55, 50_000))
