@@ -21,6 +21,11 @@ def tokenize(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(F.lower(text), _FOLDED, _PLAIN), F.lit(TOKEN), 0), F.array().cast("array<string>"))
 
 
+def spaced(text: Column) -> Column:
+    """The same tokens as one text, with a space between them; empty for null."""
+    return F.coalesce(F.regexp_replace(F.translate(F.lower(text), _FOLDED, _PLAIN), r"[^\p{L}\p{N}\p{Co}]+", " "), F.lit(""))
+
+
 def porter_stem(word: str) -> str:
     """M. F. Porter's suffix stripping, 1980, as published."""
     if len(word) <= 2 or not word.isascii() or not word.isalpha():
@@ -135,7 +140,11 @@ def _stemmed_postings(files: DataFrame, id_col: str, fields: tuple[str, ...]) ->
 
 def doc_stats(files: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(doc_id, n_tokens) over all indexed fields; no shuffle."""
-    return files.select(F.col(id_col).alias("doc_id"), sum(F.size(tokenize(F.col(f))) for f in fields).cast("long").alias("n_tokens"))
+    return files.select(F.col(id_col).alias("doc_id"), n_tokens(fields).alias("n_tokens"))
+
+
+def n_tokens(fields: tuple[str, ...] = FIELDS) -> Column:
+    return sum(F.size(tokenize(F.col(f))) for f in fields).cast("long")
 
 
 def term_stats(postings: DataFrame) -> DataFrame:

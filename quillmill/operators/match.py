@@ -1,7 +1,7 @@
 """Which files match which queries: many queries at once, against the postings.
 
 A query's expressions are rows (query_id, nr, p, n, term, kind), one for each token, kind being 'prefix' or 'exact'. Every operator gives
-(query_id, doc_id) rows without repeats. Postings are only joined with the terms that the queries name.
+(query_id, doc_id) rows without repeats. Postings are only joined with the terms that the queries name. For searches that are made once, ``Texts`` can stand in their place.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.operators import unindexed
 from quillmill.operators.fuzzy import fuzzy_expand_terms
 from quillmill.operators.index import FIELDS, stem_terms, tokenize
+from quillmill.operators.unindexed import Texts
 from quillmill.sources.written import written
 
 #: A quoted phrase, or what stands between spaces.
@@ -99,15 +101,19 @@ def _hits(terms: DataFrame, postings: DataFrame, field: str | None) -> DataFrame
     return term_hits(expand_terms(terms, postings), postings).select("query_id", "nr", "doc_id")
 
 
-def match_all(terms: DataFrame, postings: DataFrame, field: str | None = None) -> DataFrame:
+def match_all(terms: DataFrame, postings: DataFrame | Texts, field: str | None = None) -> DataFrame:
     """Files that hold every expression of the query."""
+    if isinstance(postings, Texts):
+        return unindexed.match(terms, postings, field)
     wanted = terms.groupBy("query_id").agg(F.count_distinct("nr").alias("wanted"))
     counted = _hits(terms, postings, field).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return counted.join(wanted, "query_id").where("n = wanted").select("query_id", "doc_id")
 
 
-def match_any(terms: DataFrame, postings: DataFrame, field: str | None = None) -> DataFrame:
+def match_any(terms: DataFrame, postings: DataFrame | Texts, field: str | None = None) -> DataFrame:
     """Files that hold any expression of the query."""
+    if isinstance(postings, Texts):
+        return unindexed.match(terms, postings, field, any_of=True)
     return _hits(terms, postings, field).select("query_id", "doc_id").distinct()
 
 
@@ -124,16 +130,25 @@ def match_exact_term(terms: DataFrame, postings: DataFrame) -> DataFrame:
     return match_all(terms.withColumn("kind", F.lit("exact")), postings)
 
 
-def match_field(terms: DataFrame, postings: DataFrame, field: str = "name") -> DataFrame:
+def match_field(terms: DataFrame, postings: DataFrame | Texts, field: str = "name") -> DataFrame:
     return match_all(terms, postings, field)
 
 
-def match_phrase(phrases: DataFrame, postings: DataFrame, phrase_col: str = "phrase") -> DataFrame:
+def match_all_but(terms: DataFrame, excluded_terms: DataFrame, postings: DataFrame | Texts, field: str | None = None) -> DataFrame:
+    """``match_all`` and ``match_not`` in one: of texts, each is looked at once for both."""
+    if isinstance(postings, Texts):
+        return unindexed.match(terms, postings, field, excluded=excluded_terms)
+    return match_not(match_all(terms, postings, field), excluded_terms, postings, field)
+
+
+def match_phrase(phrases: DataFrame, postings: DataFrame | Texts, phrase_col: str = "phrase") -> DataFrame:
     """Files with the tokens of a phrase in a row in one field.
 
     A token at place p of a phrase, found at place q, votes for a start at q - p; a start with a vote of every token is a match.
     """
     tokens = phrases.select("query_id", F.posexplode(tokenize(F.col(phrase_col))).alias("p", "term"), F.size(tokenize(F.col(phrase_col))).alias("n"))
+    if isinstance(postings, Texts):
+        return unindexed.match(tokens.withColumns({"nr": F.lit(0), "kind": F.lit("exact")}), postings)
     found = tokens.join(postings.select("term", "doc_id", "field", "positions"), "term")
     votes = found.select("query_id", "doc_id", "field", "n", "p", F.explode("positions").alias("q")).withColumn("start", F.col("q") - F.col("p"))
     return votes.groupBy("query_id", "doc_id", "field", "start", "n").agg(F.count(F.lit(1)).alias("k")).where("k = n").select("query_id", "doc_id").distinct()
