@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.paths import ancestors, normalized
+from quillmill.sources.written import sent
 
 
 def fts_join(hits: DataFrame, files: DataFrame) -> DataFrame:
-    """Hits with the columns of their files; do it after the top results are chosen."""
-    return hits.join(files.withColumnRenamed("id", "doc_id"), "doc_id")
+    """Hits with the columns of their files; do it after the top results are chosen: few hits are sent to the files, whose contents are read in their place."""
+    met = files.withColumnRenamed("id", "doc_id").join(sent(hits, "hits"), "doc_id")
+    return met.select("doc_id", *[c for c in hits.columns if c != "doc_id"], *[c for c in files.columns if c != "id"])
 
 
 def tags_for_files(paths: DataFrame, file_tags: DataFrame, tags: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of rows that are sent to the other side of a join; more are joined by a shuffle.
+SENT_BYTES = 64 << 20
 
 _LEFT: list[str] = []
 _OPEN: list[scratch] = []
@@ -37,6 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def sent(df: DataFrame, name: str) -> DataFrame:
+    """df, written, and to be sent to the other side of a join if its rows are few by a count of their bytes."""
+    kept = written(df, name)
+    size = kept.agg(F.sum(F.octet_length(F.to_json(F.struct(*kept.columns)))).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(kept) if size <= SENT_BYTES else kept
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
