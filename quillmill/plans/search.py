@@ -16,11 +16,9 @@ from quillmill.functions.paths import extension
 from quillmill.functions.text import snippet_of
 from quillmill.operators import filters, match, rank, results
 from quillmill.operators.index import build_postings, doc_stats, term_stats, tokenize
+from quillmill.operators.unindexed import Texts
 from quillmill.sources.writers import PART_ROWS, part_of, write_index
-from quillmill.sources.written import written
-
-#: Bytes of results that are sent to the files for their contents; more are joined.
-SENT_BYTES = 64 << 20
+from quillmill.sources.written import sent
 
 
 @dataclass
@@ -92,23 +90,34 @@ class Index:
         return cls(files, read(schemas.POSTINGS_IN_PARTS, "postings"), read(schemas.DOC_STATS, "doc_stats"), read(schemas.VOCABULARY, "vocabulary"), stems, bounds)
 
 
-def _slim(files: DataFrame, options: Options) -> DataFrame:
-    """The files that may be results, without their content."""
+#: What results have of their files.
+ABOUT = ["path", "name", "size", "hash", "file_type", "updated_at"]
+
+
+def _allowed(files: DataFrame, options: Options) -> DataFrame:
+    """The files that may be results."""
     slim = filters.filter_supported(files)
     slim = filters.filter_file_types(slim, options.file_types)
     slim = filters.filter_size_range(slim, options.size_least, options.size_most)
-    slim = filters.filter_date_range(slim, options.since, options.until)
-    return slim.select(F.col("id").alias("doc_id"), "path", "name", "size", "hash", "file_type", "updated_at")
+    return filters.filter_date_range(slim, options.since, options.until)
+
+
+def _slim(files: DataFrame, options: Options) -> DataFrame:
+    """The files that may be results, without their content."""
+    return _allowed(files, options).select(F.col("id").alias("doc_id"), *ABOUT)
 
 
-def search(index: Index, queries: DataFrame, options: Options | None = None) -> DataFrame:
+def search(index: Index | Texts, queries: DataFrame, options: Options | None = None) -> DataFrame:
     """Top results of each query (query_id, query): words are prefixes and all required, with OR any, without those after NOT; name:, path:, ext:.
     A quoted phrase, and the parts of a word like foo-bar, are found in a row only, have a frequency of their own, and stand after NOT as well.
 
     Of a query with name: only that part is matched, with names. Columns: query_id, id, path, name, size, hash, file_type,
-    updated_at, rank, match_type.
+    updated_at, rank, match_type. A search that is made once can do without an index: give ``Texts``, which are looked at in their place.
     """
     options = options or Options()
+    unindexed = isinstance(index, Texts)
+    if unindexed and options.typos:
+        raise ValueError("typos are found in the vocabulary of an index")
     parts = match.split_operators(filters.split_query_fields(queries.where(filters.valid_query(F.col("query")))), "remaining")
     named = F.col("name_query").isNotNull()
     # Which kinds of query there are, from the queries alone: the others need no branch of the plan.
@@ -116,26 +125,33 @@ def search(index: Index, queries: DataFrame, options: Options | None = None) ->
     phrases = F.coalesce(several(F.col("wanted")) | several(F.col("excluded")), F.lit(False)) | F.coalesce(several(F.col("name_query")), F.lit(False))
     kinds = parts.agg(F.count_if(named).alias("names"), F.count_if(~named).alias("others"), F.count_if(F.col("excluded") != "").alias("excluded"), F.count_if(phrases).alias("phrases")).first()
 
-    def ranked_by(terms: DataFrame, asked: DataFrame, field: str | None = None) -> DataFrame:
+    def ranked_by(terms: DataFrame, asked: DataFrame, field: str | None = None, excluded: DataFrame | None = None) -> DataFrame:
         """The files that match, with their ranks; asked: (query_id, is_any)."""
+        if unindexed:
+            any_of = {r["query_id"] for r in asked.where("is_any").collect()}
+            return _allowed(rank.rank_texts(index, terms, any_of, field, excluded, [*ABOUT, "is_supported"]), options).drop("is_supported")
         number = terms.groupBy("query_id").agg(F.count_distinct("nr").alias("wanted")).join(asked, "query_id")
         return rank.rank_hits(index.hits(terms, bool(kinds["phrases"]), options.typos, field), number, index.stats)
 
     content = parts.where(~named & (F.col("wanted") != ""))
-    ranked = ranked_by(match.query_terms(content, "wanted", index.stems), content.select("query_id", "is_any")).withColumn("match_type", F.lit("content"))
-    if kinds["excluded"]:
-        worse = index.hits(match.query_terms(content.where("excluded <> ''"), "excluded", index.stems), bool(kinds["phrases"]))
+    excluded = match.query_terms(content.where("excluded <> ''"), "excluded", index.stems) if kinds["excluded"] else None
+    if kinds["others"] or not unindexed:
+        ranked = ranked_by(match.query_terms(content, "wanted", index.stems), content.select("query_id", "is_any"), excluded=excluded).withColumn("match_type", F.lit("content"))
+    if excluded is not None and not unindexed:
+        worse = index.hits(excluded, bool(kinds["phrases"]))
         ranked = ranked.join(worse.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     if kinds["names"]:
         names = parts.where(named)
         by_name = ranked_by(match.query_terms(names, "name_query", index.stems), names.select("query_id", F.lit(False).alias("is_any")), "name")
         by_name = by_name.withColumn("match_type", F.lit("filename"))
         ranked = ranked.unionByName(by_name) if kinds["others"] else by_name
-    hits = ranked.join(_slim(index.files, options), "doc_id").join(parts.select("query_id", "path_query", "ext_filters"), "query_id")
+    hits = ranked if unindexed else ranked.join(_slim(index.files, options), "doc_id")
+    hits = hits.join(parts.select("query_id", "path_query", "ext_filters"), "query_id")
     hits = hits.where(F.col("path_query").isNull() | F.contains(F.lower("path"), F.lower("path_query")))
     kind = F.col("file_type") if options.ext_match == "file_type" else F.substr(extension(F.col("path")), F.lit(2))
     hits = hits.where((F.size("ext_filters") == 0) | F.array_contains("ext_filters", kind))
-    top = rank.top_k_per_query(hits, options.k).withColumnRenamed("doc_id", "id")
+    whole = unindexed and options.k > rank.TOP and options.k >= index.files.count()  # then no query has more results
+    top = (hits if whole else rank.top_k_per_query(hits, options.k)).withColumnRenamed("doc_id", "id")
     top = top.select("query_id", "id", "path", "name", "size", "hash", "file_type", "updated_at", "rank", "match_type")
     return results.dedup_by_hash(top) if options.dedup else top
 
@@ -157,7 +173,7 @@ def search_with_regex(index: Index, queries: DataFrame, options: Options | None
     return plain.unionByName(held.select(*plain.columns))
 
 
-def search_by_filename(index: Index, queries: DataFrame, options: Options | None = None) -> DataFrame:
+def search_by_filename(index: Index | Texts, queries: DataFrame, options: Options | None = None) -> DataFrame:
     """Top results whose name holds all words of the query."""
     return search(index, queries.withColumn("query", F.concat(F.lit('name:"'), F.replace("query", F.lit('"'), F.lit("")), F.lit('"'))), options)
 
@@ -182,9 +198,7 @@ def with_content(top: DataFrame, files: DataFrame) -> DataFrame:
 
     Results are written and, where their bytes allow it, sent to the files: contents stay where they are read. Of more results, both sides are shuffled by file.
     """
-    kept = written(top, "top")
-    size = kept.agg(F.sum(F.octet_length(F.to_json(F.struct(*kept.columns)))).alias("bytes")).first()["bytes"] or 0
-    met = files.select("id", "content").join(F.broadcast(kept) if size <= SENT_BYTES else kept, "id")
+    met = files.select("id", "content").join(sent(top, "top"), "id")
     return met.select("id", *[c for c in top.columns if c != "id"], "content")
 
 
