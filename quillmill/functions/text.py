@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 SENTENCE_END = "[。！？；\\n.?!]"
 BEFORE, AFTER = 40, 60
 QUOTE_LEAST, QUOTE_MOST = 100, 200
+#: Characters beside an occurrence in which its quote is looked for first, more than QUOTE_MOST; occurrences of a line that are worked on together.
+NEAR, RUN = 2 * QUOTE_MOST, 256
 
 
 def regex_escape(text: Column) -> Column:
@@ -117,25 +119,68 @@ def quote_cards(files: DataFrame, keyword: Column, id_col: str = "id", content_c
 
     Occurrences in a line do not overlap. A side is its last (first) two sentences; if that is under 100 characters and the
     line has more, its last (first) one instead, or the whole side if that one is empty; then at most 200 characters.
+
+    Nothing is worked out on a whole line for each of its occurrences: they are taken ``RUN`` at a time, with the text around them, and a side is looked for in the ``NEAR`` characters
+    beside the keyword, which hold it if they hold two sentence ends or 200 characters of text.
     """
     lines = files.where(F.col(content_col).isNotNull() & (F.trim(keyword) != "")).select(F.col(id_col).alias("id"), keyword.alias("q"), F.posexplode(F.split(content_col, "\n", -1)).alias("line", "text"))
     lines = lines.where(F.contains(F.lower("text"), F.lower("q")))
     # The pieces between occurrences give their places: each piece and each keyword before it.
     pieces = F.split(F.lower("text"), F.concat(F.lit("(?u)"), regex_escape(F.lower("q"))), -1)
-    found = lines.withColumn("gaps", F.transform(pieces, F.length)).select("id", "q", "line", "text", "gaps", F.explode(F.sequence(F.lit(1), F.size("gaps") - 1)).alias("k"))
-    at = F.aggregate(F.slice("gaps", F.lit(1), F.col("k")), F.lit(0), lambda a, g: a + g) + (F.col("k") - 1) * F.length("q")
-    found = found.withColumn("at", at)
-    left, right = F.expr("substring(text, 1, at)"), F.expr("substring(text, at + length(q) + 1)")
-    found = found.select("id", "line", "k", "q", F.expr("substring(text, at + 1, length(q))").alias("keyword"), left.alias("l"), right.alias("r"))
-
-    def side(whole: Column, part) -> Column:
-        two = part(whole, 2)
-        short = (F.length(two) < QUOTE_LEAST) & (F.length(whole) > F.length(two))
-        return F.when(short, F.coalesce(F.nullif(part(whole, 1), F.lit("")), whole)).otherwise(two)
-
-    before, after = side(F.col("l"), sentence_start), side(F.col("r"), sentence_end)
-    cards = found.select("id", "line", "k", F.when(F.length(before) > QUOTE_MOST, F.right(before, F.lit(QUOTE_MOST))).otherwise(before).alias("before"), "keyword", F.substring(after, 1, QUOTE_MOST).alias("after"))
-    return cards.where((F.length("before") > 0) | (F.length("after") > 0)).withColumn("line_number", F.col("line") + 1)
+    n = F.length("q")
+    gaps = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda g: F.length(g) + n)  # from the end of an occurrence to the end of the next one
+    lines = lines.withColumn("gaps", gaps)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("gaps") - 1) / RUN).cast("int")), lambda b: F.slice("gaps", b * RUN + 1, F.lit(RUN)))
+    lines = lines.withColumn("runs", runs)
+    running = lambda values, first: F.aggregate(values, F.array(first), lambda a, g: F.concat(a, F.array(F.element_at(a, -1) + g)))
+    starts = running(F.transform("runs", lambda r: F.aggregate(r, F.lit(0), lambda a, g: a + g)), F.lit(0))
+    # Outer, as rows would else be filtered by the arrays' sizes first, for which these would be made twice.
+    found = lines.withColumn("starts", starts).select("id", "q", "line", "text", "starts", F.posexplode_outer("runs").alias("run", "gaps"))
+    # The ends of a run's occurrences, less the keyword: their places in the line, from 0.
+    found = found.withColumn("ats", F.transform(F.slice(running(F.col("gaps"), F.get("starts", F.col("run"))), F.lit(2), F.size("gaps")), lambda end: end - n)).drop("starts", "gaps")
+    low = F.greatest(F.element_at("ats", 1) - NEAR, F.lit(0))
+    found = found.withColumns({"low": low, "size": F.length("text"), "part": F.substring("text", low + 1, F.element_at("ats", -1) + n + NEAR - low)})
+
+    def near(at: Column, k: Column) -> Column:
+        here = at - F.col("low")
+        left, right = F.substring("part", F.greatest(here - NEAR, F.lit(0)) + 1, F.least(here, F.lit(NEAR))), F.substring("part", here + n + 1, F.lit(NEAR))
+        return F.struct((F.col("run") * RUN + k + 1).alias("k"), at.alias("at"), F.substring("part", here + 1, n).alias("keyword"), left.alias("l"), right.alias("r"))
+
+    def enough(side: Column) -> Column:
+        return (F.length(F.trim(side)) >= QUOTE_MOST) | (F.size(F.split(side, SENTENCE_END, 3)) == 3)
+
+    def sides(o: Column) -> Column:
+        left = F.when((o["at"] <= NEAR) | enough(o["l"]), o["l"]).otherwise(F.substring("text", 1, o["at"]))
+        right = F.when((o["at"] + n + NEAR >= F.col("size")) | enough(o["r"]), o["r"]).otherwise(F.substr("text", o["at"] + n + 1))
+        return F.struct(o["k"].alias("k"), o["keyword"].alias("keyword"), left.alias("l"), right.alias("r"))
+
+    def cut(o: Column) -> Column:
+        """Lengths of each side's pieces between sentence ends, from the keyword on."""
+        ls, rs = F.transform(F.split(F.reverse(o["l"]), SENTENCE_END, 3), F.length), F.transform(F.split(o["r"], SENTENCE_END, 3), F.length)
+        return F.struct(*[o[c].alias(c) for c in ("k", "keyword", "l", "r")], ls.alias("ls"), rs.alias("rs"))
+
+    end = lambda side, n: F.substring(side, -n, n)  # noqa: E731  (F.right has its argument three times)
+
+    def one_and_two(o: Column) -> Column:
+        (l, ls), (r, rs) = (o["l"], o["ls"]), (o["r"], o["rs"])
+        two = F.when(F.size(ls) == 3, end(l, F.get(ls, 0) + F.get(ls, 1) + 1)).otherwise(l), F.when(F.size(rs) == 3, F.left(r, F.get(rs, 0) + F.get(rs, 1) + 2)).otherwise(r)
+        one = F.when(F.size(ls) > 1, end(l, F.get(ls, 0))).otherwise(l), F.when(F.size(rs) > 1, F.left(r, F.get(rs, 0) + 1)).otherwise(r)
+        return F.struct(*[o[c].alias(c) for c in ("k", "keyword", "l", "r")], *[F.trim(c).alias(f) for c, f in zip((*two, *one), ("l2", "r2", "l1", "r1"))])
+
+    def card(o: Column) -> Column:
+        def side(whole: Column, two: Column, one: Column) -> Column:
+            short = (F.length(two) < QUOTE_LEAST) & (F.length(whole) > F.length(two))
+            return F.when(short, F.coalesce(F.nullif(one, F.lit("")), whole)).otherwise(two)
+
+        before, after = end(side(o["l"], o["l2"], o["l1"]), F.lit(QUOTE_MOST)), F.substring(side(o["r"], o["r2"], o["r1"]), 1, QUOTE_MOST)
+        return F.struct(o["k"].alias("k"), before.alias("before"), o["keyword"].alias("keyword"), after.alias("after"))
+
+    # One step for each, so that no step's value is worked out again where the next one uses it twice.
+    cards = F.transform("ats", near)
+    for step in (sides, cut, one_and_two, card):
+        cards = F.transform(cards, step)
+    cards = F.filter(cards, lambda o: (F.length(o["before"]) > 0) | (F.length(o["after"]) > 0))
+    return found.select("id", "line", F.explode_outer(cards).alias("o")).where("o IS NOT NULL").select("id", "line", "o.*", (F.col("line") + 1).alias("line_number"))
 
 
 def json_values(text: Column) -> Column:
