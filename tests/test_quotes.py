@@ -5,6 +5,7 @@ import re
 import time
 
 from quillmill.functions import text
+from quillmill.plans.queries import QUERIES
 
 END = "[。！？；\n.?!]"
 
@@ -47,3 +48,11 @@ def test_a_long_line(spark):
     began = time.time()
     assert cards(20_000).selectExpr("sum(length(before) + length(after)) AS s", "count(*) AS n").first()["n"] == 20_000
     assert time.time() - began < 20
+
+
+def test_export_of_a_long_line(spark, tmp_path):
+    spark.createDataFrame([(7, "a nation of words. " * 20_000, "en", "src1", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.time()
+    values = [r["value"] for r in QUERIES["s10_export_quotes"](spark, str(tmp_path)).collect()]
+    assert time.time() - began < 30
+    assert len(values) == 20_000 and values[-1].startswith("## Quote 20000\n**Line**: 1\n\n> ") and "**tion**" in values[-1]
