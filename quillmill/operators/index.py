@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -107,26 +109,64 @@ def stem_terms(vocabulary: DataFrame, term_col: str = "term") -> DataFrame:
 def build_postings(files: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FIELDS, stems: bool = False) -> DataFrame:
     """(term, doc_id, field, tf, positions, lead): one row for each term of each field of each file; lead marks the first one of a file's term.
 
-    A file's tokens are sorted and cut into runs where they stand, in its own row: nothing is shuffled, and no group grows with the corpus.
+    A file's tokens are gathered in a Python worker, out of texts that Spark has folded and cut: nothing is shuffled, and no group grows with the corpus.
     """
     if stems:
         return _stemmed_postings(files, id_col, fields)
-    token = lambda k: F.transform(tokenize(F.col(fields[k])), lambda t, pos: F.struct(t.alias("term"), F.lit(k).alias("k"), pos.cast("int").alias("pos")))
-    rows = files.select(F.col(id_col).alias("doc_id"), F.sort_array(F.concat(*[token(k) for k in range(len(fields))])).alias("ts"))
-    at = lambda i: F.get(F.col("ts"), i)
-    other = lambda i: (i == 0) | (at(i)["term"] != at(i - 1)["term"])
-    every = F.when(F.size("ts") > 0, F.sequence(F.lit(0), F.size("ts") - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(every, lambda i: other(i) | (at(i)["k"] != at(i - 1)["k"]))
-    rows = rows.withColumn("starts", starts)
-
-    def run(start: Column, nr: Column) -> Column:
-        end = F.coalesce(F.get(F.col("starts"), nr + 1), F.size("ts"))
-        positions = F.transform(F.slice("ts", start + 1, end - start), lambda x: x["pos"])
-        return F.struct(at(start)["term"].alias("term"), at(start)["k"].alias("k"), (end - start).alias("tf"), positions.alias("positions"), other(start).alias("lead"))
-
-    runs = rows.select("doc_id", F.explode(F.transform("starts", run)).alias("r"))
-    names = F.array(*[F.lit(f) for f in fields])
-    return runs.select("r.term", "doc_id", F.get(names, F.col("r.k")).alias("field"), "r.tf", "r.positions", "r.lead")
+    rows = files.select(F.col(id_col).alias("doc_id"), F.array(*[spaced(F.col(f)) for f in fields]).alias("texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = _Rows(batch.schema.field("doc_id").type, fields)
+            for doc, texts in zip(batch.column("doc_id").to_pylist(), batch.column("texts")):
+                held.add(doc, texts.as_py())
+                if len(held.terms) >= ROWS:
+                    yield held.batch()
+            yield held.batch()
+
+    return rows.mapInArrow(run, f"term string, doc_id {rows.schema['doc_id'].dataType.simpleString()}, field string, tf int, positions array<int>, lead boolean")
+
+
+#: Postings of a batch that a worker hands over.
+ROWS = 100_000
+
+
+class _Rows:
+    """Postings, gathered for a batch."""
+
+    def __init__(self, kind: pa.DataType, fields: tuple[str, ...]):
+        self.kind, self.fields = kind, fields
+        self._new()
+
+    def _new(self) -> None:
+        self.terms: list[str] = []
+        self.docs, self.of, self.ends, self.positions, self.leads = [], [], [0], [], []
+
+    def add(self, doc: object, texts: Sequence[str]) -> None:
+        before: set[str] = set()
+        for k, text in enumerate(texts):
+            found: dict[str, list[int]] = {}
+            for at, token in enumerate(text.split()):
+                if token in found:
+                    found[token].append(at)
+                else:
+                    found[token] = [at]
+            self.terms += found
+            self.docs += [doc] * len(found)
+            self.of += [k] * len(found)
+            self.leads += [t not in before for t in found] if before else [True] * len(found)
+            for places in found.values():
+                self.positions += places
+                self.ends.append(len(self.positions))
+            before.update(found)
+
+    def batch(self) -> pa.RecordBatch:
+        ends = np.array(self.ends, dtype=np.int32)
+        positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(self.positions, dtype=np.int32)))
+        field = pa.array(self.fields, pa.string()).take(pa.array(self.of, pa.int32()))
+        columns = [pa.array(self.terms, pa.string()), pa.array(self.docs, self.kind), field, pa.array(np.diff(ends)), positions, pa.array(self.leads, pa.bool_())]
+        self._new()
+        return pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "field", "tf", "positions", "lead"])
 
 
 def _stemmed_postings(files: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame:
@@ -144,7 +184,8 @@ def doc_stats(files: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FI
 
 
 def n_tokens(fields: tuple[str, ...] = FIELDS) -> Column:
-    return sum(F.size(tokenize(F.col(f))) for f in fields).cast("long")
+    """Tokens of all fields; folding marks, a letter for a letter, changes no number of them."""
+    return sum(F.coalesce(F.regexp_count(F.lower(F.col(f)), F.lit(TOKEN)), F.lit(0)) for f in fields).cast("long")
 
 
 def term_stats(postings: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from quillmill import schemas
 from quillmill.operators.index import build_postings, doc_stats, term_stats
 from quillmill.plans.search import Index
 from quillmill.sources.manifest import Manifest
-from quillmill.sources.writers import PART_ROWS, write_index
+from quillmill.sources.writers import PART_ROWS, drawn_bounds, write_index
 
 FAN = 4
 #: Ids of changed files that are sent to all tasks; more are joined.
@@ -49,7 +49,8 @@ class LiveIndex:
         """The base, of all files."""
         name = f"base-{uuid.uuid4().hex[:8]}"
         at = f"{self.folder}/segments/{name}"
-        write_index(None, build_postings(files, stems=self.stems), doc_stats(files), at, part_rows)
+        bounds = drawn_bounds(files, lambda some: build_postings(some, stems=self.stems), part_rows)
+        write_index(None, build_postings(files, stems=self.stems), doc_stats(files), at, part_rows, bounds)
         self.spark.createDataFrame([], _GONE).write.parquet(f"{at}/gone")
         bounds = sorted(r["bound"] for r in self.spark.read.schema("bound string").parquet(f"{at}/bounds").collect())
         self.held.put({"batch": batch, "bounds": bounds, "segments": [self._segment(name)]})

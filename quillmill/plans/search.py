@@ -17,7 +17,7 @@ from quillmill.functions.text import snippet_of
 from quillmill.operators import filters, match, rank, results
 from quillmill.operators.index import build_postings, doc_stats, term_stats, tokenize
 from quillmill.operators.unindexed import Texts
-from quillmill.sources.writers import PART_ROWS, part_of, write_index
+from quillmill.sources.writers import PART_ROWS, drawn_bounds, part_of, write_index
 from quillmill.sources.written import sent
 
 
@@ -80,7 +80,8 @@ class Index:
     @classmethod
     def build(cls, files: DataFrame, folder: str, stems: bool = False, part_rows: int = PART_ROWS) -> Index:
         """An index written to a folder, which is what searches should read: postings are counted once and read by column and part."""
-        write_index(None, build_postings(files, stems=stems), doc_stats(files), folder, part_rows)
+        bounds = drawn_bounds(files, lambda some: build_postings(some, stems=stems), part_rows)
+        write_index(None, build_postings(files, stems=stems), doc_stats(files), folder, part_rows, bounds)
         return cls.read(files, folder, stems)
 
     @classmethod

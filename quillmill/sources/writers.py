@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,12 +12,23 @@ from quillmill import schemas
 from quillmill.functions.text import csv_escape, format_size, html_escape
 from quillmill.operators.index import term_stats
 from quillmill.operators.rank import numbered
+from quillmill.sources.written import written
 
 CSV_HEADER = "\ufefffile name,path,type,size,modified,match type"
 
 
 #: Postings of a part, as many parts as that makes within MOST_PARTS, and terms drawn to place the bounds between them.
 PART_ROWS, MOST_PARTS, DRAWN = 500_000, 2048, 50_000
+#: Files, about, whose postings place the bounds; of fewer all do.
+DRAWN_FILES = 4000
+
+
+def drawn_bounds(files: DataFrame, postings_of: Callable[[DataFrame], DataFrame], part_rows: int = PART_ROWS, id_col: str = "id") -> list[str]:
+    """``bounds_of`` an index of files that is yet to be written, by the postings of some ``DRAWN_FILES`` files, the same whenever they are drawn: bounds only say in which folder a
+    posting stands, so it is enough that parts have about the same size."""
+    every = max(1, files.count() // DRAWN_FILES)
+    drawn = files.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0) if every > 1 else files
+    return bounds_of(written(term_stats(postings_of(drawn)), "drawn"), max(1, part_rows // every))
 
 
 def bounds_of(vocabulary: DataFrame, part_rows: int = PART_ROWS) -> list[str]:
@@ -54,17 +67,18 @@ def write_index(files: DataFrame | None, postings: DataFrame, doc_stats: DataFra
 
     Postings stand in folders by ranges of the alphabet with about ``part_rows`` rows each, so that a search opens the parts its words lie in, a prefix's words beside each other; they are
     sorted, so that a term's rows are read from few row groups, and rebalanced, so that the part of a term that most files hold is cut over several tasks.
-    Give no files where they are kept elsewhere: their content is not written twice then. ``bounds``: those of an index that this one is to be like.
+    Give no files where they are kept elsewhere: their content is not written twice then. ``bounds``: those of an index that this one is to be like, or as ``drawn_bounds`` gives them; without them all postings are worked out once more.
     """
     spark = postings.sparkSession
     if files is not None:
         files.write.mode("overwrite").parquet(f"{folder}/files")
-    term_stats(postings).write.mode("overwrite").parquet(f"{folder}/vocabulary")
     if bounds is None:
-        bounds = bounds_of(spark.read.schema(schemas.VOCABULARY).parquet(f"{folder}/vocabulary"), part_rows)
+        bounds = bounds_of(written(term_stats(postings), "vocabulary"), part_rows)
     spark.createDataFrame([(b,) for b in bounds], "bound string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/bounds")
     parted = postings.withColumn("part", part_of(F.col("term"), bounds).cast("int"))
     parted.hint("rebalance", "part").sortWithinPartitions("part", "term", "doc_id").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
+    # Out of the written postings, so that no text is read for it.
+    term_stats(spark.read.schema(schemas.POSTINGS_IN_PARTS).parquet(f"{folder}/postings")).write.mode("overwrite").parquet(f"{folder}/vocabulary")
     doc_stats.write.mode("overwrite").parquet(f"{folder}/doc_stats")
 
 
